@@ -1,0 +1,186 @@
+"""Secret scanning: pattern candidates and structural confirmation."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import json
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import map_texts
+
+# The base patterns.
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{32,}")
+#: Kinds in their order among spans with one start. The last three come from structural confirmation.
+KINDS = ("assign", "access", "hex", "pem", "der", "jwt")
+# Candidates for decoding.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
+HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+#: DER object identifiers of key algorithms, and magic strings of other key encodings.
+KEY_OIDS = tuple(
+    bytes.fromhex(x)
+    for x in (
+        "2a864886f70d010101",  # RSA
+        "2a8648ce3d0201",  # elliptic curve
+        "2b6570",  # Ed25519
+        "2b656e",  # X25519
+        "2a8648ce380401",  # DSA
+    )
+)
+OPENSSH = b"openssh-key-v1\0"
+
+
+def _decode64(text: str) -> bytes | None:
+    body = text.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _der(data: bytes, at: int = 0, end: int | None = None) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the value at `at`, if its length fits exactly within the data."""
+    end = len(data) if end is None else end
+    if at + 2 > end:
+        return None
+    tag, first = data[at], data[at + 1]
+    at += 2
+    if first < 0x80:
+        size = first
+    else:
+        n = first & 0x7F
+        if not 1 <= n <= 4 or at + n > end:
+            return None
+        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+    return (tag, at, at + size) if at + size <= end else None
+
+
+def _der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """All values between at and end, if their nested lengths fill the space exactly."""
+    items = []
+    while at < end:
+        item = _der(data, at, end)
+        if item is None:
+            return None
+        items.append(item)
+        at = item[2]
+    return items
+
+
+def is_der_key(data: bytes) -> bool:
+    """A DER SEQUENCE that is a PKCS#1, PKCS#8 or SEC 1 private key, every nested length checked."""
+    top = _der(data)
+    if top is None or top[0] != 0x30 or top[2] != len(data) or top[2] - top[1] < 8:
+        return False
+    items = _der_items(data, top[1], top[2])
+    if not items or items[0][0] != 2 or items[0][2] - items[0][1] != 1:
+        return False
+    tags = [t for t, _, _ in items]
+    if tags == [2] * len(tags) and len(tags) in (6, 9, 10):  # DSA, PKCS#1
+        return True
+    if tags[1:3] == [0x30, 4]:  # PKCS#8
+        inner = _der_items(data, *items[1][1:])
+        return bool(inner) and inner[0][0] == 6 and data[inner[0][1] : inner[0][2]] in KEY_OIDS
+    return tags[1:2] == [4] and items[1][2] - items[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC 1
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """OpenSSH's private key container: magic, then length-prefixed fields that fit."""
+    if not data.startswith(OPENSSH):
+        return False
+    at = len(OPENSSH)
+    for _ in range(3):  # cipher, key derivation, its options
+        size = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + size
+        if at > len(data):
+            return False
+    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+
+
+def is_key(data: bytes | None) -> bool:
+    return bool(data) and (is_der_key(data) or is_ssh_key(data))
+
+
+def is_signed_token(head: str, body: str) -> bool:
+    """A token header: JSON object with a string alg; the body decodes to a JSON object, or any bytes if encrypted."""
+    try:
+        top = json.loads(_decode64(head) or b"")
+        if not (isinstance(top, dict) and isinstance(top.get("alg"), str)):
+            return False
+        return "enc" in top or isinstance(json.loads(_decode64(body) or b""), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if ("=" in text or ":" in text) else []
+    if "AKIA" in text:
+        found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    return found + [("hex", *m.span()) for m in HEX.finditer(text)]
+
+
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans that decoding and parsing confirm; a candidate inside a confirmed one is not reported again."""
+    found: list[tuple[str, int, int]] = []
+    if "-----BEGIN " in text:
+        for m in PEM.finditer(text):
+            lines = [x for x in m[2].split("\n") if ":" not in x]
+            data = _decode64("".join("".join(lines).split()))
+            if data and (is_key(data) or "ENCRYPTED" in m[1] + m[2] and (_der(data) or len(data) % 8 == 0)):
+                found.append(("pem", *m.span()))
+    if "eyJ" in text:
+        found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    free = lambda a, b: not any(s <= a and b <= e for _, s, e in found)
+    more = [("der", *m.span()) for m in BASE64.finditer(text) if free(*m.span()) and is_key(_decode64(m[0]))]
+    more += [("der", *m.span()) for m in HEX_ANY.finditer(text) if len(m[0]) % 2 == 0 and free(*m.span()) and is_key(bytes.fromhex(m[0]))]
+    return found + list(dict.fromkeys(more))
+
+
+def spans_of(text: str | None) -> list[tuple[str, int, int]]:
+    """All spans (kind, start, end) in code points, end exclusive, by start and then kind as listed in KINDS."""
+    text = text or ""
+    found = base_spans(text) + confirmed_spans(text)
+    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, kinds array, starts array, ends array): one row per row of docs, over whole texts.
+
+    Null and empty texts have no spans. Repeated rows stay repeated, a null doc_id stays null, other
+    columns are ignored, an empty table gives an empty result.
+    """
+
+    def make():
+        def run(texts: list[str]) -> dict:
+            spans = [spans_of(t) for t in texts]
+            return {n: [[s[k] for s in x] for x in spans] for k, n in enumerate(("kinds", "starts", "ends"))}
+
+        return run
+
+    types = {"kinds": pa.list_(pa.string()), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
+    return map_texts(docs, make, types, "kinds array<string>, starts array<long>, ends array<long>")
+
+
+def join_spans(spans) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def op10(docs: DataFrame) -> DataFrame:
+    """The contract's columns, derived from the spans of the operator."""
+    out = scan(docs).withColumn("all", F.arrays_zip("kinds", "starts", "ends"))
+    base = F.filter("all", lambda s: s["kinds"].isin("assign", "access", "hex"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])), ",")
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans")
+    )
