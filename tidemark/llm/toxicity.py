@@ -85,32 +85,36 @@ def _fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np.ndarra
     return w, np.cumsum([raw[0], *np.exp(raw[1:])])
 
 
-def fit(docs: list[dict[int, int]], toxic: np.ndarray, kept: int = KEPT, ridge: float = 1e-4, steps: int = 300) -> Model:
-    """docs: feature counts of labelled rows; toxic: 0 or 1.
+def fit(rows: np.ndarray, feats: np.ndarray, times: np.ndarray, toxic: np.ndarray, kept: int = KEPT, ridge: float = 1e-4, steps: int = 300) -> Model:
+    """Cells (row, feature, count) of labelled rows; toxic: 0 or 1 for each row.
 
     Features are ranked by how far their document rate among toxic rows exceeds that among the others.
     Severity grades of toxic rows are equal parts by the count of such features relative to all features.
     """
-    pos, neg = Counter(), Counter()
-    for d, y in zip(docs, toxic, strict=True):
-        (pos if y else neg).update(d.keys())
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    lift = {f: n / n_pos - neg[f] / n_neg for f, n in pos.items() if n >= 3}
-    chosen = sorted((f for f in lift if lift[f] > 0), key=lambda f: (-lift[f] * lift[f] * n_pos / (pos[f] / n_pos + neg[f] / n_neg), f))[:kept]
-    if not chosen:
+    width = 1 << SPACE_BITS
+    speaks = toxic[rows] == 1
+    pos, neg = (np.bincount(feats[m], minlength=width) for m in (speaks, ~speaks))
+    p, q = pos / n_pos, neg / n_neg
+    good = np.flatnonzero((pos >= 3) & (p > q))
+    if not len(good):
         return Model({}, np.full(GRADES, 6.0) + np.arange(GRADES))
-    index = {f: k for k, f in enumerate(chosen)}
-    strong = set(chosen[: max(1, len(chosen) // 16)])
-    share = np.array([sum(n for f, n in d.items() if f in strong) / max(1, sum(d.values())) for d in docs])
-    grades = np.zeros(len(docs), int)
+    worth = (p[good] - q[good]) ** 2 / (p[good] + q[good])
+    chosen = good[np.lexsort((good, -worth))][:kept]
+    index = np.full(width, -1)
+    index[chosen] = np.arange(len(chosen))
+    col = index[feats]
+    strong = (col >= 0) & (col < max(1, len(chosen) // 16))
+    n = len(toxic)
+    share = np.bincount(rows[strong], times[strong], n) / np.maximum(1, np.bincount(rows, times, n))
+    grades = np.zeros(n, int)
     at = np.flatnonzero(toxic == 1)
     rank = np.empty(len(at), int)
     rank[np.lexsort((at, share[at]))] = np.arange(len(at))
     grades[at] = 1 + rank * GRADES // max(1, len(at))
-    cells = [(k, index[f], np.log1p(n)) for k, d in enumerate(docs) for f, n in d.items() if f in index]
-    rows, cols, vals = (np.array(x) for x in zip(*cells, strict=True))
-    w, cuts = _fit(rows, cols, vals, grades, len(chosen), ridge, steps)
-    return Model({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, cuts)
+    own = col >= 0
+    w, cuts = _fit(rows[own], col[own], np.log1p(times[own]), grades, len(chosen), ridge, steps)
+    return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: str = "toxic") -> Model:
@@ -136,9 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: st
 
     got = map_texts(rows.select(F.col("label").alias("doc_id"), "text"), make, {"f": pa.binary(), "n": pa.binary()}, "f binary, n binary").toArrow()
     fs, ns = (got.column(c).to_pylist() for c in ("f", "n"))
+    toxic = np.array(got.column("doc_id").to_pylist(), int)
+    del got
     order = sorted(range(len(fs)), key=lambda k: (zlib.crc32(fs[k]), fs[k]))  # the rows arrive in any order
-    made = [dict(zip(np.frombuffer(fs[k], np.int32).tolist(), np.frombuffer(ns[k], np.int32).tolist(), strict=True)) for k in order]
-    return fit(made, np.array(got.column("doc_id").to_pylist(), int)[order])
+    feats, times = (np.frombuffer(b"".join(x[k] for k in order), np.int32) for x in (fs, ns))
+    at = np.repeat(np.arange(len(order), dtype=np.int32), [len(fs[k]) // 4 for k in order])
+    return fit(at, feats, times, toxic[order])
 
 
 def grade(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
