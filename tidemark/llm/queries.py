@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, chat, exact, mixing, packing, quality, secrets, simhash, toxicity, urls
+from tidemark.llm import ann, chat, exact, mixing, packing, quality, secret_scan, simhash, toxicity, urls
 from tidemark.llm.common import read
 
 
@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": lambda s, d: packing.op7(docs(s, d)),
         "op8_urls": urls.op8,
         "op9_mixing": lambda s, d: mixing.op9(docs(s, d)),
-        "op10_secrets": lambda s, d: secrets.op10(docs(s, d)),
+        "op10_secrets": lambda s, d: secret_scan.op10(docs(s, d)),
     }
 
 
