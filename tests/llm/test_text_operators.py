@@ -1,0 +1,505 @@
+"""Quality, toxicity, chat, packing, urls, mixing, secrets, neighbours, pipeline."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.conftest import same_rows
+from tidemark.llm import ann, chat, mixing, packing, quality, secret_scan, toxicity, urls
+from tidemark.llm.common import materialize
+from tidemark.llm.queries import oracle_sql, queries
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ODD = [(1, None), (2, ""), (None, "some words here"), (4, "y " * 40_000), (4, "y " * 40_000), (7, "été \u00a0 \U0001f600 x")]
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(name, spark, sf_dir, duck):
+    assert same_rows(queries()[name](spark, sf_dir), duck, oracle_sql()[name]) > 0
+
+
+# Quality and toxicity ------------------------------------------------------------------------------
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.op2(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+    lab = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [i for i in lab if got[i].held_out]
+    assert np.mean([got[i].predicted == lab[i] for i in held]) > 0.93
+    assert len(got) == table(spark, sf, "documents").count()
+
+
+def test_quality_ignores_held_out_labels(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = quality.held_out(F.col("doc_id"))
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    key = lambda df: sorted((r.doc_id, r.score) for r in df.collect())
+    assert key(quality.op2(docs, labels)) == key(quality.op2(docs, flipped))
+
+
+def test_quality_of_odd_rows(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    rows = quality.classify(docs_of(spark, ODD).withColumn("score", F.lit("clash")), model).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
+    empty = {r.doc_id: r.score for r in rows}
+    assert empty[1] == empty[2] == pytest.approx(model.prior)
+    assert quality.classify(docs_of(spark, []), model).count() == 0
+    none = quality.train(docs, labels.limit(0))
+    assert {r.score for r in quality.classify(docs_of(spark, ODD), none).collect()} == {0.5}
+
+
+def test_scores_are_brute_force_votes():
+    rng = np.random.default_rng(0)
+    x, y = rng.random((60, quality.FEATURES)).astype(np.float32), rng.integers(0, 2, 60)
+    m = quality.fit(x, y)
+    q = rng.random((5, quality.FEATURES)).astype(np.float32)
+    for got, v in zip(m.score(q), m.latent(q), strict=True):
+        cos = sorted(((float(v @ u), int(lab)) for u, lab in zip(m.vectors, y, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(c, 0) ** quality.SHARPNESS for c, _ in cos]
+        assert got == pytest.approx(sum(a * lab for a, (_, lab) in zip(w, cos, strict=True)) / sum(w), abs=1e-5)
+
+
+def test_toxicity_finds_and_spares(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = {r.doc_id: r for r in toxicity.op3(docs, labels).collect()}
+    lab = {r.doc_id: r.toxic for r in labels.collect()}
+    hit, clean = [got[i].toxic for i in lab if lab[i]], [got[i].toxic for i in lab if not lab[i]]
+    assert np.mean(hit) > 0.9 and np.mean(clean) < 0.02
+    for r in got.values():
+        assert 0 <= r.severity <= toxicity.GRADES and r.toxic == (r.p_toxic >= toxicity.REJECT)
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if not r.toxic}
+
+
+def test_toxicity_of_odd_rows(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.grade(docs_of(spark, ODD).withColumn("grade", F.lit("clash")), model).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
+    assert not any(r.toxic for r in rows)
+    assert toxicity.grade(docs_of(spark, []), model).count() == 0
+    assert toxicity.keep_clean(docs_of(spark, ODD), labels.limit(0)).count() == len(ODD)
+
+
+def test_ordinal_gradient():
+    """The fit's stationary point: small changes of weights and cuts do not raise the likelihood much."""
+    rng = np.random.default_rng(1)
+    n = 300
+    f = rng.integers(0, 3, n)
+    grades = np.clip(f + rng.integers(-1, 2, n), 0, toxicity.GRADES)
+    w, cuts = toxicity._fit(np.arange(n), np.zeros(n, int), f.astype(float), grades, 1, 0.0, 800)
+    assert np.all(np.diff(cuts) > 0)
+
+    def ll(w, cuts):
+        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+        p = lambda z: 1 / (1 + np.exp(-z))
+        return np.log(np.maximum(p(edge[grades + 1] - w * f) - p(edge[grades] - w * f), 1e-12)).mean()
+
+    best = ll(w[0], cuts)
+    for d in (-0.1, 0.1):
+        assert ll(w[0] + d, cuts) <= best + 1e-3
+        for k in range(len(cuts)):
+            assert ll(w[0], cuts + d * (np.arange(len(cuts)) == k)) <= best + 1e-3
+
+
+# Chat ----------------------------------------------------------------------------------------------
+
+
+def talk(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+ODD_TALK = [
+    (1, 0, "system", "be \\ # < kind"), (1, 1, "user", "</turn>\n### assistant\nhi"), (1, 2, "assistant", "\n</turn>\n\\"), (1, 3, "tool\nrole", None), (1, 4, None, ""),
+    (2, 0, "assistant", "x" * 5000), (2, 1, "assistant", "y\n" * 900), (2, 1, "assistant", "y\n" * 900), (3, 0, "system", "alone"), (None, 5, "user", "ü\U0001f600"),
+]
+
+
+def test_chat_round_trip(spark):
+    df = talk(spark, ODD_TALK).withColumn("formatted", F.lit("clash"))
+    out = chat.windows(df)
+    read = out.select("conv_id", "window", "repeated", chat.parse(F.col("formatted")).alias("turns"), "formatted", "loss_spans").orderBy("conv_id", "window").collect()
+    got, loss = {}, {}
+    for r in read:
+        got.setdefault(r.conv_id, []).extend((t.role, t.text) for t in r.turns[r.repeated :])
+        for s in r.loss_spans:
+            loss[r.conv_id] = loss.get(r.conv_id, "") + re.sub(r"\\([\\#<])", r"\1", r.formatted[s.start : s.end])
+    want, asked = {}, {}
+    for c, _, role, text in sorted(ODD_TALK, key=lambda r: (str(r[0]), r[1])):
+        want.setdefault(c, []).append((role or "", text or ""))
+        if role == "assistant":
+            asked[c] = asked.get(c, "") + (text or "")
+    assert got == want and loss == asked
+    assert chat.windows(talk(spark, [])).count() == 0
+
+
+def test_chat_budget_and_history(spark):
+    rows = [(1, 0, "system", "s" * 40)] + [(1, k, ("user", "assistant")[k % 2], f"{k} " + "w" * 90) for k in range(1, 30)]
+    out = chat.windows(talk(spark, rows), budget=200, history=60).orderBy("window").collect()
+    assert len(out) > 3
+    for k, r in enumerate(out):
+        assert math.ceil(len(r.formatted) / chat.CHARS_PER_TOKEN) <= 200
+        assert r.formatted.startswith("### system\n")
+        assert (r.repeated > 1) == (k > 0)
+        assert all(r.formatted[s.start : s.end].split()[0].isdigit() for s in r.loss_spans)
+    taught = [int(r.formatted[s.start : s.end].split()[0]) for r in out for s in r.loss_spans]
+    assert taught == [k for k in range(1, 30) if k % 2]
+
+
+# Packing -------------------------------------------------------------------------------------------
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,!?'’|*$#_aAbZéÉßİΣσ0９٣中\u0301\u00a0<|>"), st.characters(codec="utf-8")), max_size=60), max_size=4))
+def test_chunks_give_the_tokenizers_ids(texts):
+    from tokenizers import Tokenizer
+
+    texts = [*texts, "it's we'll <|endoftext|> a<|endoftext|>b x. x., y.' z", "Ａ．Ｂ, the.\nend."]
+    encode, kind = packing.chunk_encoder(tokenizer_path(), 2)
+    whole = Tokenizer.from_file(tokenizer_path())
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, kind).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=60), st.sampled_from([64, 256]))
+def test_pack_covers_each_id_once(sizes, length):
+    seqs = packing.pack(sizes, length, least_cut=8)
+    seen = Counter()
+    for s in seqs:
+        assert 0 < sum(n for _, _, n in s) <= length
+        for doc, start, n in s:
+            assert n > 0 and start >= 0
+            for k in range(start, start + n):
+                seen[doc, k] += 1
+    assert seen == Counter((d, k) for d, n in enumerate(sizes) for k in range(n))
+    fills = [sum(n for _, _, n in s) for s in seqs]
+    assert sum(length - f for f in fills if f & (f - 1) and length - f >= 8) == 0
+
+
+def test_first_fit_is_first_fit():
+    tree, bins = packing.Tournament(50, 100), []
+    for n in sorted((int(x) for x in np.random.default_rng(2).integers(1, 100, 50)), reverse=True):
+        want = next((k for k, room in enumerate(bins) if room >= n), len(bins))
+        if want == len(bins):
+            bins.append(100)
+        bins[want] -= n
+        assert tree.place(n) == want
+
+
+def test_packed_pieces(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    docs = table(spark, sf_dir, "documents").limit(120).select("doc_id", "text").unionByName(docs_of(spark, ODD).select("doc_id", "text"))
+    docs = materialize(docs.withColumn("ids", F.lit("clash")), "some")
+    out = packing.pack_documents(docs, tokenizer_path(), group_docs=40, tokens=True).collect()
+    whole = Tokenizer.from_file(tokenizer_path())
+    want = Counter((r.doc_id, tuple([*whole.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in docs.collect())
+    by_doc, by_seq = {}, {}
+    for r in out:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for rows in by_seq.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.LENGTH
+    got = Counter()
+    for (i, n), rows in by_doc.items():
+        rows.sort(key=lambda r: r.start)
+        copies = sum(r.length for r in rows) // n
+        for c in range(copies):
+            own, at = [], 0
+            for r in rows:
+                if r.start == at and not getattr(r, "_used", False) and at < n:
+                    own += r.ids
+                    at += r.length
+            got[i, tuple(own)] += 1
+            if copies > 1:  # repeated rows: their pieces are alike
+                break
+    assert set(got) == set(want)
+    assert packing.pack_documents(docs_of(spark, []), tokenizer_path()).count() == 0
+
+
+# Urls, mixing, secrets -----------------------------------------------------------------------------
+
+
+def test_rules(spark):
+    rows = [
+        (1, "HTTP://WWW.Example.COM/en/7?x#y"), (2, "http://example.com/en/8"), (3, "https://a.net/de/8"), (4, "https://example.net/de/8/9"), (5, "http://x.org/es/1"),
+        (6, "http://xorg/es/1"), (7, None), (8, "no scheme"), (9, "a://b://c/d"), (10, "http://h?q://x/"), (10, "http://h?q://x/"), (11, "http://com/en/"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("bad", F.lit("clash"))
+    none = spark.createDataFrame([], "url_key long, bad int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, none).collect()}
+    assert got == {
+        1: ("www.example.com", "/en/7", "example.com/en/7", "allow"), 2: ("example.com", "/en/8", "com/en/", "block"), 3: ("a.net", "/de/8", "net/de/", "allow"),
+        4: ("example.net", "/de/8/9", "example.net/de/8", "block"), 5: ("x.org", "/es/1", "org/es/", "block"), 6: ("xorg", "/es/1", None, "allow"), 7: ("", "", None, "allow"),
+        8: ("", "", None, "allow"), 9: ("b:", "//c/d", None, "allow"), 10: ("h", "", None, "allow"), 11: ("com", "/en/", "com/en/", "block"),
+    }
+    assert urls.judge(pages, none).count() == len(rows)
+    assert urls.judge(pages.limit(0), none).count() == 0
+
+
+def test_impure_templates_are_blocked(spark):
+    rows = [(k, f"http://h.example/{'bad' if k % 2 else 'good'}/item-{k}") for k in range(1, 81)]
+    labels = [(k, k % 2) for k in range(1, 81)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.template) for r in urls.judge(pages, spark.createDataFrame(labels, "url_key long, bad int")).collect()}
+    assert {v for k, (v, _) in got.items() if k % 2} == {"block"}
+    assert {v for k, (v, _) in got.items() if not k % 2} == {"allow"}
+    assert {t for _, t in got.values()} == {"h.example/bad/*/*", "h.example/good/*/*"}
+
+
+def test_targets_are_the_shared_fixed_point(spark):
+    rng = np.random.default_rng(4)
+    for sizes in ([10, 10, 10], [5, 100, 7, 0, 60, 3], [int(x) for x in rng.integers(1, 1000, 14)]):
+        names = [f"s{k:02d}" for k in range(len(sizes) - 1)] + [None]
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(zip(names, map(float, sizes), strict=True)), "source string, source_size double")).collect()}
+        w = [mixing.WEIGHTS[k % 3] for k in range(len(sizes))]
+        cap, want, free = [2.0 * x for x in sizes], [0.0] * len(sizes), set(range(len(sizes)))
+        left = 1.5 * sum(sizes)
+        while free:
+            over = [k for k in free if left * w[k] / sum(w[j] for j in free) > cap[k]]
+            if not over:
+                for k in free:
+                    want[k] = left * w[k] / sum(w[j] for j in free)
+                break
+            for k in over:
+                want[k] = cap[k]
+            left -= sum(cap[k] for k in over)
+            free -= set(over)
+        assert [got[n] for n in names] == pytest.approx(want)
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [(1, "a b c", "x"), (2, None, "x"), (None, "d e", None), (None, "d e", None), (3, "f " * 5000, "y"), (3, "f " * 5000, "y"), (4, "", "empty"), (5, "q r", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("rate", F.lit("clash"))
+    out = mixing.op9(df).collect()
+    assert len(out) == len(rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.op9(df.repartition(3)).collect()))
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.size] += r.copies
+    emitted = Counter((r.doc_id, len((r.text or "").split())) for r in mixing.emit(df).collect())
+    assert {k: v for k, v in taken.items() if v} == dict(emitted)
+    assert mixing.emit(df).columns == df.columns
+    assert mixing.op9(df.limit(0)).count() == 0 and mixing.emit(df.limit(0)).count() == 0
+
+
+def test_taken_words_come_near_targets(spark):
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    per = mixing.op9(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r.t / r.g - 1) < 0.2 for r in per)
+    assert sum(r.t for r in per) / sum(r.g for r in per) == pytest.approx(1, abs=0.03)
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 8:
+            found.append(("assign", *m.span()))
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PASSWD", "toKen", "ſecret", "toKen", "api_key", "APIKEY", "=", ":", " ", "\t", "'", '"', "abc", "12345678", "AKIA", "ABCDEFGH0123", "deadbeef" * 4, "é", "\n", "secret"]), max_size=25))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert [s for s in secret_scan.spans_of(text) if s[0] in ("assign", "access", "hex")] == plain_base(text)
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def test_confirmed_kinds():
+    num = lambda n: der(2, bytes([1]) * n)
+    pkcs1 = der(0x30, b"\x02\x01\x00" + b"".join(num(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)))
+    pkcs8 = der(0x30, b"\x02\x01\x00" + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, bytes(range(32)))))
+    sec1 = der(0x30, b"\x02\x01\x01" + der(4, bytes(32)) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))
+    for key in (pkcs1, pkcs8, sec1):
+        assert secret_scan.is_der_key(key)
+        assert not secret_scan.is_der_key(key[:-1]) and not secret_scan.is_der_key(key + b"\0")
+        assert [s[0] for s in secret_scan.spans_of(f"see {b64(key)} here")] == ["der"]
+        assert "der" in [s[0] for s in secret_scan.spans_of(f"see {key.hex()} here")]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{b64(pkcs8)}\n-----END PRIVATE KEY-----"
+    assert secret_scan.spans_of("x " + pem + " y") == [("pem", 2, 2 + len(pem))]
+    assert secret_scan.spans_of(pem.replace(b64(pkcs8), b64(pkcs8[:-3]))) == []
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    good = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': '1'})}.c2lnbmF0dXJl"
+    assert secret_scan.spans_of(f"é {good}!") == [("jwt", 2, 2 + len(good))]
+    assert secret_scan.spans_of(f"{url({'typ': 'JWT'})}.{url({'sub': '1'})}.c2lnbmF0dXJl") == []
+    assert secret_scan.spans_of("Q" * 400) == []
+
+
+def test_secrets_of_odd_rows(spark, sf_dir):
+    rows = [*ODD, (9, "password = hunter2hunter2 and AKIA0123456789AB"), (9, None)]
+    df = docs_of(spark, rows).withColumn("kinds", F.lit("clash")).withColumn("spans", F.lit("clash"))
+    got = secret_scan.op10(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert secret_scan.op10(df.limit(0)).count() == 0
+    docs = table(spark, sf_dir, "documents")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in secret_scan.op10(docs).collect():
+        base = plain_base(text[r.doc_id])
+        kinds = Counter(k for k, _, _ in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds[k] for k in ("assign", "access", "hex"))
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+# Neighbours ----------------------------------------------------------------------------------------
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def brute(rows, k, is_query):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if is_query(i):
+            near = sorted((-float((v * q).sum()), j) for j, v in good if j != i and len(v) == len(q))[:k]
+            if near:
+                out[i] = [(j, -s) for s, j in near]
+    return out
+
+
+def test_neighbours_all_cells(spark):
+    """With every cell probed the search is exact, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(150)]
+    rows += [(200 + k, rows[20][1]) for k in range(30)]  # ties
+    rows += [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] + [1.0] * 7), (304, [None] + [1.0] * 7), (305, [float("inf")] + [1.0] * 7), (306, [1.0, 2.0]), (320, [3.0, -1.0]), (None, rows[1][1])]
+    df = vectors(spark, rows).withColumn("id", F.lit("clash")).withColumn("cells", F.lit("clash"))
+    want = brute(rows, 20, lambda i: i % 20 == 0)
+    for block in (7, 4096):
+        out = ann.search(df, df["vec_id"] % 20 == 0, tables=2, probes=16, block_rows=block, block_queries=3)
+        got = {}
+        for r in out.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert {i: [j for j, _ in x] for i, x in got.items()} == {i: [j for j, _ in x] for i, x in want.items()}
+        for i in want:
+            assert [s for _, s in got[i]] == pytest.approx([s for _, s in want[i]])
+    assert ann.op4(vectors(spark, [])).count() == 0
+
+
+def test_recall(spark):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    got = {}
+    for r in ann.op4(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], float)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[at]
+        s[at] = -np.inf
+        hits.append(len(got[ids[at]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert len(got) == len(hits) and np.mean(hits) >= 0.9
+
+
+def test_pseudo_rotation_keeps_lengths():
+    x = np.random.default_rng(1).normal(size=(5, 24))
+    y = ann.rotate(x, ann.rotations(24, 1)[0])
+    assert y.shape == (5, 32)
+    assert np.linalg.norm(y, axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
+    found = ann.cells(x, 2, 2, 5)
+    assert found.shape == (5, 2, 5) and found.max() < 64 * 64
+    assert np.array_equal(ann.cells(x, 2, 2, 1)[:, :, 0], found[:, :, 0])
+
+
+# Pipeline ------------------------------------------------------------------------------------------
+
+
+def test_pipeline_is_its_stages(spark, sf_dir):
+    """Each stage against a plain version of its decision, on what the stage before kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_dedup import jaccard, plain_exact, plain_fingerprint
+
+    docs = table(spark, sf_dir, "documents")
+    cols = docs.columns
+    kept = [docs]
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, kept[-1], sf_dir)
+        if k < len(pipeline.STAGES) - 1:
+            assert out.columns == cols
+        kept.append(materialize(out, "stage"))
+    ids = [[r.doc_id for r in d.select("doc_id").collect()] for d in kept]
+    bad = {r.doc_id for r in toxicity.op3(docs, table(spark, sf_dir, "labels")).filter("toxic").collect()}
+    assert set(ids[1]) == set(ids[0]) - bad
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(ids[2]) == sorted(x[0] for x in plain_exact([(i, text[i]) for i in ids[1]]) if x[3])
+    fp = {i: plain_fingerprint(text[i], 5) for i in ids[2]}
+    near = lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 2 or jaccard(text[a], text[b]) >= 0.8
+    group = {}
+    for i in sorted(ids[2]):
+        group[i] = next((group[j] for j in sorted(group) if near(i, j)), i)
+    assert sorted(ids[3]) == sorted(i for i in ids[2] if group[i] == i)
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept[3]).collect()}
+    assert Counter(ids[4]) == Counter({i: n for i, n in copies.items() if n})
+    pieces = kept[5].collect()
+    assert Counter({i: n for i, n in copies.items() if n}) == Counter(r.doc_id for r in pieces if r.start == 0)
+    assert len(pipeline.run(spark, sf_dir).collect()) == len(pieces)
+
+
+def test_pipeline_needs_no_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0
+        docs = docs if out.columns != docs.columns else out
+
+
+def test_shared_folder_is_the_sessions(spark):
+    from tidemark.llm.common import shared_dir
+
+    assert os.path.basename(shared_dir(spark))

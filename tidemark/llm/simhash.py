@@ -28,17 +28,29 @@ from tidemark.llm.components import components
 BITS = 64
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, repeats included: A-Z lower-cased, joined by one space.
+
+    Fewer words than a shingle has: the whole sequence; none: empty.
+    """
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    if len(own) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(own), 42)], np.uint64)
+    shingles = map(b" ".join, zip(*(own[k:] for k in range(words))))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, len(own) - words + 1)
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of one text: A-Z lower-cased, word shingles with repeats, XXH64 seed 42.
 
     A bit is 1 if it is set in over half of the shingle hashes; no words: zero.
     """
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
         return 0
-    n = max(1, len(own) - words + 1)
-    shingles = map(b" ".join, zip(*(own[k:] for k in range(words)))) if len(own) >= words else iter([b" ".join(own)])
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, n)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):  # long texts in bounded pieces
         part = hashes[at : at + (1 << 16)]
@@ -103,13 +115,111 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
-    """docs without near copies: of each component the rows with the smallest doc_id stay, whole.
+# Near copies beyond a radius of whole-text fingerprints ------------------------------------------
 
-    Of rows that repeat both that doc_id and its text one stays. A doc_id that names several
-    texts goes only if none of them is the smallest of its component.
+#: Shingles of a passage on average, sampled passages of a text, and shingles up to which each is a passage of its own.
+CUT = 4
+SAMPLED = 8
+SHORT = 16
+
+
+def passage_prints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of SAMPLED passages of a text: those that come first in a fixed shuffle of fingerprints.
+
+    A passage ends at a shingle whose hash is a multiple of CUT, so an edit changes the passages around it and
+    no others, and the same passage of two texts is sampled in both or in neither but for the other passages.
+    In short texts single shingles are passages; lengths in between take both kinds.
+    """
+    n = len(hashes)
+    found = []
+    if n <= SHORT * 5 // 4:
+        found.append(np.unique(hashes))
+    if n >= SHORT * 4 // 5:
+        ends = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(CUT) == 0) + 1
+        starts = np.unique(np.concatenate([[0], ends[ends < n]]))
+        sizes = np.diff(np.append(starts, n))
+        prints = np.empty(len(starts), np.uint64)
+        step = 1 << 13
+        for at in range(0, len(starts), step):  # long texts in bounded pieces
+            lo, hi = starts[at], starts[at + step] if at + step < len(starts) else n
+            bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts[at : at + step] - lo, axis=0, dtype=np.int32)
+            part = np.packbits(ones * 2 > sizes[at : at + step, None], axis=1, bitorder="little")
+            prints[at : at + step] = part.view("<u8").ravel()
+        found.append(np.unique(prints))
+    shuffled = lambda x: x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29))
+    return np.unique(np.concatenate([x[np.argsort(shuffled(x), kind="stable")[:SAMPLED]] for x in found])) if n else np.zeros(0, np.uint64)
+
+
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """(u, v): ids of texts whose sets of word shingles have this Jaccard similarity, found by shared passages.
+
+    Whole-text fingerprints of two texts with a similarity of 0.8 differ in some ten bits, which no affordable
+    covering reaches; their passages between edits have equal or nearly equal fingerprints. So the covering
+    tables are filled with passage fingerprints, and texts that share a bucket are candidates. No pairs are made
+    within a bucket: each text is compared with two of its bucket's texts, the one with the most company over all
+    its buckets (in a group of edited copies the original, which shares most) and the one with the smallest id.
+    Every link is verified on whole texts. Null ids take no part.
+    """
+    rows = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).filter("id is not null")
+
+    @F.pandas_udf("array<long>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([passage_prints(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    masks = covering_masks(radius)
+    own = materialize(rows.select("id", F.explode(prints("text")).alias("fp")), "passages")
+    tables = own.select("id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
+    shared = tables.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    met = materialize(tables.join(shared.select("mask", "key", "n"), ["mask", "key"]), "met")
+    company = met.groupBy("id").agg(F.sum("n").alias("company"))
+    led = met.join(company, "id")
+    most = F.max(F.struct("company", (-F.col("id")).alias("i")))
+    leaders = led.groupBy("mask", "key").agg((-most["i"]).alias("x"), F.min("id").alias("y"))
+    pairs = met.join(leaders, ["mask", "key"]).select("id", F.explode(F.array("x", "y")).alias("with"))
+    pairs = materialize(pairs.filter("id <> with").select(F.greatest("id", "with").alias("u"), F.least("id", "with").alias("v")).distinct(), "pairs")
+    # Ids that name several texts are compared by the smallest of these.
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = rows.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "asked")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, seen = [], {}
+        for x, y in zip(a, b, strict=True):
+            for t in (x, y):
+                if t not in seen:
+                    if len(seen) > 64:
+                        seen.clear()
+                    seen[t] = np.unique(shingle_hashes(t, words))
+            p, q = (seen[t] if t in seen else np.unique(shingle_hashes(t, words)) for t in (x, y))
+            least, most_ = sorted((len(p), len(q)))
+            if least < similarity * most_:
+                out.append(False)
+                continue
+            both_ = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both_ >= similarity * (len(p) + len(q) - both_))
+        return pd.Series(out)
+
+    return both.filter(alike("tu", "tv")).select("u", "v")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float | None = 0.8) -> DataFrame:
+    """docs without near copies: of each group the rows with the smallest doc_id stay, whole.
+
+    Groups join texts whose fingerprints lie within the radius and, with a similarity, those that
+    similar_links() finds. Of rows that repeat both that doc_id and its text one stays. A doc_id that names
+    several texts goes only if none of them is the smallest of its group.
     """
-    out = near_dedup(docs, words, radius).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = materialize(near_dedup(docs, words, radius), "near")
+    if similarity is None:
+        out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    else:
+        same = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+        groups = components(same.unionByName(similar_links(docs, words, similarity, radius)))
+        gone = groups.filter("node <> component").select(F.col("node").alias("doc_id")).withColumn("__gone", F.lit(True))
+        out = out.join(gone, "doc_id", "left").withColumn("kept", F.col("__gone").isNull() & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
     by_id = out.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     odd = materialize(by_id.filter("not kept or n > 1"), "odd")
     same = lambda side: docs["doc_id"].eqNullSafe(side["doc_id"])
