@@ -128,3 +128,13 @@ def realised_vol(prices: DataFrame, panel: DataFrame, cfg: ReviewConfig) -> Data
     rv = lr.select("ticker", "date", F.sqrt(cfg.sessions_per_year * F.greatest(spread, F.lit(0.0))).alias("vol252"), F.count("r").over(w).alias("n"))
     rows = panel.filter("tradable").select("date", "ticker")
     return rows.join(rv.filter("n >= 200"), ["ticker", "date"]).select("date", "ticker", "vol252")
+
+
+def stride_sample(matrix: DataFrame, stride: int = 65, first: int = 1) -> DataFrame:
+    """Every stride-th session from the first on: a sample whose targets do not overlap."""
+    return matrix.filter((F.col("t") - first) % stride == 0)
+
+
+def first_names(universe: DataFrame, n: int = 100) -> DataFrame:
+    """The n first tickers in alphabetical order: a fixed audit set."""
+    return universe.select("ticker").distinct().orderBy("ticker").limit(n)

@@ -268,6 +268,8 @@ FINALS: dict[str, tuple[list[str], str]] = {
     ),
     "names_by_year": (["year", "names", "n_rows"], "(SELECT year(date) AS year, count(DISTINCT ticker) AS names, count(*) AS n_rows FROM avail GROUP BY ALL)"),
     "price_matrix_long": (["date", "t", "ticker", "*value"], "(SELECT a.date, t::INT AS t, ticker, high AS value FROM avail a JOIN sess USING (date) WHERE high > 0)"),
+    "stride_sample": (["date", "t", "ticker", "*value"], "(SELECT date, t::INT AS t, ticker, value FROM mat WHERE (t - 1) % 65 = 0)"),
+    "first_names": (["ticker"], "(SELECT DISTINCT 'P' || p_partkey AS ticker FROM part ORDER BY ticker LIMIT 100)"),
     "realised_vol": (["date", "ticker", "*vol252"], "vol"),
     "momentum": (_SIG, "momentum"),
     "gbm_mu_sigma": (["date", "ticker", "*mu", "*sigma"], "mus"),
@@ -322,7 +324,7 @@ FINALS: dict[str, tuple[list[str], str]] = {
     "challenger_returns": (_PR, "challenger"),
     "active_returns": (["strategy", "date", "*active"], "act"),
     "sharpe": (["strategy", "n", "*sharpe"], "(SELECT strategy, n, sr AS sharpe FROM sharpes)"),
-    "bootstrap_indices": (["strategy", "draw", "i", "idx"], "(SELECT strategy, draw::INT AS draw, i, idx FROM bidx WHERE draw < 20)"),
+    "bootstrap_indices": (["strategy", "draw", "i", "idx"], "(SELECT strategy, draw::INT AS draw, i, idx FROM bidx)"),
     "bootstrap_sharpe_ci": (_RESULT, "bci"),
     "probabilistic_sharpe": (["strategy", "n", "*sr", "*skew", "*kurt", "*psr"], f"(SELECT strategy, n, sr, skew, kurt, {normal_cdf_sql('z')} AS psr FROM (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM mom4))"),
     "deflated_sharpe": (_RESULT, "dsr"),
@@ -355,7 +357,7 @@ FINALS: dict[str, tuple[list[str], str]] = {
         """(SELECT date, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS ic FROM (SELECT date, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2 AS rx,
         rank() OVER (PARTITION BY date ORDER BY ret_fwd_1w_lag1) + (count(*) OVER (PARTITION BY date, ret_fwd_1w_lag1) - 1) / 2 AS ry FROM panel JOIN momentum USING (date, ticker) WHERE tradable AND ret_fwd_1w_lag1 IS NOT NULL) GROUP BY date)""",
     ),
-    "window_features": (["date", "ticker", "*d_open", "*d_high", "*d_low", "*d_close", "*d_volume"], "(SELECT a.date, a.ticker, a.l[1] - b.l[1] AS d_open, a.l[2] - b.l[2] AS d_high, a.l[3] - b.l[3] AS d_low, a.l[4] - b.l[4] AS d_close, a.l[5] - b.l[5] AS d_volume FROM feat a LEFT JOIN feat b ON b.ticker = a.ticker AND b.t = a.t - 1 WHERE a.t % 65 = 1)"),
+    "window_features": (["date", "ticker", "*d_open", "*d_high", "*d_low", "*d_close", "*d_volume"], "(SELECT a.date, a.ticker, a.l[1] - b.l[1] AS d_open, a.l[2] - b.l[2] AS d_high, a.l[3] - b.l[3] AS d_low, a.l[4] - b.l[4] AS d_close, a.l[5] - b.l[5] AS d_volume FROM feat a LEFT JOIN feat b ON b.ticker = a.ticker AND b.t = a.t - 1)"),
     "window_validity": (["ticker", "n", "whole"], "(SELECT ticker, count(*) AS n, (count(*) FILTER (k = 3))::BIGINT AS whole FROM (SELECT ticker, count(*) FILTER (ok) OVER (PARTITION BY ticker ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM spok) GROUP BY ticker)"),
     "window_model": (
         _SIG,
@@ -364,8 +366,8 @@ FINALS: dict[str, tuple[list[str], str]] = {
         WINDOW w AS (PARTITION BY x.ticker ORDER BY x.t RANGE BETWEEN 251 PRECEDING AND CURRENT ROW)) JOIN dates USING (date) WHERE n = 252)""",
     ),
     "feature_scaler": ([f"*{c}_{s}" for c in ("ret_fwd_1w", "ret_fwd_13w") for s in ("mean", "sd")], "(SELECT avg(ret_fwd_1w) AS ret_fwd_1w_mean, stddev_pop(ret_fwd_1w) AS ret_fwd_1w_sd, avg(ret_fwd_13w) AS ret_fwd_13w_mean, stddev_pop(ret_fwd_13w) AS ret_fwd_13w_sd FROM panel WHERE tradable)"),
-    "upsert_by_key": (["o_orderkey", "o_custkey", "*o_totalprice"], "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders)"),
-    "resume_anti_join": (["k"], "(SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0))"),
+    "upsert_by_key": (["o_orderkey", "o_custkey", "*o_totalprice"], "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders)"),
+    "resume_anti_join": (["k"], "(SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))"),
     "dense_reindex": (["date", "ticker", "*value"], f"(SELECT d.date, k.ticker, a.adj_close AS value FROM dates d CROSS JOIN (SELECT DISTINCT ticker FROM sparse WHERE date <= {END}) k LEFT JOIN sparse a ON a.ticker = k.ticker AND a.date = d.date)"),
     "melt_metrics": (_METRIC, "(SELECT date, model, metric, value FROM (UNPIVOT wide ON " + ", ".join((*CROSS, *PORTFOLIO)) + " INTO NAME metric VALUE value))"),
     "events_psi": (

@@ -163,6 +163,8 @@ QUERIES: dict[str, Q] = {
     "universe_coverage": lambda r: P.coverage(r.panel),
     "names_by_year": lambda r: P.available(r.prices, r.cfg).groupBy(F.year("date").cast("long").alias("year")).agg(F.countDistinct("ticker").alias("names"), F.count("*").alias("n_rows")),
     "price_matrix_long": lambda r: P.price_matrix(r.prices, r.cfg, "high"),
+    "stride_sample": lambda r: P.stride_sample(r.matrix),
+    "first_names": lambda r: P.first_names(fixtures.listing(r.table("part"))),
     "realised_vol": lambda r: r.vol,
     # candidates
     "momentum": lambda r: r.momentum,
@@ -203,7 +205,7 @@ QUERIES: dict[str, Q] = {
     # statistics
     "active_returns": lambda r: r.active,
     "sharpe": lambda r: r.active.groupBy("strategy").agg(F.count("*").alias("n"), sharpe(F.avg("active"), F.stddev_samp("active"), r.cfg.weeks_per_year).alias("sharpe")),
-    "bootstrap_indices": lambda r: O.bootstrap_indices(r.active.groupBy("strategy").agg(F.count("*").alias("n")), 20, r.cfg.bootstrap_block),
+    "bootstrap_indices": lambda r: O.bootstrap_indices(r.active.groupBy("strategy").agg(F.count("*").alias("n")), r.cfg.bootstrap_n, r.cfg.bootstrap_block),
     "bootstrap_sharpe_ci": lambda r: O.bootstrap_sharpe_ci(r.active, r.cfg),
     "probabilistic_sharpe": lambda r: O.probabilistic(r.active),
     "deflated_sharpe": lambda r: O.deflated_sharpe(r.active, r.active.groupBy("strategy").agg(sharpe(F.avg("active"), F.stddev_samp("active")).alias("sr")), r.cfg),
@@ -226,7 +228,7 @@ QUERIES: dict[str, Q] = {
     ).groupBy("part").agg(F.count("*").alias("n"), F.min("end").alias("first_end"), F.max("target_end").alias("last_target")),
     "rank_target": lambda r: K.rank_target(r.panel.filter("tradable")).select("date", "ticker", "rank_pct"),
     "spearman_ic": lambda r: K.spearman_ic(r.panel.filter("tradable").join(r.momentum, ["date", "ticker"]), "score", "ret_fwd_1w_lag1", "date"),
-    "window_features": lambda r: K.window_features(r.prices, r.sess, r.cfg, True).filter("t % 65 = 1").select(
+    "window_features": lambda r: K.window_features(r.prices, r.sess, r.cfg, True).select(
         "date", "ticker", *(F.col("f")[k].alias(f"d_{c}") for k, c in enumerate(K.OHLCV))
     ),
     "window_validity": lambda r: K.finite_windows(
@@ -237,10 +239,10 @@ QUERIES: dict[str, Q] = {
     # table operations
     "upsert_by_key": lambda r: warehouse.upsert(
         r.table("orders").select("o_orderkey", "o_custkey", "o_totalprice"),
-        r.table("orders").filter("o_orderkey % 7 = 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice")), ("o_orderkey",),
+        r.table("orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice")), ("o_orderkey",),
     ),
     "resume_anti_join": lambda r: warehouse.not_yet_stored(
-        r.table("customer").select(F.col("c_custkey").alias("k")), r.table("orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k")), "k"
+        r.table("customer").select(F.col("c_custkey").alias("k")), r.table("orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k"
     ),
     "dense_reindex": lambda r: P.dense_reindex(P.price_matrix(r.sparse, r.cfg), r.dates, r.sess).join(F.broadcast(r.dates), "date", "left_semi").select("date", "ticker", "value"),
     "melt_metrics": lambda r: M.melt(r.wide, [*G.CROSS, *G.PORTFOLIO]),
