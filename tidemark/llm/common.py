@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,23 @@ def word_count(text):
     return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
 
 
+#: Bytes of text that a Python worker turns into strings at once, or one text if it is longer.
+PIECE = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most PIECE bytes of text each, one row at least: long texts do not add up."""
+    size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(size):
+        end, room = at + 1, PIECE - size[at]
+        while end < len(size) and room >= size[end]:
+            room -= size[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], types: dict[str, pa.DataType], schema: str) -> DataFrame:
     """doc_id and what a function of a batch of texts returns: one row per row of docs.
 
@@ -64,10 +82,11 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            out = of(batch.column("text").to_pylist())
-            arrays = [pa.array(out[name], kind) for name, kind in types.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
+        for whole in batches:
+            for batch in pieces(whole):
+                out = of(batch.column("text").to_pylist())
+                arrays = [pa.array(out[name], kind) for name, kind in types.items()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
 
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,20 +21,25 @@ END_ID = 2
 GROUP_DOCS = 2048
 #: Gaps of fewer tokens are padded, not filled by cutting another document.
 LEAST_CUT = 16
-#: End punctuation that is one word of its own to the tokenizer, wherever it stands.
-MARKS = ".,!?;:|*$%&#"
+#: End punctuation after a letter or digit: one word of its own to the tokenizer.
+MARKS = re.compile(r"(?<=[^\W_])([.,!?;:|*$%&#]+)(?=[ \n]|\Z)")
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBER = 400_000
+REMEMBER = 500_000
+#: Characters that are taken apart at once, or one text if it is longer.
+CHARS = 1 << 20
 
 
+@cache
 def chunk_encoder(path: str, end_id: int):
     """A function from texts to the bytes of their ids, end_id appended, and the ids' numpy kind.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks
     between spaces and line feeds, one after the other. Chunks repeat, so a bounded memory of their ids
-    saves most of the work. A new chunk of letters and end punctuation is taken apart further, as the
-    tokenizer would: where a vocabulary marks word ends, new words are encoded many at a time and the
-    marks tell their ids apart. Any other new chunk is encoded alone. Tests compare with whole texts.
+    saves most of the work. Where the vocabulary lower-cases and marks word ends, texts are lower-cased and
+    punctuation after a word set apart first, as the tokenizer would; new words are then encoded many at a
+    time and the marks tell their ids apart. Any other new chunk is encoded alone. Tests compare with whole
+    texts. Special tokens inside texts count as the tokenizer counts them.
+    A worker keeps the function and its memory from task to task.
     """
     from tokenizers import Tokenizer
 
@@ -44,61 +51,70 @@ def chunk_encoder(path: str, end_id: int):
     lower = [x["type"] for x in (json.loads(tokenizer.to_str())["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
     by_word = lower and bool(ends.any())
     known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}  # lower-case words and end punctuation
     last = kind(end_id).tobytes()
+    width = np.dtype(kind).itemsize
 
-    def alone(chunks: list[str], into: dict[str, bytes]) -> None:
+    def alone(chunks: list[str]) -> None:
         for at in range(0, len(chunks), 8192):
             some = chunks[at : at + 8192]
             for chunk, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                into[chunk] = np.array(e.ids, kind).tobytes()
+                known[chunk] = np.array(e.ids, kind).tobytes()
 
     def together(words: list[str]) -> None:
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
-            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
             stops = np.flatnonzero(ends[ids]) + 1
             if len(stops) != len(some):
-                alone(some, parts)
+                alone(some)
                 continue
-            data, width, start = ids.astype(kind).tobytes(), np.dtype(kind).itemsize, 0
+            data, start = ids.astype(kind).tobytes(), 0
             for word, stop in zip(some, (stops * width).tolist(), strict=True):
-                parts[word] = data[start:stop]
+                known[word] = data[start:stop]
                 start = stop
 
-    def learn(chunks: list[str]) -> None:
-        split, words, marks, odd = [], {}, {}, []
+    def learn(chunks) -> None:
+        words, odd = [], []
         for chunk in chunks:
-            word = chunk.rstrip(MARKS)
-            small = word.lower()
-            # Below U+0180 letters are normalised already and have plain lower-case forms.
-            if by_word and small.isalpha() and (small.isascii() or max(word) < "\u0130"):
-                mark = chunk[len(word) :]
-                split.append((chunk, small, mark))
-                if small not in parts:
-                    words[small] = None
-                if mark and mark not in parts:
-                    marks[mark] = None
-            else:
-                odd.append(chunk)
-        alone(odd, known)
-        alone(list(marks), parts)
-        together(list(words))
-        for chunk, small, mark in split:
-            known[chunk] = parts[small] + parts[mark] if mark else parts[small]
+            (words if by_word and chunk.isalpha() and latin(chunk) else odd).append(chunk)
+        alone(odd)
+        together(words)
+
+    def latin(text: str) -> bool:
+        """Letters below U+0100 are normalised already and have plain lower-case forms."""
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def chunks_of(text: str) -> list[str]:
+        if by_word and latin(text):  # lower case, and end punctuation apart: fewer kinds of chunks
+            text = MARKS.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        for memory in (known, parts):
-            if len(memory) > REMEMBER:
-                memory.clear()
-        known[""] = b""
-        new: dict[str, None] = {}
-        for chunks in split:
-            new.update(dict.fromkeys(c for c in chunks if c not in known))
-        learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) + last for chunks in split]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # few texts at a time, as their chunks take many times their room
+            end, room = at + 1, CHARS - len(texts[at])
+            while end < len(texts) and room >= len(texts[end]):
+                room -= len(texts[end])
+                end += 1
+            split = [chunks_of(t) for t in texts[at:end]]
+            if len(known) > REMEMBER:
+                known.clear()
+            known[""] = b""
+            new: set[str] = set()
+            for chunks in split:
+                new.update(chunks)
+            learn(new - known.keys())
+            get = known.__getitem__
+            out += [b"".join(map(get, chunks)) + last for chunks in split]
+            at = end
+        return out
 
     return encode, kind
 
