@@ -33,11 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage and computes df once for all its readers. The files survive
-    the loss of any executor.
+    the loss of any executor and go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,9 +61,9 @@ def word_count(text):
 PIECE = 4 << 20
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most PIECE bytes of text each, one row at least: long texts do not add up."""
-    size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in texts or ("text",))
     at = 0
     while at < len(size):
         end, room = at + 1, PIECE - size[at]
