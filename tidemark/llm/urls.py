@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import materialize, read
 
 # The contract's rules (verdict, host, path).
 RULES = (
@@ -74,7 +74,7 @@ def templates(rows: DataFrame, share: float = SHARE, z: float = Z, prior: float
         apart = F.abs(rate - all_) >= z * F.sqrt(all_ * (1.0 - all_) / F.greatest(F.col("lab"), F.lit(1)))
         keep = (F.col("n") >= share * F.col("pn")) & (F.col("lab") > 0) & apart
         named = one.join(whole, done).select(*done, s, F.when(keep, F.col(s)).otherwise(F.lit("*")).alias(t))
-        tree = tree.join(named, [*done, s])
+        tree = materialize(tree.join(named, [*done, s]), t)  # a row a shape; else the plan triples with each level
         done.append(t)
     total = rows.agg(F.sum("lab"), F.sum("bad")).first()  # two numbers
     lab, bad = total[0] or 0, total[1] or 0
@@ -108,7 +108,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, purity: float = PU
         F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)).alias("lab"),
         F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("bad"),
     )
-    found = templates(rows)
+    found = templates(materialize(rows, "shapes"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < purity, "block").otherwise("allow")
     return urls.join(found, shapes).select(
