@@ -326,7 +326,7 @@ def test_mixing_of_odd_rows(spark):
 def test_taken_words_come_near_targets(spark):
     df = table(spark, "/root/testdata/sf0.01", "documents")
     per = mixing.op9(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
-    assert all(abs(r.t / r.g - 1) < 0.2 for r in per)
+    assert all(abs(r.t / r.g - 1) < 0.1 for r in per)
     assert sum(r.t for r in per) / sum(r.g for r in per) == pytest.approx(1, abs=0.03)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, word_count
+from tidemark.llm.common import materialize, text_of, word_count
 
 #: Weights dealt to the sources in order, the share of all words to take, and the most copies of a source.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Documents of a source are dealt into so many strata for each power-of-two class of sizes.
-STRATA = 64
+#: Hashes are told apart by this many bits: 4,096 bins for each source.
+BIN_BITS = 12
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -40,34 +40,55 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
 
 
+def _hash(doc_id, seed: str):
+    """32 bits of a hash of the id."""
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def goals(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """(source, source_size, target, whole, bins): one row for each source, written to the shared folder.
+
+    rate = target / source_size: every document is taken whole = floor(rate) times, and once more if its
+    hash falls into the first `bins` of 4,096 bins. Their number is the one whose words come nearest to the
+    fraction of the source's words: the fraction itself, but for the chance of which documents hash low.
+    Words are summed by source and bin before anything is shuffled, so a hot source is 4,096 rows.
+    """
+    rows = docs.select(docs["source"], word_count(text_of(docs)).alias("size"), F.shiftright(_hash(docs["doc_id"], seed), 32 - BIN_BITS).alias("bin"))
+    sums = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
+    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    aims = aims.withColumn("whole", F.floor(rate)).withColumn("extra", (rate - F.floor(rate)) * F.col("source_size"))
+    by_source = sums.withColumnRenamed("source", "__source")
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # 4,096 rows a source at most
+    met = aims.join(by_source, aims["source"].eqNullSafe(by_source["__source"])).withColumn("gap", F.abs(upto - F.col("extra")))
+    near = met.groupBy("source", "source_size", "target", "whole", "extra").agg(F.min(F.struct("gap", (F.col("bin") + 1).alias("bins"))).alias("n"))
+    bins = F.when(F.col("n.gap") < F.col("extra"), F.col("n.bins")).otherwise(F.lit(0))
+    return materialize(near.select("source", "source_size", "target", "whole", bins.cast("long").alias("bins")), "goals")
+
+
+def _with_copies(docs: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """docs with __source_size, __target and __copies. plan is a written table of a row for each source, so Spark
+    knows its size and broadcasts it only under its threshold; then no text is shuffled."""
+    own = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
+    met = docs.join(own, docs["source"].eqNullSafe(own["__source"]))
+    low = F.shiftright(_hash(docs["doc_id"], seed), 32 - BIN_BITS) < F.col("__bins")
+    return met.withColumn("__copies", F.col("__whole") + low.cast("long"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of docs.
 
-    size is the number of words (null text: 0). rate = target / source_size; a document is taken
-    floor(rate) times and once more with probability rate - floor(rate). The extra copy is a Bernoulli
-    draw seeded by a hash, stratified to keep a source's total near its target: within a stratum (source,
-    size class, hash of the id) the documents in order of size share one hash-seeded uniform u, and the
-    k-th gets floor(k f + u) - floor((k - 1) f + u) extra copies, which is 1 with probability f for each.
-    Reruns agree: everything depends on ids and sizes alone. Sources without words have target 0 and
-    their documents are taken 0 times. Null sources form one source, null ids hash as one id. An empty
-    table gives an empty result. Text is not shuffled.
+    size is the number of words (null text: 0). Reruns agree: copies depend on the id's hash and the sums of
+    the sources alone. Sources without words have target 0 and their documents are taken 0 times. Null sources
+    form one source, null ids hash as one id, rows that repeat an id share its copies. An empty table gives an
+    empty result; other columns are ignored.
     """
-    rows = docs.select(docs["doc_id"], docs["source"], word_count(text_of(docs)).alias("size"))
-    rows = rows.withColumn("hv", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long"))
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = goals.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # One row for each source, so the other side may be split where a source is hot.
-    goals = goals.withColumnRenamed("source", "__source")
-    rated = rows.join(goals, rows["source"].eqNullSafe(goals["__source"])).drop("__source")
-    kind = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(F.lit(-1))
-    rated = rated.withColumn("kind", kind.cast("int")).withColumn("stratum", F.col("hv") % STRATA)
-    walk = Window.partitionBy("source", "kind", "stratum").orderBy("size", "hv", "doc_id")
-    seeded = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("")), F.col("kind").cast("string"), F.col("stratum").cast("string")))
-    u = (F.conv(F.substring(seeded, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    f = F.col("rate") - F.floor("rate")
-    k = F.row_number().over(walk).cast("double")
-    copies = F.floor("rate") + F.floor(k * f + u) - F.floor((k - 1) * f + u)
-    return rated.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = _with_copies(docs.select("doc_id", "source", "text"), goals(docs, weights, share, most, seed), seed)
+    return out.select(
+        "doc_id", "source", word_count(F.coalesce("text", F.lit(""))).alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), F.col("__copies").alias("copies"),
+    )
 
 
 def op9(docs: DataFrame) -> DataFrame:
@@ -76,27 +97,10 @@ def op9(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; its columns are unchanged.
-
-    Rows that share a doc_id are joined by their number of words too, and by rank among those that
-    share both, so each row gets its own number of copies.
-    """
-    taken = mix(docs, weights, share, most).select("doc_id", "source", "size", "copies")
-    counts = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size")), "__copies", "__rows")
-    sized = docs.withColumn("__words", word_count(text_of(docs)))
-    same = sized["doc_id"].eqNullSafe(counts["__doc_id"]) & sized["source"].eqNullSafe(counts["__source"]) & (sized["__words"] == counts["__size"])
-    joined = sized.join(counts, same)
-    alone = joined.withColumn("__times", F.col("__copies").cast("int"))
-    # Repeated rows share their copies: the first ones take one more where they do not divide.
-    nth = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy(F.lit(1)))
-    several = joined.filter("__rows > 1").withColumn("__nth", nth).withColumn(
-        "__times", (F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("int")).cast("int")
-    )
-    own = docs.columns
-    every = alone.filter("__rows = 1").select(*own, "__times").unionByName(several.select(*own, "__times"))
-    return every.select(*own, F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")).drop("__copy")
+def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """docs with every row repeated as often as the mix takes it; its columns are unchanged."""
+    out = _with_copies(docs, goals(docs, weights, share, most, seed), seed)
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 SQL = r"""
@@ -112,14 +116,12 @@ t AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
           / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 l AS (SELECT level AS final FROM t WHERE level * w < cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
 g AS (SELECT source, source_size, least(cap, coalesce((SELECT final FROM l) * w, cap)) AS target FROM t),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-             CASE WHEN size > 0 THEN floor(log2(size))::INT ELSE -1 END AS kind, hv % 64 AS stratum
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, rate - floor(rate) AS f,
-             row_number() OVER (PARTITION BY source, kind, stratum ORDER BY size, hv, doc_id NULLS FIRST)::DOUBLE AS k,
-             (('0x' || substr(md5('mix|' || coalesce(source, '') || '|' || kind || '|' || stratum), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
-      FROM r)
-SELECT doc_id, size, source_size, target,
-       size * (floor(rate) + floor(k * f + u) - floor((k - 1) * f + u))::BIGINT AS taken
-FROM k
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM g),
+b AS (SELECT source, hv >> 20 AS bin, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+n AS (SELECT r.source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(floor(rate)) AS whole, any_value((rate - floor(rate)) * source_size) AS extra,
+             arg_min(bin + 1, (gap, bin)) AS bins, min(gap) AS gap
+      FROM r JOIN (SELECT b.source, bin, abs(sum(words) OVER (PARTITION BY b.source ORDER BY bin) - (rate - floor(rate)) * source_size) AS gap
+                   FROM b JOIN r ON r.source IS NOT DISTINCT FROM b.source) c ON c.source IS NOT DISTINCT FROM r.source GROUP BY r.source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN hv >> 20 < (CASE WHEN gap < extra THEN bins ELSE 0 END) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 """
