@@ -21,13 +21,13 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACE_BITS = 20
 PREFIXES = (4, 5, 6, 7)
 #: The most labelled rows that the fit takes (its bounded sample), and the features kept.
-MAX_LABELLED = 8192
+MAX_LABELLED = 6144
 KEPT = 2048
 #: Grades above 0: labelled rows are split among them by how much of the text speaks for the label.
 GRADES = 3
 REJECT = 0.5
 #: Words whose features a worker remembers; then it starts anew.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 def word_features(word: str) -> set[int]:
@@ -95,13 +95,14 @@ def fit(rows: np.ndarray, feats: np.ndarray, times: np.ndarray, toxic: np.ndarra
     width = 1 << SPACE_BITS
     speaks = toxic[rows] == 1
     pos, neg = (np.bincount(feats[m], minlength=width) for m in (speaks, ~speaks))
+    del speaks
     p, q = pos / n_pos, neg / n_neg
     good = np.flatnonzero((pos >= 3) & (p > q))
     if not len(good):
         return Model({}, np.full(GRADES, 6.0) + np.arange(GRADES))
     worth = (p[good] - q[good]) ** 2 / (p[good] + q[good])
     chosen = good[np.lexsort((good, -worth))][:kept]
-    index = np.full(width, -1)
+    index = np.full(width, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     col = index[feats]
     strong = (col >= 0) & (col < max(1, len(chosen) // 16))
@@ -141,11 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: st
     got = map_texts(rows.select(F.col("label").alias("doc_id"), "text"), make, {"f": pa.binary(), "n": pa.binary()}, "f binary, n binary").toArrow()
     fs, ns = (got.column(c).to_pylist() for c in ("f", "n"))
     toxic = np.array(got.column("doc_id").to_pylist(), int)
-    del got
+    del got  # the driver holds one copy at a time
     order = sorted(range(len(fs)), key=lambda k: (zlib.crc32(fs[k]), fs[k]))  # the rows arrive in any order
     feats, times = (np.frombuffer(b"".join(x[k] for k in order), np.int32) for x in (fs, ns))
     at = np.repeat(np.arange(len(order), dtype=np.int32), [len(fs[k]) // 4 for k in order])
-    return fit(at, feats, times, toxic[order])
+    toxic = toxic[order]
+    del fs, ns
+    return fit(at, feats, times, toxic)
 
 
 def grade(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
