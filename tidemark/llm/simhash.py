@@ -14,15 +14,16 @@ the smallest. A point has at most 65 guests, whatever the size of the group of c
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_of
+from tidemark.llm.common import map_texts, materialize, pieces, text_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -58,12 +59,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int):
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row as a signed long."""
 
-    return of
+    def make():
+        return lambda texts: {"fp": np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)}
+
+    return map_texts(docs, make, {"fp": pa.int64()}, "fp long")
 
 
 def covering_masks(radius: int = 2) -> list[int]:
@@ -104,7 +106,8 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
     nobody's component_id unless no other id is in its component, which is then null.
     An empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(docs.select(docs[id_col].alias("id"), _fingerprints(words)(text_of(docs, text_col)).alias("fp")), "prints")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    prints = materialize(_fingerprints(rows, words).withColumnRenamed("doc_id", "id"), "prints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     found = materialize(components(links(classes.select("fp"), radius)), "found")
     placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -163,12 +166,12 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     """
     rows = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).filter("id is not null")
 
-    @F.pandas_udf("array<long>")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([passage_prints(shingle_hashes(t, words)).view(np.int64) for t in texts])
+    def make():
+        return lambda texts: {"fps": [passage_prints(shingle_hashes(t, words)).view(np.int64) for t in texts]}
 
+    prints = map_texts(rows.withColumnRenamed("id", "doc_id"), make, {"fps": pa.list_(pa.int64())}, "fps array<long>")
     masks = covering_masks(radius)
-    own = materialize(rows.select("id", F.explode(prints("text")).alias("fp")), "passages")
+    own = materialize(prints.select(F.col("doc_id").alias("id"), F.explode("fps").alias("fp")), "passages")
     tables = own.select("id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
     shared = tables.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     met = materialize(tables.join(shared.select("mask", "key", "n"), ["mask", "key"]), "met")
@@ -184,25 +187,19 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     texts = materialize(texts, "asked")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, seen = [], {}
-        for x, y in zip(a, b, strict=True):
-            for t in (x, y):
-                if t not in seen:
-                    if len(seen) > 64:
-                        seen.clear()
-                    seen[t] = np.unique(shingle_hashes(t, words))
-            p, q = (seen[t] if t in seen else np.unique(shingle_hashes(t, words)) for t in (x, y))
-            least, most_ = sorted((len(p), len(q)))
-            if least < similarity * most_:
-                out.append(False)
-                continue
-            both_ = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both_ >= similarity * (len(p) + len(q) - both_))
-        return pd.Series(out)
-
-    return both.filter(alike("tu", "tv")).select("u", "v")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
+        for whole in batches:
+            for batch in pieces(whole, "tu", "tv"):
+                fits = []
+                for x, y in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist(), strict=True):
+                    p, q = of(x), of(y)
+                    both_ = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
+                    fits.append(both_ > 0 and both_ >= similarity * (len(p) + len(q) - both_))
+                yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.select("u", "v", "tu", "tv").mapInArrow(verify, f"u {kind}, v {kind}")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float | None = 0.8) -> DataFrame:
