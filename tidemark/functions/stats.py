@@ -34,15 +34,41 @@ def normal_cdf_sql(x: str) -> str:
     return f"(0.5::DOUBLE * (1.0::DOUBLE + sign({x}) * (1.0::DOUBLE - {poly} * exp(-{z} * {z}))))"
 
 
+def digest(*key: Column | str) -> Column:
+    parts = [k.cast("string") if isinstance(k, Column) else F.lit(k) for k in key]
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def uniform_at(hexes: Column, at: int = 1) -> Column:
+    """A uniform in (0, 1) from eight hexadecimal digits of a digest."""
+    return (F.conv(F.substring(hexes, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
 def uniform(*key: Column | str) -> Column:
     """A uniform in (0, 1) that depends on the key alone, not on partitions or row order."""
-    parts = [k.cast("string") if isinstance(k, Column) else F.lit(k) for k in key]
-    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return uniform_at(digest(*key))
 
 
-def uniform_sql(*key: str) -> str:
+def uniform_sql(*key: str, at: int = 1) -> str:
     text = " || '|' || ".join(f"({k})::VARCHAR" for k in key)
-    return f"((('0x' || substr(md5({text}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"((('0x' || substr(md5({text}), {at}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def trailing(x: str, by, back: int, rows: bool = False) -> tuple[Column, Column, Column]:
+    """Count, mean and sample deviation of x over the last `back` units of the ordering, this row's included.
+
+    Differences of two growing sums: a frame that only grows is updated once a row, while a sliding frame
+    is summed anew for each. by is a window ordered by a number; rows counts rows instead of its units.
+    """
+    from pyspark.sql import Window
+
+    frame = by.rowsBetween if rows else by.rangeBetween
+    upto, before = frame(Window.unboundedPreceding, 0), frame(Window.unboundedPreceding, -back)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0.0)) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    n = F.count(x).over(upto) - F.count(x).over(before)
+    s1, s2 = total(F.col(x)), total(F.col(x) * F.col(x))
+    var = F.greatest(s2 - s1 * s1 / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+    return n, s1 / F.nullif(n, F.lit(0)), F.sqrt(var)
 
 
 def finite(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ReviewConfig
+from tidemark.functions.stats import trailing
 
 
 def clean_universe(listing: DataFrame, size: int, asof: str) -> DataFrame:
@@ -121,11 +122,10 @@ def realised_vol(prices: DataFrame, panel: DataFrame, cfg: ReviewConfig) -> Data
     Returns bridge a ticker's own gaps: the lag is its previous valid row.
     """
     own = Window.partitionBy("ticker").orderBy("date")
-    w = own.rowsBetween(-251, 0)
     r = F.log(F.col("adj_close") / F.lag("adj_close").over(own))
     lr = available(prices, cfg).filter("adj_close > 0").select("ticker", "date", r.alias("r"))
-    spread = F.avg(F.col("r") * F.col("r")).over(w) - F.avg("r").over(w) * F.avg("r").over(w)
-    rv = lr.select("ticker", "date", F.sqrt(cfg.sessions_per_year * F.greatest(spread, F.lit(0.0))).alias("vol252"), F.count("r").over(w).alias("n"))
+    n, mean, sd = trailing("r", own, cfg.sessions_per_year, rows=True)
+    rv = lr.select("ticker", "date", n.alias("n"), (sd * F.sqrt(cfg.sessions_per_year * (n - 1) / F.nullif(n, F.lit(0)))).alias("vol252"))
     rows = panel.filter("tradable").select("date", "ticker")
     return rows.join(rv.filter("n >= 200"), ["ticker", "date"]).select("date", "ticker", "vol252")
 

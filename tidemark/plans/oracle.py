@@ -9,7 +9,7 @@ from tidemark.config import FIXTURE as CFG
 from tidemark.functions.stats import max_of_normals, normal_cdf_sql, uniform_sql
 from tidemark.operators.calibration import TARGETS
 from tidemark.operators.gate import CROSS, PORTFOLIO
-from tidemark.plans.review import TRIALS
+from tidemark.plans.review import DIGITS, EXACT, TRIALS
 
 END, START, OOT = (f"DATE '{d}'" for d in (CFG.end, CFG.start, CFG.oot_start))
 R52 = f"{math.sqrt(52)!r}::DOUBLE"
@@ -64,7 +64,7 @@ PARTS |= {
     "mus": f"""SELECT date, ticker, mu, sigma FROM (SELECT date, ticker, avg(lr) OVER w * 252 AS mu, stddev_samp(lr) OVER w * sqrt(252) AS sigma, count(lr) OVER w AS n FROM lr
         WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL {CFG.gbm_days - 1} DAYS PRECEDING AND CURRENT ROW)) JOIN dates USING (date) WHERE n >= {CFG.gbm_min_obs} AND sigma IS NOT NULL""",
     "gexp": f"SELECT date, ticker, 'gbm_expected' AS model, list_sum([exp(mu * (i * {CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE)) FOR i IN range(0, {CFG.gbm_steps + 1})]) / {CFG.gbm_steps + 1} - 1 AS score FROM mus",
-    "gsteps": f"""SELECT date, ticker, mu, sigma, i, sum(sqrt({CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) * sqrt(-2 * ln({uniform_sql(f"'a{CFG.seed}'", 'date', 'ticker', 'i')})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(f"'b{CFG.seed}'", 'date', 'ticker', 'i')}))
+    "gsteps": f"""SELECT date, ticker, mu, sigma, i, sum(sqrt({CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) * sqrt(-2 * ln({uniform_sql(f"'g{CFG.seed}'", 'date', 'ticker', 'i')})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(f"'g{CFG.seed}'", 'date', 'ticker', 'i', at=9)}))
         OVER (PARTITION BY date, ticker ORDER BY i) AS w FROM mus, range(1, {CFG.gbm_steps + 1}) r(i)""",
     "gpath": f"""SELECT date, ticker, 'gbm' AS model, (1 + sum(exp((mu - 0.5::DOUBLE * sigma * sigma) * (i * {CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) + sigma * w))) / {CFG.gbm_steps + 1} - 1 AS score FROM gsteps GROUP BY date, ticker""",
 }
@@ -414,7 +414,8 @@ def _ordered(names: set[str]) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (cols, src) in FINALS.items():
-        picked = ", ".join(f"round({c[1:]}, 8) + 0.0::DOUBLE AS {c[1:]}" if c[0] == "*" else c for c in cols)
+        exact = {f"*{c}" for c in EXACT.get(name, ())}
+        picked = ", ".join(f"round({c[1:]}, {DIGITS.get(c[1:], 8)}) + 0.0::DOUBLE AS {c[1:]}" if c[0] == "*" and c not in exact else c.lstrip("*") for c in cols)
         final = f"SELECT {picked} FROM {src}"
         parts = _ordered(_needed(final))
         out[name] = ("WITH " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in parts) + "\n" if parts else "") + final
