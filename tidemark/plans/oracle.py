@@ -338,7 +338,7 @@ FINALS: dict[str, tuple[list[str], str]] = {
     "contrast_verdict": (["strategy", "verdict"], "(SELECT strategy, CASE WHEN ci_low > 0 THEN 'better' WHEN ci_high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM pairci)"),
     "matched_calibration": (
         ["model", "horizon_sessions", "n", "*slope", "*intercept", "*mae", "target"],
-        f"""(SELECT model, horizon AS horizon_sessions, count(*) AS n, regr_slope(actual, score) AS slope, regr_intercept(actual, score) AS intercept, avg(abs(actual - score)) AS mae,
+        f"""(SELECT model, horizon::BIGINT AS horizon_sessions, count(*) AS n, regr_slope(actual, score) AS slope, regr_intercept(actual, score) AS intercept, avg(abs(actual - score)) AS mae,
         CASE model {' '.join(f"WHEN '{m}' THEN '{t[3]}'" for m, t in TARGETS.items())} END AS target FROM pairs WHERE actual IS NOT NULL GROUP BY ALL)""",
     ),
     "direction_metric": (
