@@ -24,7 +24,7 @@ LEAST_CUT = 16
 #: End punctuation after a letter or digit: one word of its own to the tokenizer.
 MARKS = re.compile(r"(?<=[^\W_])([.,!?;:|*$%&#]+)(?=[ \n]|\Z)")
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBER = 400_000
+REMEMBER = 500_000
 #: Characters that are taken apart at once, or one text if it is longer.
 CHARS = 1 << 20
 
