@@ -159,6 +159,36 @@ def test_similar_links(spark):
     assert kept == set(want.values())
 
 
+def test_similar_links_in_hot_buckets(spark):
+    """Texts that share 70 to 85 % of their words are unlike, near copies among them are all found."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    block = [rng.choice(words) for _ in range(340)]
+    texts = []
+    for k in range(160):
+        shared = block[: rng.randrange(280, 341)]
+        t = shared + [f"u{k}x{j}" for j in range(400 - len(shared))]
+        cut = rng.randrange(len(t))
+        t = t[cut:] + t[:cut]
+        texts.append(" ".join(t))
+        if k % 4 == 0:
+            c = list(t)
+            for at in rng.sample(range(400), 6):  # each edit changes up to five of 396 shingles
+                c[at] = f"e{k}x{at}"
+            texts.append(" ".join(c))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = {(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert 40 <= len(alike) < 100
+    got = {(r.u, r.v) for r in simhash.similar_links(docs_of(spark, rows)).collect()}
+    assert got == alike
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, rows)).collect()}
+    fps = [plain_fingerprint(t, 5) for t in texts]
+    want = plain_components(range(len(rows)), lambda a, b: (max(a, b), min(a, b)) in alike or bin(fps[a] ^ fps[b]).count("1") <= 2)
+    assert kept == set(want.values())
+
+
 def test_keep_one_keeps_rows_whole(spark):
     rows = [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (7, "z " * 9), (None, "q r s")]
     out = simhash.keep_one(docs_of(spark, rows))

@@ -14,6 +14,7 @@ the smallest. A point has at most 65 guests, whatever the size of the group of c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -120,67 +121,58 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
 
 # Near copies beyond a radius of whole-text fingerprints ------------------------------------------
 
-#: Shingles of a passage on average, sampled passages of a text, and shingles up to which each is a passage of its own.
-CUT = 4
-SAMPLED = 8
-SHORT = 16
+#: Slots of the table that estimates how common a shingle is, and slots of a row of it. They decide costs only.
+SLOTS = 1 << 18
+SLOT_ROW = 1 << 12
 
 
-def passage_prints(hashes: np.ndarray) -> np.ndarray:
-    """SimHash fingerprints of SAMPLED passages of a text: those that come first in a fixed shuffle of fingerprints.
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
 
-    A passage ends at a shingle whose hash is a multiple of CUT, so an edit changes the passages around it and
-    no others, and the same passage of two texts is sampled in both or in neither but for the other passages.
-    In short texts single shingles are passages; lengths in between take both kinds.
-    """
-    n = len(hashes)
-    found = []
-    if n <= SHORT * 5 // 4:
-        found.append(np.unique(hashes))
-    if n >= SHORT * 4 // 5:
-        ends = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(CUT) == 0) + 1
-        starts = np.unique(np.concatenate([[0], ends[ends < n]]))
-        sizes = np.diff(np.append(starts, n))
-        prints = np.empty(len(starts), np.uint64)
-        step = 1 << 13
-        for at in range(0, len(starts), step):  # long texts in bounded pieces
-            lo, hi = starts[at], starts[at + step] if at + step < len(starts) else n
-            bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts[at : at + step] - lo, axis=0, dtype=np.int32)
-            part = np.packbits(ones * 2 > sizes[at : at + step, None], axis=1, bitorder="little")
-            prints[at : at + step] = part.view("<u8").ravel()
-        found.append(np.unique(prints))
-    shuffled = lambda x: x * np.uint64(0x9E3779B97F4A7C15) ^ (x >> np.uint64(29))
-    return np.unique(np.concatenate([x[np.argsort(shuffled(x), kind="stable")[:SAMPLED]] for x in found])) if n else np.zeros(0, np.uint64)
-
-
-def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
-    """(u, v): ids of texts whose sets of word shingles have this Jaccard similarity, found by shared passages.
 
-    Whole-text fingerprints of two texts with a similarity of 0.8 differ in some ten bits, which no affordable
-    covering reaches; their passages between edits have equal or nearly equal fingerprints. So the covering
-    tables are filled with passage fingerprints, and texts that share a bucket are candidates. No pairs are made
-    within a bucket: each text is compared with two of its bucket's texts, the one with the most company over all
-    its buckets (in a group of edited copies the original, which shares most) and the one with the smallest id.
-    Every link is verified on whole texts. Null ids take no part.
+def common(texts: DataFrame, words: int) -> np.ndarray:
+    """Texts with a shingle that falls into each slot: common shingles have high counts, rare ones the average."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for batch in pieces(whole):
+                for t in batch.column("text").to_pylist():
+                    np.add.at(seen, slots(np.unique(shingle_hashes(t, words))), 1)
+        rows = [r.tobytes() for r in seen.astype("<u4").reshape(-1, SLOT_ROW)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["part", "seen"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOT_ROW, np.int64)
+        for batch in batches:
+            for r in batch.column("seen").to_pylist():
+                sums += np.frombuffer(r, "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "seen"])
+
+    parts = texts.select("text").mapInArrow(count, "part int, seen binary")
+    out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.int64)
+    for r in parts.groupBy("part").applyInArrow(add, "part int, seen binary").collect():  # 2 MB, whatever the input
+        out[r.part] = np.frombuffer(r.seen, np.int64)
+    return out.ravel()
+
+
+def rare_first(own: np.ndarray, seen: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """Of a text's distinct shingles: those of its probing prefix, rarest first, and how many of them are its index prefix.
+
+    Of two texts x, y with this similarity and |x| <= |y|, at least 2 s / (1 + s) |x| and s |y| shingles are
+    shared, so in any common order the first |x| - ceil(2 s / (1 + s) |x|) + 1 of x and the first
+    |y| - ceil(s |y|) + 1 of y have one in common.
     """
-    rows = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).filter("id is not null")
+    n = len(own)
+    if not n:
+        return own, 0
+    order = np.lexsort((own, seen[slots(own)]))
+    probe, index = (n - math.ceil(n * x - 1e-6) + 1 for x in (similarity, 2 * similarity / (1 + similarity)))
+    return own[order[:probe]], index
 
-    def make():
-        return lambda texts: {"fps": [passage_prints(shingle_hashes(t, words)).view(np.int64) for t in texts]}
 
-    prints = map_texts(rows.withColumnRenamed("id", "doc_id"), make, {"fps": pa.list_(pa.int64())}, "fps array<long>")
-    masks = covering_masks(radius)
-    own = materialize(prints.select(F.col("doc_id").alias("id"), F.explode("fps").alias("fp")), "passages")
-    tables = own.select("id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    shared = tables.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    met = materialize(tables.join(shared.select("mask", "key", "n"), ["mask", "key"]), "met")
-    company = met.groupBy("id").agg(F.sum("n").alias("company"))
-    led = met.join(company, "id")
-    most = F.max(F.struct("company", (-F.col("id")).alias("i")))
-    leaders = led.groupBy("mask", "key").agg((-most["i"]).alias("x"), F.min("id").alias("y"))
-    pairs = met.join(leaders, ["mask", "key"]).select("id", F.explode(F.array("x", "y")).alias("with"))
-    pairs = materialize(pairs.filter("id <> with").select(F.greatest("id", "with").alias("u"), F.least("id", "with").alias("v")).distinct(), "pairs")
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose whole texts have the similarity."""
     # Ids that name several texts are compared by the smallest of these.
     asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = rows.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
@@ -198,10 +190,63 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
                     fits.append(both_ > 0 and both_ >= similarity * (len(p) + len(q) - both_))
                 yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = pairs.schema["u"].dataType.simpleString()
     return both.select("u", "v", "tu", "tv").mapInArrow(verify, f"u {kind}, v {kind}")
 
 
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v) links whose components are those of all pairs of texts with this Jaccard similarity of word shingles.
+
+    Whole-text fingerprints of two texts with a similarity of 0.8 differ in some ten bits, which no affordable
+    covering reaches. Two such texts share a shingle of their prefixes (rare_first), whatever the order of
+    shingles; rarest first, a passage that many texts share is in a prefix only if it is most of the text.
+    First each text is compared with two texts of each bucket: the one with the most company over all its
+    buckets (in a group of edited copies the original, which shares most) and the one with the smallest id. That
+    joins groups of copies without their pairs. Then all pairs of a bucket that these links have not joined are
+    candidates, if their lengths and the rest of both behind the shared shingle allow the similarity, so no
+    pair depends on the two. Every link is verified on whole texts. Null ids take no part.
+    """
+    rows = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).filter("id is not null")
+    seen = common(rows, words)
+
+    def make():
+        def of(texts):
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            found = [rare_first(x, seen, similarity) for x in sets]
+            return {"size": [len(x) for x in sets], "index": [i for _, i in found], "toks": [x.view(np.int64) for x, _ in found]}
+
+        return of
+
+    kinds = {"size": pa.int32(), "index": pa.int32(), "toks": pa.list_(pa.int64())}
+    own = map_texts(rows.withColumnRenamed("id", "doc_id"), make, kinds, "size int, index int, toks array<long>")
+    own = materialize(own.withColumnRenamed("doc_id", "id"), "prefixes")
+    tables = own.select("id", "size", "index", F.posexplode("toks").alias("at", "tok")).select("tok", "id", "size", "at", (F.col("at") < F.col("index")).alias("lead"))
+    shared = tables.groupBy("tok").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).filter("led and n > 1")
+    met = materialize(tables.join(shared.select("tok", "n"), "tok"), "met")
+
+    def room(a, b):  # enough of both texts from this shingle on, which rules out unlike lengths too
+        least = F.ceil((a["size"] + b["size"]) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+        return (a["size"] - a["at"] >= least) & (b["size"] - b["at"] >= least)
+
+    company = met.groupBy("id").agg(F.sum("n").alias("company"))
+    leaders = met.join(company, "id").groupBy("tok").agg(F.max(F.struct("company", "id", "size", "at")).alias("x"), F.min(F.struct("id", "size", "at")).alias("y"))
+    heads = F.array(*(F.struct(h["id"].alias("id"), h["size"].alias("size"), h["at"].alias("at")) for h in (F.col("x"), F.col("y"))))
+    pairs = met.join(leaders, "tok").select(F.struct("id", "size", "at").alias("x"), F.explode(heads).alias("y"))
+    pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & room(F.col("x"), F.col("y")))
+    pairs = materialize(pairs.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct(), "pairs")
+    first = materialize(_verified(pairs, rows, words, similarity), "links")
+    joined = components(first).withColumnRenamed("node", "id")
+    placed = met.drop("n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("tok")
+    placed = materialize(placed.join(open_, "tok", "left_semi"), "open")
+    x, y = (placed.select("tok", F.struct("id", "size", "at", "lead", "component").alias(side)) for side in "xy")
+    shorter = F.struct("x.size", "x.id") < F.struct("y.size", "y.id")
+    apart = shorter & (F.col("x.component") != F.col("y.component")) & room(F.col("x"), F.col("y"))
+    more = x.filter("x.lead").join(y, "tok").filter(apart).select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v"))
+    more = materialize(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
+    return first.unionByName(_verified(more, rows, words, similarity))
+
+
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """docs without near copies: of each group the rows with the smallest doc_id stay, whole.
 
@@ -214,7 +259,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float
         out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     else:
         same = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-        groups = components(same.unionByName(similar_links(docs, words, similarity, radius)))
+        groups = components(same.unionByName(similar_links(docs, words, similarity)))
         gone = groups.filter("node <> component").select(F.col("node").alias("doc_id")).withColumn("__gone", F.lit(True))
         out = out.join(gone, "doc_id", "left").withColumn("kept", F.col("__gone").isNull() & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
     by_id = out.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
