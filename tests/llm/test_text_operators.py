@@ -446,6 +446,21 @@ def test_recall(spark):
     assert len(got) == len(hits) and np.mean(hits) >= 0.9
 
 
+def test_few_rows_are_all_compared(spark):
+    """A query never has fewer neighbours than there are, up to k: here whole tables of one dimension each."""
+    rng = np.random.default_rng(7)
+    rows = [(100 * dim + i, dim, rng.normal(size=dim)) for dim, n in ((16, 5), (32, 15), (64, 21), (128, 30)) for i in range(n)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, _, x in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i, dim, x in rows:
+        best = sorted((-float(x @ y), j) for j, d, y in rows if d == dim and j != i)
+        assert len(got[i]) == min(20, len(best))
+        if dim != 128:
+            assert got[i] == [j for _, j in best]
+
+
 def test_pseudo_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 24))
     y = ann.rotate(x, ann.rotations(24, 1)[0])

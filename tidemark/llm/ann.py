@@ -132,7 +132,8 @@ def search(
     is_query is a condition on vectors. Each vector lies in one cell of each table; a query looks into its
     `probes` best cells of each and all their vectors are compared exactly, in blocks: a cell with more than
     block_rows vectors or block_queries queries is split by hash into a grid of tasks, none left out. The
-    nearest found so far of each block are merged by query. Raise `hashes` with the logarithm of the rows to
+    nearest found so far of each block are merged by query. A query that finds fewer than k that way is compared
+    with all vectors of its dimension. Raise `hashes` with the logarithm of the rows to
     keep cells small, and `tables` or `probes` for recall. Vectors that are null, empty, zero or hold null or
     non-finite components take no part; vectors of other dimensions are not compared with each other; all
     rows with the query's own id are left out; a repeated id is reported once, by its best score. Queries
@@ -173,10 +174,21 @@ def search(
         )
 
     cell = [*key, "rb", "ab"]
-    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, f"query_id {kind}, vec_id {kind}, score double")
-    once = pairs.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    meet = lambda a, b: a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(compare, f"query_id {kind}, vec_id {kind}, score double")
+    once = lambda pairs: pairs.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = materialize(once(meet(left, right)), "nearest")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = materialize(asks.select("id", "vec", "dim").join(full, "id", "left_anti"), "short")
+    if not short.isEmpty():  # their probed cells hold too few: all rows of their dimension, in one grid
+        whole = lambda df: df.select("id", "vec", "dim", F.lit(-1).alias("tbl"), F.lit(-1).cast("long").alias("cell"))
+        blocks = lambda most: F.ceil(F.count("*") / F.lit(float(most))).cast("int")
+        n_rows = rows.groupBy("dim").agg(blocks(block_rows).alias("row_blocks"))
+        all_ = n_rows.join(short.groupBy("dim").agg(blocks(block_queries).alias("ask_blocks")), "dim")
+        left = whole(rows).join(all_, "dim").select(*key, "id", "vec", own("row_blocks").alias("rb"), every("ask_blocks").alias("ab"))
+        right = whole(short).join(all_, "dim").select(*key, "id", "vec", own("ask_blocks").alias("ab"), every("row_blocks").alias("rb"))
+        found = once(found.unionByName(meet(left, right)))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
