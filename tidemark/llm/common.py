@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,13 +21,16 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a new local one is set.
+    Where none is named, a new local one is set on a single machine (tests); a cluster is refused, as its
+    executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -43,6 +49,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores in front until no frame has a column of that name (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key of look_up() is hot with more than one in so many rows, so there are fewer hot keys than this.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, known: DataFrame, keys: list[str], name: str, total: int, count: str = "n") -> DataFrame:
+    """rows with a struct column `name`: the row of known that has their keys, null where there is none.
+
+    known is a written table with one row for each of its keys; `count` tells how many of the `total` rows carry
+    the key. Fewer than HOT keys have more than a HOT-th of all rows: these are broadcast, so their rows stay where
+    they are, and any other key is a small part of a shuffle. Null keys are equal.
+    """
+    side = known.select(F.struct(*known.columns).alias(name))
+    same = lambda: reduce(and_, (rows[k].eqNullSafe(F.col(f"{name}.{k}")) for k in keys))
+    hot = F.col(f"{name}.{count}") * F.lit(HOT) > F.lit(total)
+    if side.filter(hot).isEmpty():
+        return rows.join(side, same(), "left")
+    few = F.broadcast(side.filter(hot))
+    return rows.join(few, same()).unionByName(rows.join(few, same(), "left_anti").join(side.filter(~hot), same(), "left"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
