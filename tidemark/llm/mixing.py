@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_of, word_count
+from tidemark.llm.common import fresh, look_up, materialize, text_of, word_count
 
 #: Weights dealt to the sources in order, the share of all words to take, and the most copies of a source.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Hashes are told apart by this many bits: 4,096 bins for each source.
-BIN_BITS = 12
+#: Bits of the hash that the extra copy's probability is compared with.
+HASH_BITS = 32
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from one row for each source: source, source_size.
+    """The columns of sizes and target, from one row for each source: source, source_size.
 
     The k-th source by code point (null last) weighs weights[k % len(weights)]. The targets share
     `share` of all words by weight; a target stops at `most` times its source's size and the excess
@@ -35,9 +35,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     # The level once the sources before are at their caps; the first that stays under its cap sets it for the rest.
     tried = capped.withColumn("level", level).withColumn("under", F.col("level") * F.col("w") < F.col("cap"))
     final = F.min(F.when(F.col("under"), F.struct(F.col("cap") / F.col("w"), "source", "level"))).over(everything)["level"]
-    return tried.select(
-        "source", "source_size", F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap"))).alias("target")
-    )
+    return tried.select(*sizes.columns, F.least(F.col("cap"), F.coalesce(final * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def _hash(doc_id, seed: str):
@@ -46,48 +44,43 @@ def _hash(doc_id, seed: str):
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def goals(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """(source, source_size, target, whole, bins): one row for each source, written to the shared folder.
+def goals(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, n, target, whole, fraction): one row for each source, written to the shared folder.
 
-    rate = target / source_size: every document is taken whole = floor(rate) times, and once more if its
-    hash falls into the first `bins` of 4,096 bins. Their number is the one whose words come nearest to the
-    fraction of the source's words: the fraction itself, but for the chance of which documents hash low.
-    Words are summed by source and bin before anything is shuffled, so a hot source is 4,096 rows.
+    n is the source's documents. rate = target / source_size: every document is taken whole = floor(rate)
+    times, and once more with probability fraction = rate - floor(rate).
     """
-    rows = docs.select(docs["source"], word_count(text_of(docs)).alias("size"), F.shiftright(_hash(docs["doc_id"], seed), 32 - BIN_BITS).alias("bin"))
-    sums = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
-    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    rows = docs.select(docs["source"], word_count(text_of(docs)).alias("size"))
+    sums = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sizes")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    aims = aims.withColumn("whole", F.floor(rate)).withColumn("extra", (rate - F.floor(rate)) * F.col("source_size"))
-    by_source = sums.withColumnRenamed("source", "__source")
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # 4,096 rows a source at most
-    met = aims.join(by_source, aims["source"].eqNullSafe(by_source["__source"])).withColumn("gap", F.abs(upto - F.col("extra")))
-    near = met.groupBy("source", "source_size", "target", "whole", "extra").agg(F.min(F.struct("gap", (F.col("bin") + 1).alias("bins"))).alias("n"))
-    bins = F.when(F.col("n.gap") < F.col("extra"), F.col("n.bins")).otherwise(F.lit(0))
-    return materialize(near.select("source", "source_size", "target", "whole", bins.cast("long").alias("bins")), "goals")
+    aims = targets(sums, weights, share, most).withColumns({"whole": F.floor(rate), "fraction": rate - F.floor(rate)})
+    return materialize(aims, "goals")
 
 
-def _with_copies(docs: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
-    """docs with __source_size, __target and __copies. plan is a written table of a row for each source, so Spark
-    knows its size and broadcasts it only under its threshold; then no text is shuffled."""
-    own = plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
-    met = docs.join(own, docs["source"].eqNullSafe(own["__source"]))
-    low = F.shiftright(_hash(docs["doc_id"], seed), 32 - BIN_BITS) < F.col("__bins")
-    return met.withColumn("__copies", F.col("__whole") + low.cast("long"))
+def _with_copies(docs: DataFrame, plan: DataFrame, name: str, seed: str) -> tuple[DataFrame, Column]:
+    """docs with a struct column `name`, its source's row of the plan, and how often the mix takes a row.
+
+    The one extra copy is drawn by the hash of the seed and the id, which falls below a fraction of its range with
+    that probability. Hot sources are looked up where their documents are, so no task gets all of a source.
+    """
+    total = plan.agg(F.sum("n")).first()[0] or 0
+    met = look_up(docs, plan, ["source"], name, total)
+    extra = _hash(docs["doc_id"], seed) < F.col(f"{name}.fraction") * F.lit(float(1 << HASH_BITS))
+    return met, F.col(f"{name}.whole") + extra.cast("long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of docs.
 
-    size is the number of words (null text: 0). Reruns agree: copies depend on the id's hash and the sums of
-    the sources alone. Sources without words have target 0 and their documents are taken 0 times. Null sources
-    form one source, null ids hash as one id, rows that repeat an id share its copies. An empty table gives an
-    empty result; other columns are ignored.
+    size is the number of words of the whole text (null text: 0). Reruns agree: copies depend on the id's hash and
+    the sums of the sources alone. Sources without words have target 0 and their documents are taken 0 times. Null
+    sources form one source, null ids hash as one id, rows that repeat an id share its copies. Sources that tie in
+    target / weight are ordered by name. An empty table gives an empty result; other columns are ignored.
     """
-    out = _with_copies(docs.select("doc_id", "source", "text"), goals(docs, weights, share, most, seed), seed)
+    out, copies = _with_copies(docs.select("doc_id", "source", "text"), goals(docs, weights, share, most), "plan", seed)
     return out.select(
-        "doc_id", "source", word_count(F.coalesce("text", F.lit(""))).alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), F.col("__copies").alias("copies"),
+        "doc_id", "source", word_count(F.coalesce("text", F.lit(""))).alias("size"), F.col("plan.source_size").alias("source_size"),
+        F.col("plan.target").alias("target"), copies.alias("copies"),
     )
 
 
@@ -98,9 +91,13 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; its columns are unchanged."""
-    out = _with_copies(docs, goals(docs, weights, share, most, seed), seed)
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    """docs with every row repeated as often as mix() takes it, with the same rules for nulls, repeats and ties.
+
+    Its columns, of whatever name, are unchanged; rows without words are emitted like any other of their source.
+    """
+    name, each = fresh("plan", docs), fresh("copy", docs)
+    out, copies = _with_copies(docs, goals(docs, weights, share, most), name, seed)
+    return out.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(each)).drop(each)
 
 
 SQL = r"""
@@ -116,12 +113,8 @@ t AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
           / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 l AS (SELECT level AS final FROM t WHERE level * w < cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
 g AS (SELECT source, source_size, least(cap, coalesce((SELECT final FROM l) * w, cap)) AS target FROM t),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM g),
-b AS (SELECT source, hv >> 20 AS bin, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
-n AS (SELECT r.source, any_value(source_size) AS source_size, any_value(target) AS target, any_value(floor(rate)) AS whole, any_value((rate - floor(rate)) * source_size) AS extra,
-             arg_min(bin + 1, (gap, bin)) AS bins, min(gap) AS gap
-      FROM r JOIN (SELECT b.source, bin, abs(sum(words) OVER (PARTITION BY b.source ORDER BY bin) - (rate - floor(rate)) * source_size) AS gap
-                   FROM b JOIN r ON r.source IS NOT DISTINCT FROM b.source) c ON c.source IS NOT DISTINCT FROM r.source GROUP BY r.source)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN hv >> 20 < (CASE WHEN gap < extra THEN bins ELSE 0 END) THEN 1 ELSE 0 END)::BIGINT AS taken
-FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM g)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate) + CASE WHEN hv < (rate - floor(rate)) * 4294967296::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
