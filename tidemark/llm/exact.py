@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, materialize, text_of
+from tidemark.llm.common import SPACE, fresh, look_up, materialize, text_of
 
 SALTS = 32
 
@@ -41,17 +41,18 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFram
     The smallest doc_id of a group stays (null ids come last; a group of null ids only has a null
     keep_id and counts as kept). Rows that repeat a doc_id and its text share one outcome. An empty
     table gives an empty result; other columns are ignored. Two different texts with one digest
-    are told apart by their contents: such digests are joined by whole text.
+    are told apart by their contents: such digests are joined by whole text. Texts of any length count whole.
+    A hot text's rows stay where they are: its one row of the merge is broadcast to them.
     """
     body = normalized(text_of(docs))
     rows = docs.select(docs["doc_id"], digest(body).alias("digest"))
     groups = groups_of(docs, salts, digest)
     # Per digest: its only group, or how many there are.
     by_digest = groups.groupBy("digest").agg(
-        F.count("*").alias("contents"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
+        F.count("*").alias("contents"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.sum("group_size").alias("n")
     )
     known = materialize(by_digest.filter((F.col("contents") > 1) | (F.col("group_size") > 1)), "digests")
-    found = rows.join(known, "digest", "left")
+    found = look_up(rows, known, ["digest"], "known", docs.count()).select("doc_id", "digest", "known.contents", "known.keep_id", "known.group_size")
     plain = found.filter("contents is null or contents = 1").select(
         "doc_id",
         F.when(F.col("contents").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -70,17 +71,23 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFram
 
 
 def keep_first(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """docs without exact copies: of each group one row stays, whole, with its own columns."""
-    copies = materialize(exact_dedup(docs, salts).filter("group_size > 1").select("doc_id", "digest", "kept"), "copies")
-    keyed = docs.withColumn("__digest", _digest(normalized(text_of(docs))))
-    same = lambda side: keyed["doc_id"].eqNullSafe(side["doc_id"]) & (keyed["__digest"] == side["digest"])
-    gone = copies.filter("not kept")
-    twice = copies.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1")
-    if twice.isEmpty():
-        return keyed.join(gone, same(gone), "left_anti").drop("__digest")
-    one = keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    odd = gone.select("doc_id", "digest").unionByName(twice.select("doc_id", "digest"))
-    return keyed.join(odd, same(odd), "left_anti").unionByName(one).drop("__digest")
+    """docs without exact copies: of each group one row stays, whole, with its own columns of whatever name.
+
+    The row of the smallest doc_id stays as exact_dedup() says: null counts as the empty text, null ids stay only in
+    groups without another id, and of rows that repeat an id and its text one stays. Empty texts are one group,
+    texts of any length count whole, an empty table stays empty.
+    """
+    digest, about = fresh("digest", docs), fresh("about", docs)
+    groups = exact_dedup(docs, salts).filter("group_size > 1")
+    rows = groups.groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+    known = materialize(rows.withColumnRenamed("digest", digest), "copies")
+    keyed = docs.withColumn(digest, _digest(normalized(text_of(docs))))
+    out = look_up(keyed, known, ["doc_id", digest], about, docs.count())
+    alone = out.filter(F.col(about).isNull())
+    if known.filter("kept").isEmpty():
+        return alone.drop(digest, about)
+    one = out.filter(F.col(f"{about}.kept")).dropDuplicates(["doc_id", digest])  # equal rows: merged before they move
+    return alone.unionByName(one).drop(digest, about)
 
 
 def op5(docs: DataFrame) -> DataFrame:
