@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import pieces, text_of
 
 LENGTH = 4096
 END_ID = 2
@@ -199,27 +201,32 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
 
     tokenizer is the path of a tokenizers file that every executor can read. Each text's ids, then
     end_id, are cut so that each id lies in one piece; null counts as empty (one piece, end_id only).
-    Documents are dealt into groups by a hash of id, text length and digest, about group_docs to a group,
-    and packed in each group alone, so a sequence never needs another group's data. Repeated rows are
-    documents of their own. A null doc_id stays null; other columns are ignored; an empty table gives
-    an empty result. tokens adds the ids themselves as array<int>.
+    Documents are dealt into groups by a hash of id, text length, digest and the number of a repeat, about
+    group_docs to a group, and packed in each group alone, so a sequence never needs another group's data and no
+    crowd of equal rows one group. Repeated rows are documents of their own; documents that tie in length go by
+    digest, then id. Texts of any length count whole, cut over several sequences. A null doc_id stays null; other
+    columns are ignored; an empty table gives an empty result. tokens adds the ids themselves as array<int>.
     """
     groups = max(1, round(docs.count() / group_docs))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def make():
+    def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = chunk_encoder(tokenizer, end_id)
-
-        def run(texts: list[str]) -> dict:
-            ids = encode(texts)
-            width = np.dtype(kind).itemsize
-            return {"ids": ids, "n": [len(x) // width for x in ids], "crc": [zlib.crc32(x) for x in ids]}
-
-        return run
-
-    types = {"ids": pa.binary(), "n": pa.int64(), "crc": pa.int64()}
-    coded = map_texts(docs, make, types, "ids binary, n long, crc long")
-    # A function of the row alone: a task that runs again deals its rows to the same groups.
-    coded = coded.withColumn("grp", F.pmod(F.xxhash64("doc_id", "crc", "n"), F.lit(groups)))
+        width = np.dtype(kind).itemsize
+        seen: Counter = Counter()  # of this task's rows
+        for whole in batches:
+            for batch in pieces(whole):
+                ids, own = encode(batch.column("text").to_pylist()), batch.column("doc_id")
+                crcs, nth = [zlib.crc32(x) for x in ids], []
+                for row in zip(own.to_pylist(), crcs, strict=True):
+                    nth.append(seen[mark := hash(row)])
+                    seen[mark] += 1
+                cols = {"ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // width for x in ids], pa.int64()), "crc": pa.array(crcs, pa.int64()), "nth": pa.array(nth, pa.int64())}
+                yield pa.RecordBatch.from_arrays([own, *cols.values()], names=["doc_id", *cols])
+
+    coded = docs.select(docs["doc_id"], text_of(docs).alias("text")).mapInArrow(coding, f"doc_id {kind}, ids binary, n long, crc long, nth long")
+    # Equal rows are interchangeable, so a task that runs again in another order deals the same rows to the same groups.
+    coded = coded.withColumn("grp", F.pmod(F.xxhash64("doc_id", "crc", "n", "nth"), F.lit(groups))).drop("nth")
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "crc", "doc_id"], ignore_index=True)
@@ -239,7 +246,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
         found.insert(0, "doc_id", rows["doc_id"].to_numpy()[found["doc"].to_numpy()])
         return found.drop(columns=["doc"] if tokens else ["doc", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     schema = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * tokens
     # Ids travel as text, which pandas keeps exact where some are null.
     named = coded.withColumn("doc_id", F.col("doc_id").cast("string"))
