@@ -82,6 +82,9 @@ class Model:
         if not k:
             return np.full(len(x), self.prior)
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosines, near, axis=1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((cosines == least).sum(axis=1) > 1):  # ties for the last place
+            near[i] = np.argsort(-cosines[i], kind="stable")[:k]
         weight = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(float), 0.0) ** SHARPNESS
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1.0)
@@ -109,18 +112,21 @@ def labelled_sample(labels: DataFrame, name: str, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: str = "quality", usable: Callable | None = None) -> Model:
-    """Fit on at most `most` labelled rows, whose features (4 KB each) come to the driver."""
+    """Fit on at most `most` labelled ids, whose features (4 KB each) come to the driver.
+
+    Of rows that repeat a labelled id one teaches: the least by its features.
+    """
     chosen = labels if usable is None else labels.filter(usable(F.col("doc_id")))
     sample = F.broadcast(labelled_sample(chosen, name, most))  # at most `most` rows of two numbers
-    ids = docs.select(docs["doc_id"], docs["text"]).join(sample, "doc_id")
+    rows = docs.select(docs["doc_id"], docs["text"]).join(sample.select("doc_id"), "doc_id", "left_semi")
 
     def make():
         return lambda texts: {"x": [features(t).tobytes() for t in texts]}
 
-    # The label rides along as the id: ids are not needed for the fit.
-    got = map_texts(ids.select(F.col("label").alias("doc_id"), "text"), make, {"x": pa.binary()}, "x binary").toArrow()
+    got = map_texts(rows, make, {"x": pa.binary()}, "x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
+    got = got.join(sample, "doc_id").select("label", "x").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
-    labels_ = np.asarray(got.column("doc_id").to_pylist(), int)
+    labels_ = np.asarray(got.column("label").to_pylist(), int)
     order = np.lexsort([*x[:, :8].T, labels_])  # the rows arrive in any order
     return fit(x[order], labels_[order])
 
@@ -130,7 +136,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
     The labelled vectors (at most MAX_LABELLED x RANK floats) are broadcast; every document is compared with
     all of them in blocks. Null and empty texts are similar to nothing and get the prior, the labelled share
-    of good rows. Repeated rows stay repeated, other columns are ignored, an empty table gives an empty result.
+    of good rows. Long texts count whole. Of neighbours that tie for the last place the first in the model's order
+    votes. Repeated rows stay repeated, other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -8,12 +8,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import map_texts, pieces, text_of
 from tidemark.llm.quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -119,9 +118,12 @@ def fit(rows: np.ndarray, feats: np.ndarray, times: np.ndarray, toxic: np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: str = "toxic") -> Model:
-    """Fit on at most `most` labelled rows; their feature counts come to the driver, a few KB each."""
+    """Fit on at most `most` labelled ids; their feature counts come to the driver, a few KB each.
+
+    Of rows that repeat a labelled id one teaches: the least by its features.
+    """
     sample = F.broadcast(labelled_sample(labels, name, most))  # at most `most` rows of two numbers
-    rows = docs.select(docs["doc_id"], docs["text"]).join(sample, "doc_id")
+    rows = docs.select(docs["doc_id"], docs["text"]).join(sample.select("doc_id"), "doc_id", "left_semi")
 
     def make():
         known: dict[str, tuple] = {}
@@ -134,14 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: st
             return known[word]
 
         def run(texts: list[str]) -> dict:
-            made = [counts(t, of) for t in texts]
-            return {"f": [np.array(list(c), np.int32).tobytes() for c in made], "n": [np.array(list(c.values()), np.int32).tobytes() for c in made]}
+            made = [sorted(counts(t, of).items()) for t in texts]
+            return {name: [np.array([x[k] for x in c], np.int32).tobytes() for c in made] for k, name in enumerate("fn")}
 
         return run
 
-    got = map_texts(rows.select(F.col("label").alias("doc_id"), "text"), make, {"f": pa.binary(), "n": pa.binary()}, "f binary, n binary").toArrow()
-    fs, ns = (got.column(c).to_pylist() for c in ("f", "n"))
-    toxic = np.array(got.column("doc_id").to_pylist(), int)
+    one = F.min(F.struct("f", "n")).alias("x")
+    got = map_texts(rows, make, {"f": pa.binary(), "n": pa.binary()}, "f binary, n binary").groupBy("doc_id").agg(one)
+    got = got.join(sample, "doc_id").select("label", "x.f", "x.n").toArrow()
+    fs, ns = (got.column(c).to_pylist() for c in "fn")
+    toxic = np.array(got.column("label").to_pylist(), int)
     del got  # the driver holds one copy at a time
     order = sorted(range(len(fs)), key=lambda k: (zlib.crc32(fs[k]), fs[k]))  # the rows arrive in any order
     feats, times = (np.frombuffer(b"".join(x[k] for k in order), np.int32) for x in (fs, ns))
@@ -151,30 +155,36 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: st
     return fit(at, feats, times, toxic)
 
 
+def weighed(model: Model):
+    """A function from a word to those of its features that have a weight, with a bounded memory."""
+    known: dict[str, tuple] = {}
+
+    def of(word: str) -> tuple:
+        got = known.get(word)
+        if got is None:
+            if len(known) > REMEMBER:
+                known.clear()
+            got = known[word] = tuple(f for f in word_features(word) if f in model.weights)
+        return got
+
+    return of
+
+
 def grade(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic): one row per row of docs, from the whole text.
 
     severity is the expected grade, the sum of P(grade >= g); grade the most probable; toxic is whether
-    P(grade >= 1) reaches `reject`. Null and empty texts have no features and get the base chances.
-    Repeated rows stay repeated, other columns are ignored, an empty table gives an empty result. The
-    model has at most KEPT weights.
+    P(grade >= 1) reaches `reject`; of grades that tie the lowest counts. Null and empty texts have no features and
+    get the base chances; of a long text every word counts. Repeated rows stay repeated, other columns are ignored,
+    an empty table gives an empty result. The model has at most KEPT weights.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = shared.value
-        known: dict[str, tuple] = {}
-
-        def of(word: str) -> tuple:
-            got = known.get(word)
-            if got is None:
-                if len(known) > REMEMBER:
-                    known.clear()
-                got = known[word] = tuple(f for f in word_features(word) if f in own.weights)
-            return got
+        of = weighed(shared.value)
 
         def run(texts: list[str]) -> dict:
-            p = np.array([own.chances(counts(t, of)) for t in texts]).reshape(len(texts), GRADES)
+            p = np.array([shared.value.chances(counts(t, of)) for t in texts]).reshape(len(texts), GRADES)
             each = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
             return {"severity": p.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32), "p_toxic": p[:, 0], "toxic": p[:, 0] >= reject}
 
@@ -189,25 +199,22 @@ def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """docs without the rows that the regression rejects; columns unchanged.
+    """docs without the rows that grade() calls toxic; columns, of whatever name, unchanged.
 
-    The decision is made on the way through, so no text is shuffled.
+    The decision is made on the way through, so no text is shuffled. Null and empty texts have no features and stay,
+    rows that repeat share their fate, long texts are taken apart one at a time, a chance of exactly `reject` goes,
+    an empty table stays empty. Without toxic labels nothing goes.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    known: dict[str, tuple] = {}
-
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        own = model.value
-
-        def of(word: str) -> tuple:
-            got = known.get(word)
-            if got is None:
-                if len(known) > REMEMBER:
-                    known.clear()
-                got = known[word] = tuple(f for f in word_features(word) if f in own.weights)
-            return got
-
-        return texts.map(lambda t: bool(own.chances(counts(t, of))[0] >= reject))
-
-    return docs.filter(~toxic(F.coalesce(docs["text"], F.lit(""))))
+    known: list = []  # a worker's memory of words, made when first asked
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not known:
+            known.append(weighed(model.value))
+        out: list[bool] = []
+        for batch in pieces(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            out += [bool(model.value.chances(counts(t, known[0]))[0] < reject) for t in batch.column(0).to_pylist()]
+        return pa.array(out, pa.bool_())
+
+    return docs.filter(clean(text_of(docs)))
