@@ -16,6 +16,8 @@ from tidemark.llm.common import materialize
 TABLES = 10
 HASHES = 1
 PROBES = 12
+#: Times as many probes where lengths differ: one more coordinate may double the cells and flattens the angles.
+LONGER = 4
 #: Vectors and queries of a cell that one task compares at once; larger cells are split into a grid.
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
@@ -94,8 +96,12 @@ def nearest(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: i
     return out
 
 
-def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, id_kind: str) -> DataFrame:
-    """(id, dim, vec as float64 bytes, cells): cells flat, table by table."""
+def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, id_kind: str, longest: float | None, asks: bool) -> DataFrame:
+    """(id, dim, vec as float64 bytes, cells, per): cells flat, table by table, `per` of them each.
+
+    Cells go by angle. Where lengths differ, rows get one more coordinate that brings all of them to the longest
+    length and queries a zero there: angles then order rows by inner product.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +111,13 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, id_kind:
                 at = np.flatnonzero(dims == dim)
                 own = lists.take(pa.array(at))
                 x = np.asarray(own.flatten(), dtype=np.float64).reshape(len(at), dim)
-                unit = x / np.abs(x).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                most = np.abs(x).max(axis=1, keepdims=True)
+                unit = x / most
+                size = np.linalg.norm(unit, axis=1, keepdims=True)
+                unit /= size
+                if longest:
+                    share = np.ones_like(size) if asks else np.minimum(1.0, most * size / longest)
+                    unit = np.concatenate([unit * share, np.sqrt(1.0 - share * share)], axis=1)
                 for lo in range(0, len(at), 2048):
                     part = slice(lo, lo + 2048)
                     found = cells(unit[part], tables, hashes, probes)
@@ -116,11 +127,12 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, probes: int, id_kind:
                             pa.array(np.full(len(found), dim, np.int32)),
                             pa.array([r.tobytes() for r in x[part]], pa.binary()),
                             pa.array(list(found.reshape(len(found), -1)), pa.list_(pa.int64())),
+                            pa.array(np.full(len(found), found.shape[2], np.int32)),
                         ],
-                        names=["id", "dim", "vec", "cells"],
+                        names=["id", "dim", "vec", "cells", "per"],
                     )
 
-    return vectors.mapInArrow(run, f"id {id_kind}, dim int, vec binary, cells array<long>")
+    return vectors.mapInArrow(run, f"id {id_kind}, dim int, vec binary, cells array<long>, per int")
 
 
 def search(
@@ -129,8 +141,8 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, by largest inner product in double.
 
-    is_query is a condition on vectors. Each vector lies in one cell of each table; a query looks into its
-    `probes` best cells of each and all their vectors are compared exactly, in blocks: a cell with more than
+    is_query is a condition on vectors. Each vector, with a length coordinate where lengths differ, lies in one cell of each table; a query looks into its
+    `probes` best cells of each (LONGER times as many with that coordinate) and all their vectors are compared exactly, in blocks: a cell with more than
     block_rows vectors or block_queries queries is split by hash into a grid of tasks, none left out. The
     nearest found so far of each block are merged by query. A query that finds fewer than k that way is compared
     with all vectors of its dimension. Raise `hashes` with the logarithm of the rows to
@@ -144,11 +156,16 @@ def search(
     chosen = vectors.select(vectors[id_col].alias("id"), vectors[vec_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     chosen = chosen.filter(valid & F.col("id").isNotNull())
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = materialize(_hashed(chosen, tables, hashes, 1, kind), "cells")
-    asks = materialize(_hashed(chosen.filter("q"), tables, hashes, probes, kind), "probes")
+    largest = F.array_max(F.transform(v, F.abs))
+    length = largest * F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x / largest) * (x / largest)))
+    stats = chosen.agg(F.min(length).alias("least"), F.max(length).alias("most"), F.count("*").alias("n")).first()
+    uneven = stats.n > 0 and stats.least < 0.99 * stats.most < float("inf")
+    longest = stats.most if uneven else None
+    rows = materialize(_hashed(chosen, tables, hashes, 1, kind, longest, False), "cells")
+    asks = materialize(_hashed(chosen.filter("q"), tables, hashes, LONGER * probes if uneven else probes, kind, longest, True), "probes")
     at_row = rows.select("id", "vec", "dim", F.posexplode("cells").alias("tbl", "cell"))
-    asked = asks.select("id", "vec", "dim", F.posexplode("cells").alias("nth", "cell"))
-    at_ask = asked.select("id", "vec", "dim", "cell", F.floor(F.col("nth") / F.lit(probes)).cast("int").alias("tbl"))
+    asked = asks.select("id", "vec", "dim", "per", F.posexplode("cells").alias("nth", "cell"))
+    at_ask = asked.select("id", "vec", "dim", "cell", F.floor(F.col("nth") / F.col("per")).cast("int").alias("tbl"))
     key = ["dim", "tbl", "cell"]
     n_rows = at_row.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("row_blocks"))
     n_asks = at_ask.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(float(block_queries))).cast("int").alias("ask_blocks"))
