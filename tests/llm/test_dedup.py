@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import same_rows
 from tidemark.llm import exact, simhash
+from tidemark.llm.common import look_up, materialize
 from tidemark.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,9 +48,10 @@ def test_spark_hashes_alike(spark):
     assert got & (2**64 - 1) == xxhash.xxh64_intdigest(b"the cat sat", 42)
 
 
+@pytest.mark.parametrize("level", [0, 1, 5])
 @pytest.mark.parametrize("radius", [1, 2])
-def test_covering(radius):
-    masks = [m & (2**64 - 1) for m in simhash.covering_masks(radius)]
+def test_covering(radius, level):
+    masks = [m & (2**64 - 1) for m in simhash.covering_masks(radius, level)]
     assert len(masks) == 2 ** (radius + 1) - 1
     for a in range(64):
         for b in range(64):
@@ -76,7 +78,7 @@ def plain_components(nodes, linked):
     return out
 
 
-@pytest.mark.parametrize("radius", [1, 2])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
 def test_links_of_random_fingerprints(spark, radius):
     rng = random.Random(5)
     fps = set()
@@ -94,6 +96,49 @@ def test_links_of_random_fingerprints(spark, radius):
     assert {x: found.get(x, x) for x in signed} == want
 
 
+def close(fps, radius):
+    return {(a, b) for a in fps for b in fps if a > b and bin((a ^ b) & (2**64 - 1)).count("1") <= radius}
+
+
+def test_links_need_each_mask(spark):
+    """Links come from the tables: each pair of bits is covered by few masks, and without one of them its pairs are lost."""
+    rng = random.Random(2)
+    masks = simhash.covering_masks(2)
+    fps = set()
+    for a in range(0, 64, 3):
+        for b in range(a):
+            x = rng.getrandbits(62)
+            fps |= {x, x ^ (1 << a) ^ (1 << b) if a < 62 and b < 62 else x}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = close(fps, 2)
+    assert {(r.u, r.v) for r in simhash.links(df).collect()} == want and len(want) > 500
+    for gone in (0, 4):
+        got = {(r.u, r.v) for r in simhash.links(df, family=lambda r, level: [m for k, m in enumerate(masks) if k != gone]).collect()}
+        assert got < want
+
+
+def test_links_of_a_hot_bucket(spark):
+    """Fingerprints that differ in a few low bits only share buckets; dealing them on loses no pair."""
+    rng = random.Random(4)
+    base = rng.getrandbits(62)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(5))) for _ in range(500)}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for radius in (1, 2, 3):
+        got = [(r.u, r.v) for r in simhash.links(df, radius, most=8).collect()]
+        assert set(got) == close(fps, radius) and len(got) == len(set(got))
+
+
+def test_hot_keys_are_looked_up(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else None if k % 2 else str(k)) for k in range(6000)], "id long, key string")
+    known = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "known")
+    for total in (6000, 60):  # with 60 rows each key is hot
+        out = look_up(rows, known, ["key"], "k", total)
+        want = {"hot": 1, None: 3}
+        assert sorted((r.id, r.k.least) for r in out.collect()) == [(k, want[key] if (key := "hot" if k % 3 else None if k % 2 else str(k)) in want else k) for k in range(6000)]
+    some = materialize(known.filter("n > 1"), "some")
+    assert {r.id for r in look_up(rows, some, ["key"], "k", 6000).filter("k is null").collect()} == set(range(0, 6000, 6))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(7, 7)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(30)]
@@ -189,6 +234,52 @@ def test_similar_links_in_hot_buckets(spark):
     assert kept == set(want.values())
 
 
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(1)
+    for n, m, shared in [(0, 0, 0), (1, 0, 0), (30, 500, 20), (400, 400, 380), (3000, 90, 0)]:
+        pool = rng.integers(0, 2**64 - 1, n + m, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+        x, y = simhash.sketch(a), simhash.sketch(b)
+        assert simhash.differ(x, y) == simhash.differ(y, x) <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_under_shared_boilerplate(spark):
+    """Pairs of 0.95 among texts that all share 85 % of their shingles: every pair is joined, no others are."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    shared = [rng.choice(words) for _ in range(850)]
+    texts = []
+    for k in range(60):
+        own = shared + [f"p{k}x{j}" for j in range(150)]
+        other = list(own)
+        for at in rng.sample(range(1000), 4):
+            other[at] = f"q{k}x{at}"
+        texts += [" ".join(own), " ".join(other)]
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, enumerate(texts)), radius=0).collect())
+    assert jaccard(texts[0], texts[1]) > 0.9 and jaccard(texts[0], texts[2]) < 0.8
+    assert kept == list(range(0, 120, 2))
+
+
+def test_each_text_of_an_id_is_compared(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    a, b = words(200), words(40)
+    edited = [*a, "more"]
+    rows = [(1, " ".join(a)), (5, " ".join(edited)), (5, " ".join(b)), (None, " ".join(["less", *a])), (None, " ".join(b[:-1])), (None, "quite other words")]
+    assert {(r.u, r.v) for r in simhash.similar_links(docs_of(spark, rows)).collect()} == {(5, 1)}
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
+def test_keep_one_of_odd_rows(spark):
+    long = " ".join(f"t{k % 5003}" for k in range(60_000))
+    rows = [(4, None), (3, ""), (None, " "), (7, "x y"), (7, "x y"), (7, "x y z"), (None, "u v"), (None, "u v"), (8, long), (9, long + " end")]
+    df = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("key", "about", "id", "fp", "n", "gone", "component", "sha", "_key")})
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, ""), (7, "x y"), (7, "x y z"), (None, "u v"), (8, long)], key=str)
+
+
 def test_keep_one_keeps_rows_whole(spark):
     rows = [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (7, "z " * 9), (None, "q r s")]
     out = simhash.keep_one(docs_of(spark, rows))

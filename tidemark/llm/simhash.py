@@ -6,15 +6,16 @@ mask v keeps the bits with <phi(i), v> = 1. The phi(i) of at most r differing bi
 most r dimensions, so some v is orthogonal to all of them: that mask drops every differing
 bit and the pair collides in its table. No pair within the radius is missed.
 
-Inside the tables no pairs are emitted. Two fingerprints differ in at most 2 bits exactly
-if a point lies within 1 bit of both, so every fingerprint that shares a bucket names itself
-and its 64 one-bit neighbours as meeting points; at a meeting point all guests are linked to
-the smallest. A point has at most 65 guests, whatever the size of the group of copies.
+Members of a bucket are compared bit by bit. A bucket of many fingerprints is dealt into the
+tables of another family of masks, on top of the bits it has fixed: its pairs within the radius
+collide there again, and about half of the free bits are fixed each time, so buckets end small
+without losing a pair.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -24,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, materialize, pieces, text_of
+from tidemark.llm.common import fresh, look_up, map_texts, materialize, pieces, text_of
 from tidemark.llm.components import components
 
 BITS = 64
+#: Fingerprints of a bucket whose pairs are compared; larger buckets are dealt into more tables.
+BUCKET = 64
+#: Families of masks that a bucket is dealt by at most; what is left then has almost no free bits.
+LEVELS = 12
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -44,12 +49,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, len(own) - words + 1)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of one text: A-Z lower-cased, word shingles with repeats, XXH64 seed 42.
-
-    A bit is 1 if it is set in over half of the shingle hashes; no words: zero.
-    """
-    hashes = shingle_hashes(text, words)
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits: a bit is 1 if it is set in over half of the hashes; none: zero."""
     n = len(hashes)
     if not n:
         return 0
@@ -60,6 +61,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash of one text: A-Z lower-cased, word shingles with repeats, XXH64 seed 42; no words: zero."""
+    return simhash(shingle_hashes(text, words))
+
+
 def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row as a signed long."""
 
@@ -69,37 +75,72 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return map_texts(docs, make, {"fp": pa.int64()}, "fp long")
 
 
-def covering_masks(radius: int = 2) -> list[int]:
-    """The masks as signed longs. phi runs through the non-zero vectors evenly, so every mask keeps about half the bits."""
+def covering_masks(radius: int = 2, level: int = 0) -> list[int]:
+    """The masks of a level's family as signed longs.
+
+    phi runs through the non-zero vectors evenly over the bits, in another order at each level, so every mask
+    keeps about half of the bits, whichever are still free.
+    """
     kinds = (1 << (radius + 1)) - 1
-    phi = [1 + (i * 5 + i // kinds) % kinds for i in range(BITS)]
+    order = list(range(BITS))
+    if level:
+        random.Random(level).shuffle(order)
+    phi = [1 + order[i] % kinds for i in range(BITS)]
     masks = [sum(1 << i for i in range(BITS) if bin(phi[i] & v).count("1") % 2) for v in range(1, kinds + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(u, v) links whose components are those of all pairs of fingerprints within the radius.
+def links(prints: DataFrame, radius: int = 2, most: int = BUCKET, family=covering_masks) -> DataFrame:
+    """(u, v), u > v: every pair of fingerprints that differ in 1 to `radius` bits, once.
 
-    prints: distinct long column fp. radius is 1 or 2.
+    prints: distinct long column fp; radius is 0 or more, at a cost of 2^(radius + 1) - 1 tables. Candidates are
+    the members of the masks' buckets, links those that a bit count confirms. A bucket of more than `most`
+    fingerprints is dealt on by the masks of the next level, so no group is compared all with all.
     """
-    if radius not in (1, 2):
-        raise ValueError("meeting points are within one bit: radius must be 1 or 2")
-    masks = covering_masks(radius)
-    tables = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    # A bucket is only told apart by its count and extremes: never a list.
-    shared = tables.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = tables.join(shared, ["mask", "key"], "left_semi").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(BITS)])
-    if radius == 1:  # the point itself, or a neighbour that is a fingerprint too
-        guests = near.select(F.col("fp").alias("u"), F.explode(F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b))).alias("v"))
-        return guests.join(near.withColumnRenamed("fp", "v"), "v").filter("u > v").select("u", "v")
-    guests = near.select("fp", F.explode(F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b))).alias("point"))
-    met = guests.groupBy("point").agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("v")).filter(F.size("fps") > 1)
-    return met.select(F.explode("fps").alias("u"), "v").filter("u > v").distinct()
+    open_ = prints.select("fp", F.lit(0).cast("long").alias("fixed"))
+    found = []
+    for level in range(LEVELS):
+        masks = F.array(*map(F.lit, family(radius, level)))
+        rows = open_.select("fp", F.explode(masks).alias("mask"), "fixed").select("fp", F.col("fixed").bitwiseOR(F.col("mask")).alias("fixed"))
+        if level:
+            rows = rows.distinct()  # several ways may fix the same bits
+        # A bucket: the bits that are fixed and their values. It is told apart by its count, never a list.
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("fixed")))
+        sizes = materialize(rows.groupBy("fixed", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+        total = sizes.agg(F.sum("n")).first()[0]
+        if not total:
+            break
+        met = look_up(rows, sizes, ["fixed", "key"], "bucket", total).filter("bucket is not null")
+        met = materialize(met.select("fp", "fixed", "key", F.col("bucket.n").alias("n")), "met")
+        small = met if level == LEVELS - 1 else met.filter(F.col("n") <= most)
+        u, v = (small.select("fixed", "key", F.col("fp").alias(side)) for side in "uv")
+        near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
+        found.append(u.join(v, ["fixed", "key"]).filter((F.col("u") > F.col("v")) & near).select("u", "v"))
+        open_ = met.filter(F.col("n") > most).select("fp", "fixed")
+        if open_.isEmpty():
+            break
+    if not found:
+        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0].distinct()
+
+
+def near_groups(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """(id, fp, component_id) from a written table (id, fp): one row for each of its rows, as near_dedup() says."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+    found = materialize(components(links(classes.select("fp"), radius)), "found")
+    placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("all"))
+    # Rows that are alone in their component need no look-up.
+    known = placed.join(roots.filter(F.col("all") > 1), "component").select("fp", "component_id", "n")
+    known = materialize(known, "known")
+    out = look_up(prints.select("id", "fp"), known, ["fp"], "known", classes.agg(F.sum("n")).first()[0] or 0)
+    return out.select("id", "fp", F.when(F.col("known").isNull(), F.col("id")).otherwise(F.col("known.component_id")).alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, component_id): one row per row of docs.
+    """(id, fp long, component_id): one row per row of docs, from whole texts of any length.
 
     component_id is the smallest id among all rows reachable over links of at most radius
     differing bits. Null texts count as empty; texts without words have fingerprint zero and
@@ -109,14 +150,7 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     prints = materialize(_fingerprints(rows, words).withColumnRenamed("doc_id", "id"), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    found = materialize(components(links(classes.select("fp"), radius)), "found")
-    placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    roots = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(roots, "component").select("fp", "component_id")
-    return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return near_groups(prints, radius).withColumnRenamed("id", id_col)
 
 
 # Near copies beyond a radius of whole-text fingerprints ------------------------------------------
@@ -124,6 +158,8 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
 #: Slots of the table that estimates how common a shingle is, and slots of a row of it. They decide costs only.
 SLOTS = 1 << 18
 SLOT_ROW = 1 << 12
+#: Pairs that fetch one text or sketch from one place; a text that more pairs ask for is copied.
+ASKED = 4096
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -171,13 +207,77 @@ def rare_first(own: np.ndarray, seen: np.ndarray, similarity: float) -> tuple[np
     return own[order[:probe]], index
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids whose whole texts have the similarity."""
-    # Ids that name several texts are compared by the smallest of these.
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = rows.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "asked")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+def sketch(own: np.ndarray) -> bytes:
+    """The parity of how many of the distinct shingles fall into each bit, at two to four bits a shingle."""
+    width = 1 << max(6, (2 * len(own) - 1).bit_length())
+    ones = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(ones, bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded: never more than the sets differ in elements."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _signed(rows: DataFrame, words: int, seen: np.ndarray, similarity: float) -> DataFrame:
+    """(id, doc_id, sha, fp, size, index, toks, bits) of rows (id, doc_id, sha, text): what the links are found by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                all_ = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+                sets = [np.unique(x) for x in all_]
+                found = [rare_first(x, seen, similarity) for x in sets]
+                own = {
+                    "fp": pa.array(np.array([simhash(x) for x in all_], np.uint64).view(np.int64)),
+                    "size": pa.array([len(x) for x in sets], pa.int32()),
+                    "index": pa.array([n for _, n in found], pa.int32()),
+                    "toks": pa.array([x.view(np.int64) for x, _ in found], pa.list_(pa.int64())),
+                    "bits": pa.array([sketch(x) for x in sets], pa.binary()),
+                }
+                kept = ["id", "doc_id", "sha"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.values()], names=[*kept, *own])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary")
+
+
+def _with(pairs: DataFrame, facts: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """Written pairs (u, v) with columns of facts (id, ...): names maps one to its names for u and v.
+
+    What many pairs ask for is copied to as many places, so no task gets all pairs of a hub.
+    """
+    total = pairs.count()
+    places = lambda n: F.ceil(n / F.lit(float(ASKED))).cast("int")
+    dealt, copies = pairs.select("u", "v"), {}
+    for side, other in ("uv", "vu"):
+        asked = materialize(pairs.groupBy(side).agg(F.count("*").alias("n")), "asked")
+        dealt = look_up(dealt, asked, [side], "many", total)
+        dealt = dealt.withColumn(f"at_{side}", F.pmod(F.xxhash64(other), places(F.col("many.n"))).cast("int")).drop("many")
+        copies[side] = asked.select(F.col(side).alias("id"), F.explode(F.sequence(F.lit(0), places(F.col("n")) - 1)).alias(f"at_{side}"))
+    for k, side in enumerate("uv"):
+        held = facts.select("id", *(F.col(c).alias(new[k]) for c, new in names.items())).join(copies[side], "id")
+        dealt = dealt.join(held.withColumnRenamed("id", side), [side, f"at_{side}"])
+    return dealt.drop("at_u", "at_v")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose whole texts have the similarity. Sketches rule most others out before any text moves."""
+    share = (1 - similarity) / (1 + similarity)
+    facts = signed.select("id", "size", "bits").dropDuplicates(["id"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("su", "sv", "bu", "bv"))
+            fits = [differ(a, b) <= share * (m + n) + 1e-6 for m, n, a, b in zip(*cols, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    both = _with(pairs, facts, {"size": ("su", "sv"), "bits": ("bu", "bv")})
+    left = materialize(both.select("u", "v", "su", "sv", "bu", "bv").mapInArrow(possible, "u long, v long"), "possible")
+    asked = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = materialize(rows.select("id", "text").join(asked, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    both = _with(left, texts, {"text": ("tu", "tv")})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
@@ -186,91 +286,124 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
                 fits = []
                 for x, y in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist(), strict=True):
                     p, q = of(x), of(y)
-                    both_ = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-                    fits.append(both_ > 0 and both_ >= similarity * (len(p) + len(q) - both_))
+                    shared = len(np.intersect1d(p, q, assume_unique=True))
+                    fits.append(shared > 0 and shared >= similarity * (len(p) + len(q) - shared))
                 yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    return both.select("u", "v", "tu", "tv").mapInArrow(verify, f"u {kind}, v {kind}")
+    return both.select("u", "v", "tu", "tv").mapInArrow(verify, "u long, v long")
 
 
-def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v) links whose components are those of all pairs of texts with this Jaccard similarity of word shingles.
+def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float, most: int = BUCKET) -> DataFrame:
+    """(u, v) links of row keys whose components are those of all pairs of texts with this Jaccard similarity of word shingles.
 
-    Whole-text fingerprints of two texts with a similarity of 0.8 differ in some ten bits, which no affordable
-    covering reaches. Two such texts share a shingle of their prefixes (rare_first), whatever the order of
-    shingles; rarest first, a passage that many texts share is in a prefix only if it is most of the text.
+    rows: (id, text), a long id for each distinct text; signed: their written _signed() table. Whole-text fingerprints
+    of two texts with a similarity of 0.8 differ in some ten bits, which no affordable covering reaches. Two such
+    texts share a shingle of their prefixes (rare_first), whatever the order of shingles; rarest first, a passage
+    that many texts share is in a prefix only if it is most of the text.
     First each text is compared with two texts of each bucket: the one with the most company over all its
     buckets (in a group of edited copies the original, which shares most) and the one with the smallest id. That
     joins groups of copies without their pairs. Then all pairs of a bucket that these links have not joined are
-    candidates, if their lengths and the rest of both behind the shared shingle allow the similarity, so no
-    pair depends on the two. Every link is verified on whole texts. Null ids take no part.
+    candidates, if their lengths allow the similarity, so no pair depends on the two. Buckets of up to `most`
+    texts with the same members, as near copies have many, count once; larger ones also need room behind the
+    shared shingle in both texts. Every link is verified on whole texts.
     """
-    rows = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).filter("id is not null")
-    seen = common(rows, words)
-
-    def make():
-        def of(texts):
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-            found = [rare_first(x, seen, similarity) for x in sets]
-            return {"size": [len(x) for x in sets], "index": [i for _, i in found], "toks": [x.view(np.int64) for x, _ in found]}
-
-        return of
-
-    kinds = {"size": pa.int32(), "index": pa.int32(), "toks": pa.list_(pa.int64())}
-    own = map_texts(rows.withColumnRenamed("id", "doc_id"), make, kinds, "size int, index int, toks array<long>")
-    own = materialize(own.withColumnRenamed("doc_id", "id"), "prefixes")
+    own = signed.dropDuplicates(["id"])
     tables = own.select("id", "size", "index", F.posexplode("toks").alias("at", "tok")).select("tok", "id", "size", "at", (F.col("at") < F.col("index")).alias("lead"))
-    shared = tables.groupBy("tok").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).filter("led and n > 1")
-    met = materialize(tables.join(shared.select("tok", "n"), "tok"), "met")
+    shared = materialize(tables.groupBy("tok").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).filter("led and n > 1").drop("led"), "shared")
+    total = shared.agg(F.sum("n")).first()[0]
+    met = look_up(tables, shared, ["tok"], "bucket", total or 0).filter("bucket is not null")
+    met = materialize(met.select("tok", "id", "size", "at", "lead", F.col("bucket.n").alias("n")), "met")
 
     def room(a, b):  # enough of both texts from this shingle on, which rules out unlike lengths too
         least = F.ceil((a["size"] + b["size"]) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
         return (a["size"] - a["at"] >= least) & (b["size"] - b["at"] >= least)
 
     company = met.groupBy("id").agg(F.sum("n").alias("company"))
-    leaders = met.join(company, "id").groupBy("tok").agg(F.max(F.struct("company", "id", "size", "at")).alias("x"), F.min(F.struct("id", "size", "at")).alias("y"))
-    heads = F.array(*(F.struct(h["id"].alias("id"), h["size"].alias("size"), h["at"].alias("at")) for h in (F.col("x"), F.col("y"))))
-    pairs = met.join(leaders, "tok").select(F.struct("id", "size", "at").alias("x"), F.explode(heads).alias("y"))
+    leaders = met.join(company, "id").groupBy("tok").agg(
+        F.max(F.struct("company", "id", "size", "at")).alias("x"), F.min(F.struct("id", "size", "at")).alias("y"), F.count("*").alias("n")
+    )
+    heads = F.array(*(F.struct(h["id"].alias("id"), h["size"].alias("size"), h["at"].alias("at")) for h in (F.col("led.x"), F.col("led.y"))))
+    pairs = look_up(met.drop("n"), materialize(leaders, "leaders"), ["tok"], "led", total or 0).select(F.struct("id", "size", "at").alias("x"), F.explode(heads).alias("y"))
     pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & room(F.col("x"), F.col("y")))
     pairs = materialize(pairs.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct(), "pairs")
-    first = materialize(_verified(pairs, rows, words, similarity), "links")
+    first = materialize(_verified(pairs, signed, rows, words, similarity), "links")
     joined = components(first).withColumnRenamed("node", "id")
-    placed = met.drop("n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("tok")
-    placed = materialize(placed.join(open_, "tok", "left_semi"), "open")
-    x, y = (placed.select("tok", F.struct("id", "size", "at", "lead", "component").alias(side)) for side in "xy")
-    shorter = F.struct("x.size", "x.id") < F.struct("y.size", "y.id")
-    apart = shorter & (F.col("x.component") != F.col("y.component")) & room(F.col("x"), F.col("y"))
-    more = x.filter("x.lead").join(y, "tok").filter(apart).select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v"))
+    placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("tok", "n")
+    placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0).filter("bucket is not null")
+    placed = materialize(placed.withColumn("n", F.col("bucket.n")).drop("bucket"), "open")
+
+    def apart(x, y):
+        shorter = F.struct(x["size"], x["id"]) < F.struct(y["size"], y["id"])
+        return shorter & x["lead"] & (x["component"] != y["component"]) & (x["size"] >= F.ceil(y["size"] * F.lit(similarity) - F.lit(1e-6)))
+
+    named = lambda x, y: (F.greatest(x["id"], y["id"]).alias("u"), F.least(x["id"], y["id"]).alias("v"))
+    member = F.struct("id", "size", "lead", "component")
+    alike = placed.filter(F.col("n") <= most).groupBy("tok").agg(F.array_sort(F.collect_list(member)).alias("ms"))  # `most` rows at most
+    alike = materialize(alike.select("ms").distinct(), "members")
+    few = alike.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda y: apart(F.col("x"), y))).alias("y"))
+    x, y = (placed.filter(F.col("n") > most).select("tok", F.struct("id", "size", "at", "lead", "component").alias(side)) for side in "xy")
+    many = x.filter("x.lead").join(y, "tok").filter(apart(F.col("x"), F.col("y")) & room(F.col("x"), F.col("y")))
+    more = few.select(*named(F.col("x"), F.col("y"))).unionByName(many.select(*named(F.col("x"), F.col("y"))))
     more = materialize(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
-    return first.unionByName(_verified(more, rows, words, similarity))
+    return first.unionByName(_verified(more, signed, rows, words, similarity))
+
+
+def _keyed(docs: DataFrame, name: str, words: int, similarity: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with a long column `name` (a hash of id and text, the key of a row), its texts by key, and their _signed() table."""
+    for salt in range(8):
+        keyed = docs.withColumn(name, F.xxhash64(F.lit(salt), docs["doc_id"], text_of(docs)))
+        rows = keyed.select(F.col(name).alias("id"), docs["doc_id"].alias("doc_id"), F.sha2(text_of(docs), 256).alias("sha"), text_of(docs).alias("text"))
+        seen = common(rows, words) if similarity is not None else np.zeros(SLOTS, np.int64)
+        signed = materialize(_signed(rows, words, seen, similarity or 1.0), "signed")
+        own = F.struct("doc_id", "sha")
+        if signed.groupBy("id").agg(F.min(own).alias("a"), F.max(own).alias("b")).filter("a <> b").isEmpty():
+            return keyed, rows, signed
+    raise RuntimeError("no salt tells the rows apart")  # two of them share a key by chance, each time
+
+
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v) pairs of doc_ids, larger first: links whose components are those of all texts with this similarity.
+
+    Each text of a doc_id that names several is compared; null ids and links within one id are left out.
+    """
+    _, rows, signed = _keyed(docs, fresh("key", docs), words, similarity)
+    ids = signed.select("id", "doc_id").distinct()
+    ends = [ids.select(F.col("id").alias(side), F.col("doc_id").alias(f"id_{side}")) for side in "uv"]
+    found = _similar(signed, rows, words, similarity).join(ends[0], "u").join(ends[1], "v").filter("id_u <> id_v")
+    return found.select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float | None = 0.8) -> DataFrame:
-    """docs without near copies: of each group the rows with the smallest doc_id stay, whole.
+    """docs without near copies: of each group the row with the smallest doc_id stays, whole.
 
-    Groups join texts whose fingerprints lie within the radius and, with a similarity, those that
-    similar_links() finds. Of rows that repeat both that doc_id and its text one stays. A doc_id that names
-    several texts goes only if none of them is the smallest of its group.
+    Groups join texts whose fingerprints lie within the radius and, with a similarity, those that similar_links()
+    finds; texts of any length count whole, null as empty, and texts without words are alike. Rows are told apart
+    by doc_id and text: of rows that repeat both one stays, each text of a doc_id that names several is compared on
+    its own (of those in a group with one doc_id one stays, the same in each run), and null ids take part but stay
+    only in groups without another id. An empty table stays empty; other columns, of whatever name, are carried along.
     """
-    out = materialize(near_dedup(docs, words, radius), "near")
-    if similarity is None:
-        out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    else:
-        same = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-        groups = components(same.unionByName(similar_links(docs, words, similarity)))
-        gone = groups.filter("node <> component").select(F.col("node").alias("doc_id")).withColumn("__gone", F.lit(True))
-        out = out.join(gone, "doc_id", "left").withColumn("kept", F.col("__gone").isNull() & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
-    by_id = out.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    odd = materialize(by_id.filter("not kept or n > 1"), "odd")
-    same = lambda side: docs["doc_id"].eqNullSafe(side["doc_id"])
-    gone = odd.filter("not kept")
-    twice = odd.filter("kept")
-    if twice.isEmpty():
-        return docs.join(gone, same(gone), "left_anti")
-    one = docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(odd, same(odd), "left_anti").unionByName(one)
+    name, about = fresh("key", docs), fresh("about", docs)
+    keyed, rows, signed = _keyed(docs, name, words, similarity)
+    near = near_groups(signed, radius).filter("id <> component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    if similarity is not None:
+        near = near.unionByName(_similar(signed, rows, words, similarity))
+    groups = components(near).withColumnRenamed("node", "id")
+    per_row = signed.groupBy("id", "doc_id").agg(F.count("*").alias("n"))
+    placed = materialize(per_row.join(groups, "id", "left"), "placed")
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id")))["id"]
+    heads = materialize(placed.filter("component is not null").groupBy("component").agg(best.alias("stays"), F.count("*").alias("n")), "heads")
+    total = placed.count()
+    gone = look_up(placed.drop("n").filter("component is not null"), heads, ["component"], "head", total).filter("id <> head.stays").select("id")
+    known = placed.filter("n > 1").select("id", "n", F.lit(False).alias("gone")).join(gone, "id", "left_anti")
+    known = known.unionByName(placed.join(gone, "id").select("id", "n", F.lit(True).alias("gone")))
+    known = materialize(known.withColumnRenamed("id", name), "known")
+    out = look_up(keyed, known, [name], about, signed.count())
+    out = out.filter(F.col(about).isNull() | ~F.col(f"{about}.gone"))
+    if known.filter("not gone").isEmpty():
+        return out.drop(name, about)
+    once = out.filter(F.col(about).isNotNull()).dropDuplicates([name])  # equal rows: merged before they move
+    return out.filter(F.col(about).isNull()).unionByName(once).drop(name, about)
 
 
 def op1(docs: DataFrame) -> DataFrame:
