@@ -95,6 +95,19 @@ def word_count(text):
 PIECE = 4 << 20
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python, which both hold it whole.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, whose session sends small Arrow batches unless it names sizes of its own: texts are long."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def pieces(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most PIECE bytes of text each, one row at least: long texts do not add up."""
     size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in texts or ("text",))
@@ -124,5 +137,5 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
                 arrays = [pa.array(out[name], kind) for name, kind in types.items()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
 
-    rows = docs.select(docs["doc_id"], text_of(docs).alias("text"))
+    rows = bounded(docs).select(docs["doc_id"], text_of(docs).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, text_of
+from tidemark.llm.common import bounded, pieces, text_of
 
 LENGTH = 4096
 END_ID = 2
@@ -224,7 +224,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                 cols = {"ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // width for x in ids], pa.int64()), "crc": pa.array(crcs, pa.int64()), "nth": pa.array(nth, pa.int64())}
                 yield pa.RecordBatch.from_arrays([own, *cols.values()], names=["doc_id", *cols])
 
-    coded = docs.select(docs["doc_id"], text_of(docs).alias("text")).mapInArrow(coding, f"doc_id {kind}, ids binary, n long, crc long, nth long")
+    coded = bounded(docs).select(docs["doc_id"], text_of(docs).alias("text")).mapInArrow(coding, f"doc_id {kind}, ids binary, n long, crc long, nth long")
     # Equal rows are interchangeable, so a task that runs again in another order deals the same rows to the same groups.
     coded = coded.withColumn("grp", F.pmod(F.xxhash64("doc_id", "crc", "n", "nth"), F.lit(groups))).drop("nth")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, look_up, map_texts, materialize, pieces, text_of
+from tidemark.llm.common import bounded, fresh, look_up, map_texts, materialize, pieces, text_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -185,7 +185,7 @@ def common(texts: DataFrame, words: int) -> np.ndarray:
                 sums += np.frombuffer(r, "<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "seen"])
 
-    parts = texts.select("text").mapInArrow(count, "part int, seen binary")
+    parts = bounded(texts).select("text").mapInArrow(count, "part int, seen binary")
     out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.int64)
     for r in parts.groupBy("part").applyInArrow(add, "part int, seen binary").collect():  # 2 MB, whatever the input
         out[r.part] = np.frombuffer(r.seen, np.int64)
@@ -240,7 +240,7 @@ def _signed(rows: DataFrame, words: int, seen: np.ndarray, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.values()], names=[*kept, *own])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary")
+    return bounded(rows).mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary")
 
 
 def _with(pairs: DataFrame, facts: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:

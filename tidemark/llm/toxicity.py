@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, pieces, text_of
+from tidemark.llm.common import bounded, map_texts, pieces, text_of
 from tidemark.llm.quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -217,4 +217,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Da
             out += [bool(model.value.chances(counts(t, known[0]))[0] < reject) for t in batch.column(0).to_pylist()]
         return pa.array(out, pa.bool_())
 
-    return docs.filter(clean(text_of(docs)))
+    return bounded(docs).filter(clean(text_of(docs)))
