@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import exact, mixing, packing, simhash, toxicity
 from tidemark.llm.common import materialize, read
 
+#: Chunks of text that a worker remembers in packing: workers hold memory of other stages too.
+CHUNKS = 150_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
@@ -29,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.op7(docs)
+    return packing.op7(docs, remember=CHUNKS)
 
 
 STAGES = [

@@ -57,12 +57,12 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-#: A key of look_up() is hot with more than one in so many rows, so there are fewer hot keys than this.
+#: A key of look_up() is hot with more than one in so many rows, and at least as many rows: there are fewer hot keys than this.
 HOT = 1000
 
 
-def look_up(rows: DataFrame, known: DataFrame, keys: list[str], name: str, total: int, count: str = "n") -> DataFrame:
-    """rows with a struct column `name`: the row of known that has their keys, null where there is none.
+def look_up(rows: DataFrame, known: DataFrame, keys: list[str], name: str, total: int, count: str = "n", how: str = "left") -> DataFrame:
+    """rows with a struct column `name`: the row of known that has their keys, null where there is none (inner: no such rows).
 
     known is a written table with one row for each of its keys; `count` tells how many of the `total` rows carry
     the key. Fewer than HOT keys have more than a HOT-th of all rows: these are broadcast, so their rows stay where
@@ -70,11 +70,11 @@ def look_up(rows: DataFrame, known: DataFrame, keys: list[str], name: str, total
     """
     side = known.select(F.struct(*known.columns).alias(name))
     same = lambda: reduce(and_, (rows[k].eqNullSafe(F.col(f"{name}.{k}")) for k in keys))
-    hot = F.col(f"{name}.{count}") * F.lit(HOT) > F.lit(total)
+    hot = F.col(f"{name}.{count}") * F.lit(HOT) > F.lit(max(total, HOT * HOT))
     if side.filter(hot).isEmpty():
-        return rows.join(side, same(), "left")
+        return rows.join(side, same(), how)
     few = F.broadcast(side.filter(hot))
-    return rows.join(few, same()).unionByName(rows.join(few, same(), "left_anti").join(side.filter(~hot), same(), "left"))
+    return rows.join(few, same()).unionByName(rows.join(few, same(), "left_anti").join(side.filter(~hot), same(), how))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

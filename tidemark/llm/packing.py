@@ -32,7 +32,7 @@ CHARS = 1 << 20
 
 
 @cache
-def chunk_encoder(path: str, end_id: int):
+def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
     """A function from texts to the bytes of their ids, end_id appended, and the ids' numpy kind.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks
@@ -106,7 +106,7 @@ def chunk_encoder(path: str, end_id: int):
                 room -= len(texts[end])
                 end += 1
             split = [chunks_of(t) for t in texts[at:end]]
-            if len(known) > REMEMBER:
+            if len(known) > remember:
                 known.clear()
             known[""] = b""
             new: set[str] = set()
@@ -196,7 +196,7 @@ def pack(sizes: list[int], length: int = LENGTH, least_cut: int = LEAST_CUT) ->
     return full + done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, tokens: bool = False, remember: int = REMEMBER) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece.
 
     tokenizer is the path of a tokenizers file that every executor can read. Each text's ids, then
@@ -205,13 +205,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     group_docs to a group, and packed in each group alone, so a sequence never needs another group's data and no
     crowd of equal rows one group. Repeated rows are documents of their own; documents that tie in length go by
     digest, then id. Texts of any length count whole, cut over several sequences. A null doc_id stays null; other
-    columns are ignored; an empty table gives an empty result. tokens adds the ids themselves as array<int>.
+    columns are ignored; an empty table gives an empty result. tokens adds the ids themselves as array<int>; remember bounds a worker's memory of chunks.
     """
     groups = max(1, round(docs.count() / group_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = chunk_encoder(tokenizer, end_id)
+        encode, kind = chunk_encoder(tokenizer, end_id, remember)
         width = np.dtype(kind).itemsize
         seen: Counter = Counter()  # of this task's rows
         for whole in batches:
@@ -253,8 +253,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def op7(docs: DataFrame) -> DataFrame:
+def op7(docs: DataFrame, remember: int = REMEMBER) -> DataFrame:
     """The contract's columns."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=remember)

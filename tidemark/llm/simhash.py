@@ -110,7 +110,7 @@ def links(prints: DataFrame, radius: int = 2, most: int = BUCKET, family=coverin
         total = sizes.agg(F.sum("n")).first()[0]
         if not total:
             break
-        met = look_up(rows, sizes, ["fixed", "key"], "bucket", total).filter("bucket is not null")
+        met = look_up(rows, sizes, ["fixed", "key"], "bucket", total, how="inner")
         met = materialize(met.select("fp", "fixed", "key", F.col("bucket.n").alias("n")), "met")
         small = met if level == LEVELS - 1 else met.filter(F.col("n") <= most)
         u, v = (small.select("fixed", "key", F.col("fp").alias(side)) for side in "uv")
@@ -248,18 +248,22 @@ def _with(pairs: DataFrame, facts: DataFrame, names: dict[str, tuple[str, str]])
 
     What many pairs ask for is copied to as many places, so no task gets all pairs of a hub.
     """
-    total = pairs.count()
-    places = lambda n: F.ceil(n / F.lit(float(ASKED))).cast("int")
-    dealt, copies = pairs.select("u", "v"), {}
-    for side, other in ("uv", "vu"):
-        asked = materialize(pairs.groupBy(side).agg(F.count("*").alias("n")), "asked")
-        dealt = look_up(dealt, asked, [side], "many", total)
-        dealt = dealt.withColumn(f"at_{side}", F.pmod(F.xxhash64(other), places(F.col("many.n"))).cast("int")).drop("many")
-        copies[side] = asked.select(F.col(side).alias("id"), F.explode(F.sequence(F.lit(0), places(F.col("n")) - 1)).alias(f"at_{side}"))
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in "uv"))
+    crowds = pairs.select(F.explode(ends).alias("e")).groupBy("e.side", "e.id").agg(F.count("*").alias("n")).filter(F.col("n") > ASKED)
+    crowds, dealt = materialize(crowds, "crowds"), pairs.select("u", "v")
+    total = crowds.agg(F.sum("n")).first()[0]
     for k, side in enumerate("uv"):
-        held = facts.select("id", *(F.col(c).alias(new[k]) for c, new in names.items())).join(copies[side], "id")
-        dealt = dealt.join(held.withColumnRenamed("id", side), [side, f"at_{side}"])
-    return dealt.drop("at_u", "at_v")
+        held = facts.select(F.col("id").alias(side), *(F.col(c).alias(new[k]) for c, new in names.items()))
+        if not total:
+            dealt = dealt.join(held, side)
+            continue
+        own = materialize(crowds.filter(F.col("side") == side).select(F.col("id").alias(side), F.ceil(F.col("n") / F.lit(float(ASKED))).cast("int").alias("places"), "n"), "crowd")
+        place = F.coalesce(F.pmod(F.xxhash64("u", "v"), F.col("many.places")).cast("int"), F.lit(0)).alias("place")
+        dealt = look_up(dealt, own, [side], "many", total).select(*dealt.columns, place)
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)).alias("place")
+        held = held.join(own.drop("n"), side, "left").select(*held.columns, copies)
+        dealt = dealt.join(held, [side, "place"]).drop("place")
+    return dealt
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -311,7 +315,7 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     tables = own.select("id", "size", "index", F.posexplode("toks").alias("at", "tok")).select("tok", "id", "size", "at", (F.col("at") < F.col("index")).alias("lead"))
     shared = materialize(tables.groupBy("tok").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).filter("led and n > 1").drop("led"), "shared")
     total = shared.agg(F.sum("n")).first()[0]
-    met = look_up(tables, shared, ["tok"], "bucket", total or 0).filter("bucket is not null")
+    met = look_up(tables, shared, ["tok"], "bucket", total or 0, how="inner")
     met = materialize(met.select("tok", "id", "size", "at", "lead", F.col("bucket.n").alias("n")), "met")
 
     def room(a, b):  # enough of both texts from this shingle on, which rules out unlike lengths too
@@ -330,7 +334,7 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     joined = components(first).withColumnRenamed("node", "id")
     placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("tok", "n")
-    placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0).filter("bucket is not null")
+    placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0, how="inner")
     placed = materialize(placed.withColumn("n", F.col("bucket.n")).drop("bucket"), "open")
 
     def apart(x, y):

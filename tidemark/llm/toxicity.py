@@ -143,16 +143,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, name: st
 
     one = F.min(F.struct("f", "n")).alias("x")
     got = map_texts(rows, make, {"f": pa.binary(), "n": pa.binary()}, "f binary, n binary").groupBy("doc_id").agg(one)
-    got = got.join(sample, "doc_id").select("label", "x.f", "x.n").toArrow()
-    fs, ns = (got.column(c).to_pylist() for c in "fn")
-    toxic = np.array(got.column("label").to_pylist(), int)
-    del got  # the driver holds one copy at a time
-    order = sorted(range(len(fs)), key=lambda k: (zlib.crc32(fs[k]), fs[k]))  # the rows arrive in any order
-    feats, times = (np.frombuffer(b"".join(x[k] for k in order), np.int32) for x in (fs, ns))
-    at = np.repeat(np.arange(len(order), dtype=np.int32), [len(fs[k]) // 4 for k in order])
-    toxic = toxic[order]
-    del fs, ns
-    return fit(at, feats, times, toxic)
+    got = got.join(sample, "doc_id").orderBy("doc_id").select("label", "x.f", "x.n").toArrow().combine_chunks()
+    feats, sizes = _flat(got.column("f"))
+    times, _ = _flat(got.column("n"))
+    toxic = got.column("label").to_numpy().astype(int)
+    return fit(np.repeat(np.arange(len(toxic), dtype=np.int32), sizes), feats, times, toxic)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's 32-bit numbers, one row after the other without a copy, and how many each row has."""
+    if not column.num_chunks or not len(column):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    own = column.chunk(0)
+    _, offsets, data = own.buffers()
+    kind = np.int64 if pa.types.is_large_binary(own.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat.view(np.int32), np.diff(ends) // 4
 
 
 def weighed(model: Model):
