@@ -17,6 +17,7 @@ from tidemark.operators import gate as G
 from tidemark.operators import monitoring as M
 from tidemark.operators import overfit as O
 from tidemark.operators import panel as P
+from tidemark.operators import training as T
 
 D = dt.date
 CFG = ReviewConfig()
@@ -202,3 +203,71 @@ def test_momentum_does_not_bridge_gaps(spark):
     out = C.momentum(P.price_matrix(prices, cfg), dates, P.sessions(prices, cfg), cfg).filter("ticker = 'A'")
     got = {r.date: r.score for r in out.collect()}
     assert got == {days[4]: pytest.approx(4 / 2 - 1)}  # no quote that day, but both quotes it needs
+
+
+# Window models -------------------------------------------------------------------------------------
+
+
+def quotes(spark, rows):
+    return spark.createDataFrame([(*r[:2], *map(float, r[2:])) for r in rows], "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double")
+
+
+def test_weeks_run_from_saturday_to_friday(spark):
+    days = [(D(2022, 1, 1) + dt.timedelta(k),) for k in range(20)]
+    got = {r.d: r.w for r in spark.createDataFrame(days, "d date").select("d", T.week_of(F.col("d")).alias("w")).collect()}
+    for day, week in got.items():
+        assert week.weekday() == 5 and 0 <= (day - week).days < 7
+
+
+def test_weekly_bar(spark):
+    rows = [(D(2022, 1, 3), "A", 10, 12, 9, 11, 22, 5), (D(2022, 1, 7), "A", 11, 15, 10, 14, 28, 7), (D(2022, 1, 8), "A", 1, 1, 1, 1, 1, 1), (D(2022, 1, 5), "A", 1, 99, 1, 0, 1, 1)]
+    bar = T.weekly_bars(quotes(spark, rows), CFG).orderBy("week").first()
+    assert tuple(bar) == (D(2022, 1, 1), "A", 20.0, 30.0, 18.0, 28.0, 12.0, D(2022, 1, 7))
+
+
+def test_a_missing_week_gives_no_change(spark):
+    rows = [(D(2022, 1, 7) + dt.timedelta(7 * k), "A", *[10 * 2**k] * 5, 1) for k in (0, 1, 3, 4)]
+    got = [r.f[3] for r in T.weekly_features(quotes(spark, rows), CFG).orderBy("date").collect()]
+    assert got == [None, pytest.approx(np.log(2)), None, pytest.approx(np.log(2))]
+
+
+def test_scaled_and_clipped(spark):
+    rows = [(D(2022, 1, k + 1), k, "A", [float(x), 1.0, 1.0, 1.0, 1.0]) for k, x in enumerate([0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 100])]
+    df = spark.createDataFrame([*rows, (D(2022, 2, 1), 99, "A", [None] * 5)], "date date, t int, ticker string, f array<double>")
+    out = {r.t: r.f for r in T.scaled(df, T.scaler(df), clip=2.0).collect()}
+    x = np.array([0.0] * 11 + [100.0])
+    assert out[0][0] == pytest.approx(-x.mean() / x.std()) and out[11][0] == 2.0 and out[11][1] == 0.0 and out[99] == [None] * 5
+
+
+def test_training_set_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    start, n, length, horizon = D(2020, 1, 1), 60, 5, 3
+    paths = {t: 100 * np.exp(np.cumsum(rng.normal(scale=0.02, size=n))) for t in "ABC"}
+    rows = [(start + dt.timedelta(k), t, p * 0.99, p * 1.01, p * 0.98, p, p / 2, 0 if t == "B" and k == 30 else 10 + k) for t, path in paths.items() for k, p in enumerate(path)]
+    rows = [r if not (r[1] == "C" and r[0] == start + dt.timedelta(20)) else (*r[:3], float("nan"), *r[4:]) for r in rows]
+    split = "2020-02-05"
+    got = {(r.ticker, r.end): r for r in T.training_set(quotes(spark, rows), CFG, split, length, horizon, 4, 2.0).collect()}
+    own = {}
+    for t in paths:
+        q = np.array([[*(x * r[6] / r[5] for x in r[2:6]), r[7]] for r in sorted(r for r in rows if r[1] == t)])
+        logs = np.column_stack([np.log(q[:, :4]), np.log1p(q[:, 4])])
+        own[t] = np.vstack([[np.nan] * 5, np.diff(logs, axis=0)])
+    days = [start + dt.timedelta(k) for k in range(n)]
+    fit = np.vstack([f[[d < D(2020, 2, 5) for d in days]] for f in own.values()])
+    fit = fit[np.isfinite(fit).all(axis=1)]
+    want = {}
+    for t, f in own.items():
+        for e in range(length - 1, n - horizon, 4):
+            if np.isfinite(f[e - length + 1 : e + horizon + 1]).all():
+                z = np.clip((f[e - length + 1 : e + 1] - fit.mean(axis=0)) / fit.std(axis=0), -2, 2)
+                want[t, days[e]] = (z, f[e + 1 : e + horizon + 1, 3].sum(), days[e + horizon])
+    assert set(got) == set(want) and len(want) > 20
+    parts = {}
+    for (t, end), (z, _, last) in want.items():
+        r = got[t, end]
+        assert np.allclose(np.array(r.window), z) and r.target_end == last
+        assert r.part == ("train" if last < D(2020, 2, 5) else "val" if end >= D(2020, 2, 5) else "purged")
+        parts[t, end] = r.part
+    rank = {k: (sum(x[1] <= v[1] for j, x in want.items() if j[1] == k[1]) / sum(j[1] == k[1] for j in want)) - 0.5 for k, v in want.items()}
+    sd = np.std([v for k, v in rank.items() if parts[k] == "train"])
+    assert all(got[k].y == pytest.approx(rank[k] / sd) for k in want) and set(parts.values()) == {"train", "val", "purged"}

@@ -91,3 +91,31 @@ def test_streaming_counts_match_batch(spark, sf_dir, tmp_path):
     assert got == want and got
     psi = monitor.psi_of_counts(spark.table("counts"), {k: 1 / 5 for k in range(5)}).collect()
     assert all(r.psi >= 0 for r in psi)
+
+
+def test_screener_maps_fields(spark):
+    from tidemark.sources.connectors import read_screener
+
+    def fetch(offset):
+        return [{"symbol": f"T{offset + k}", "shortName": "n", "marketCap": 5, "extra": 1} for k in range(2)] if offset < 4 else []
+
+    rows = read_screener(spark, fetch, wanted=4, size=2, pause=0.0).orderBy("ticker").collect()
+    assert [r.ticker for r in rows] == ["T0", "T1", "T2", "T3"]
+    assert rows[0].asDict() == {"ticker": "T0", "name": "n", "exchange": None, "market_cap": 5.0, "quote_type": None, "sector": None, "industry": None}
+
+
+def test_quotes_become_long(spark):
+    import datetime as dt
+
+    from tidemark.sources.connectors import read_quotes
+
+    def fetch(batch):
+        fields = ("Open", "High", "Low", "Close", "Adj Close", "Volume")
+        day = dt.datetime(2022, 1, 3, 5)
+        if len(batch) == 1:
+            return [(day, dict(zip(fields, (1, 2, 3, 4, 5, 6), strict=True)))]
+        cells = {(f, t): k for k, f in enumerate(fields) for t in batch}
+        return [(day, cells | {("Close", batch[0]): float("nan")})]
+
+    rows = read_quotes(spark, fetch, ["A", "B", "C"], size=2, pause=0.0).orderBy("ticker").collect()
+    assert [tuple(r) for r in rows] == [(dt.date(2022, 1, 3), "B", 0.0, 1.0, 2.0, 3.0, 4.0, 5.0), (dt.date(2022, 1, 3), "C", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,15 @@ from tidemark.operators.panel import available, calendar
 
 #: model -> (kind of target, horizon in sessions, field, description)
 TARGETS = {
-    "gbm": ("path", 63, "adj_close", "mean adjusted price over t..t+63 / price[t] - 1"),
-    "gbm_expected": ("path", 63, "adj_close", "mean adjusted price over t..t+63 / price[t] - 1"),
-    "gbm_weekly": ("point", 5, "adj_close", "adjusted close[t+5] / close[t] - 1"),
-    "window_high": ("point", 65, "high", "raw High[t+65] / High[t] - 1"),
+    "gbm": ("path", 63, "adj_close", "return of the average of this and the next 63 adjusted closes"),
+    "gbm_expected": ("path", 63, "adj_close", "return of the average of this and the next 63 adjusted closes"),
+    "gbm_weekly": ("point", 5, "adj_close", "return of the adjusted close over five sessions"),
+    "window_high": ("point", 65, "high", "return of the unadjusted high over 65 sessions"),
 }
 
+#: What the pooled regression may be read as.
+INTERPRETATION = "describes these pairs only: their windows overlap, so it is no test of significance"
+
 
 def session_grid(prices: DataFrame, cfg: ReviewConfig, field: str) -> DataFrame:
     """(date, s, ticker, value): positive values on the benchmark's sessions, numbered."""
@@ -62,7 +66,7 @@ def matched_calibration(pairs: DataFrame, targets: dict = TARGETS) -> DataFrame:
     return pairs.groupBy("model", F.col("horizon").alias("horizon_sessions")).agg(
         F.count("*").alias("n"), F.regr_slope("actual", "score").alias("slope"), F.regr_intercept("actual", "score").alias("intercept"),
         F.avg(F.abs(F.col("actual") - F.col("score"))).alias("mae"),
-    ).withColumn("target", what[F.col("model")])
+    ).withColumns({"target": what[F.col("model")], "interpretation": F.lit(INTERPRETATION)})
 
 
 def scaled_sign_accuracy(true: Column, predicted: Column, low: Column, high: Column) -> Column:
@@ -80,21 +84,21 @@ def direction_metric(pairs: DataFrame, low: float | None = None, high: float | N
     """(model, n, legacy, corrected) of (model, true, predicted); the scale is the range of the truth unless given."""
     if low is None or high is None:
         ends = pairs.groupBy("model").agg(F.min("true").alias("lo"), F.max("true").alias("hi"))
-        pairs = pairs.join(F.broadcast(ends), "model")  # one row a model
+        pairs = pairs.join(ends, "model")
     else:
         pairs = pairs.withColumn("lo", F.lit(low)).withColumn("hi", F.lit(high))
     t, p = F.col("true"), F.col("predicted")
     return pairs.groupBy("model").agg(F.count("*").alias("n"), scaled_sign_accuracy(t, p, F.col("lo"), F.col("hi")).alias("legacy"), sign_accuracy(t, p).alias("corrected"))
 
 
-def purged_split(rows: DataFrame, split: str) -> DataFrame:
-    """rows with `part`: train if the target ended by the split, val if the sample began after it, else purged.
+def purged_split(rows: DataFrame, split: str, closed: bool = True) -> DataFrame:
+    """rows with `part`: train if the target ended by the split, val if the sample ended after it, else purged.
 
-    rows has `end` (last date of the inputs) and `target_end`.
+    rows has `end` (last date of the inputs) and `target_end`. closed: the split day belongs to the training part.
     """
     day = F.lit(split).cast("date")
-    part = F.when(F.col("target_end") <= day, "train").when(F.col("end") > day, "val").otherwise("purged")
-    return rows.withColumn("part", part)
+    early, late = (F.col("target_end") <= day, F.col("end") > day) if closed else (F.col("target_end") < day, F.col("end") >= day)
+    return rows.withColumn("part", F.when(early, "train").when(late, "val").otherwise("purged"))
 
 
 def rank_target(rows: DataFrame, value: str = "ret_fwd_1w") -> DataFrame:
@@ -142,25 +146,37 @@ def window_features(prices: DataFrame, sess: DataFrame, cfg: ReviewConfig, adjus
 
 
 def feature_windows(features: DataFrame, dates: DataFrame, length: int) -> DataFrame:
-    """(date, ticker, window): the last `length` sessions' features as array<array<double>>, complete ones only."""
-    w = Window.partitionBy("ticker").orderBy("t").rangeBetween(1 - length, 0)
-    ok = F.forall("f", lambda x: x.isNotNull())
-    rows = features.withColumn("n", F.sum(ok.cast("int")).over(w)).withColumn("window", F.collect_list("f").over(w))
-    return rows.filter(F.col("n") == length).join(F.broadcast(dates), "date", "left_semi").select("date", "ticker", "window")
-
+    """(date, ticker, window): the last `length` sessions' features as array<array<double>>, complete ones only.
 
-def mean_high_predictor(windows: pd.Series) -> pd.Series:
+    A ticker's history, one entry a session, is sorted once; only the windows that end on one of the dates are cut from it.
+    """
+    marked = features.join(F.broadcast(dates.select("date", F.lit(True).alias("on"))), "date", "left")  # one row a week
+    own = F.array_sort(F.collect_list(F.struct("t", "date", "on", "f")))
+    rows = marked.groupBy("ticker").agg(own.alias("h"))
+    at = lambda i: F.get("h", i)
+    ends = F.filter(F.sequence(F.lit(length - 1), F.size("h") - 1), lambda i: at(i)["on"] & (at(i)["t"] - at(i - (length - 1))["t"] == length - 1))
+    ends = F.when(F.size("h") >= length, ends)
+    cut = F.transform(ends, lambda i: F.struct(at(i)["date"].alias("date"), F.transform(F.slice("h", i - (length - 2), F.lit(length)), lambda x: x["f"]).alias("window")))
+    out = rows.select("ticker", F.explode(cut).alias("w")).select("w.date", "ticker", "w.window")
+    return out.filter(F.forall("window", lambda f: F.forall(f, lambda x: x.isNotNull())))
+
+
+def mean_high_predictor(windows: np.ndarray) -> np.ndarray:
     """A stand-in for a trained model: 65 times the mean log change of the high in the window."""
-    return windows.map(lambda w: 65.0 * sum(x[1] for x in w) / len(w))
+    return 65.0 * windows[:, :, 1].mean(axis=1)
 
 
-def window_scores(windows: DataFrame, model: str, predict: Callable[[pd.Series], pd.Series] = mean_high_predictor) -> DataFrame:
-    """(date, ticker, model, score): exp(predicted log change) - 1, predicted in Arrow batches by any callable."""
+def window_scores(windows: DataFrame, model: str, predict: Callable[[np.ndarray], np.ndarray] = mean_high_predictor) -> DataFrame:
+    """(date, ticker, model, score): exp(predicted log change) - 1, predicted in Arrow batches by any callable.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    predict maps (windows, bars, features) to one number a window.
+    """
 
-        for pdf in batches:
-            yield pd.DataFrame({"date": pdf["date"], "ticker": pdf["ticker"], "model": model, "score": np.exp(predict(pdf["window"]).astype(float)) - 1.0})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            flat = batch.column("window").flatten().flatten().to_numpy(zero_copy_only=False)
+            score = np.exp(np.asarray(predict(flat.reshape(n, -1, len(OHLCV))), float)) - 1.0 if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("date"), batch.column("ticker"), pa.array([model] * n, pa.string()), pa.array(score)], names=["date", "ticker", "model", "score"])
 
-    return windows.mapInPandas(run, "date date, ticker string, model string, score double")
+    return windows.select("date", "ticker", "window").mapInArrow(run, "date date, ticker string, model string, score double")

@@ -32,7 +32,7 @@ def scored(panel: DataFrame, signals: DataFrame, cfg: ReviewConfig) -> DataFrame
         "model", "date", "ticker", "score", F.col("ret_fwd_1w_lag1").alias("r1"), F.col("ret_fwd_13w").alias("r13"),
         y("ret_fwd_1w_lag1").alias("y1"), y("ret_fwd_13w").alias("y13"),
     )
-    return rows.join(F.broadcast(weeks(rows)), ["model", "date"])
+    return rows.join(weeks(rows), ["model", "date"])
 
 
 def weeks(rows: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def psi_by_year(rows: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """(model, year, psi): yearly score shares against the development weeks. An edge's own value is in the lower bucket."""
     probs = [k / cfg.psi_buckets for k in range(1, cfg.psi_buckets)]
     edges = rows.filter(F.col("week") <= cfg.dev_weeks).groupBy("model").agg(F.percentile("score", F.array(*map(F.lit, probs))).alias("edges"))
-    placed = rows.join(F.broadcast(edges), "model").select(  # one row a model
+    placed = rows.join(edges, "model").select(  # one row a model
         "model", F.year("date").cast("long").alias("year"), (F.col("week") <= cfg.dev_weeks).alias("dev"),
         F.size(F.filter("edges", lambda e: F.col("score") > e)).alias("bucket"),
     )
@@ -69,13 +69,13 @@ def psi_rolling(values: DataFrame, wk: DataFrame, cfg: ReviewConfig, metric: str
     probs = F.array(*(F.lit(k / b) for k in range(b + 1)))
     edges = values.filter(F.col("week") <= cfg.dev_weeks).groupBy("model").agg(F.array_distinct(F.percentile("x", probs)).alias("es"))
     edges = edges.select("model", F.slice("es", 2, F.greatest(F.size("es") - 2, F.lit(0))).alias("es"))
-    placed = values.join(F.broadcast(edges), "model").select("model", "week", F.size(F.filter("es", lambda e: F.col("x") >= e)).alias("k"))
+    placed = values.join(edges, "model").select("model", "week", F.size(F.filter("es", lambda e: F.col("x") >= e)).alias("k"))
     hit = [F.sum((F.col("k") == k).cast("int")).alias(f"n{k}") for k in range(b)]
     weekly = placed.groupBy("model", "week").agg(*hit)
     base = placed.filter(F.col("week") <= cfg.dev_weeks).groupBy("model").agg(*(h.alias(f"e{k}") for k, h in enumerate(hit)))
     all_weeks = wk.join(weekly, ["model", "week"], "left").na.fill(0, [f"n{k}" for k in range(b)])
     w = Window.partitionBy("model").orderBy("week").rangeBetween(-cfg.monitor_window - 1, -cfg.monitor_lag)
-    sums = all_weeks.select("model", "date", "week", *(F.sum(f"n{k}").over(w).alias(f"n{k}") for k in range(b))).join(F.broadcast(base), "model")
+    sums = all_weeks.select("model", "date", "week", *(F.sum(f"n{k}").over(w).alias(f"n{k}") for k in range(b))).join(base, "model")
     total, whole = (sum((F.col(f"{c}{k}") for k in range(1, b)), F.col(f"{c}0")) for c in "ne")
     psi = sum((_term(F.col(f"n{k}") / total, F.col(f"e{k}") / whole) for k in range(1, b)), _term(F.col("n0") / total, F.col("e0") / whole))
     late = sums.filter(F.col("week") > max(cfg.monitor_window + 1, cfg.dev_weeks))
@@ -110,6 +110,19 @@ def ks(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"))
 
 
+def auc_and_ks(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, auc, ks, slope): both distances and the slope of r on the score, from one pass over (keys, score, r, y)."""
+    own = Window.partitionBy(*keys)
+    upto = own.orderBy("score").rangeBetween(Window.unboundedPreceding, 0)
+    y, n = F.col("y"), 1 - F.col("y")
+    gap = F.abs(F.try_divide(F.sum(y).over(upto), F.sum(y).over(own)) - F.try_divide(F.sum(n).over(upto), F.sum(n).over(own)))
+    ranked = rows.select(*keys, "score", "r", "y", mean_rank("score", *keys).alias("rk"), gap.alias("gap"))
+    pos, neg = F.sum("y"), F.sum(1 - F.col("y"))
+    up = F.sum(F.when(F.col("y") == 1, F.col("rk"))) - pos * (pos + 1) / F.lit(2.0)
+    slope = F.when(F.stddev_pop("score") > 0, F.regr_slope("r", "score"))
+    return ranked.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), up / (pos * neg)).alias("auc"), F.max("gap").alias("ks"), slope.alias("slope"))
+
+
 def auc_by_year(rows: DataFrame) -> DataFrame:
     """(model, year, n, auc) of next week's direction; labels from rows with a return."""
     known = rows.filter("r1 is not null")
@@ -131,7 +144,7 @@ def matured(rows: DataFrame, prices: DataFrame, cfg: ReviewConfig) -> DataFrame:
     ends = wk.join(calendar(prices, cfg).select("date", "day65"), "date").filter("day65 is not null").select("model", "week", F.col("day65").alias("ripe"))
     late = wk.filter(F.col("week") > max(cfg.monitor_window + 1, cfg.dev_weeks)).select("model", F.col("date").alias("asof"), F.col("week").alias("n"))
     # Weeks ripen in order, so the newest ripe week of each as-of week bounds the window: one row a week each.
-    pairs = late.join(F.broadcast(ends), "model").filter((F.col("week") < F.col("n")) & (F.col("ripe") <= F.col("asof")))
+    pairs = late.join(ends, "model").filter((F.col("week") < F.col("n")) & (F.col("ripe") <= F.col("asof")))
     last = pairs.groupBy("model", "asof").agg(F.max("week").alias("newest"))
     back = F.explode(F.sequence(F.greatest(F.col("newest") - cfg.monitor_window + 1, F.lit(1)), F.col("newest")))
     return last.select("model", "asof", back.alias("week"))
@@ -140,7 +153,7 @@ def matured(rows: DataFrame, prices: DataFrame, cfg: ReviewConfig) -> DataFrame:
 def windowed(rows: DataFrame, pairs: DataFrame, ret: str, y: str) -> DataFrame:
     """(model, date, score, r, y): rows of each as-of week's window that have the return."""
     known = rows.filter(F.col(ret).isNotNull()).select("model", "week", "score", F.col(ret).alias("r"), F.col(y).alias("y"))
-    return known.join(F.broadcast(pairs), ["model", "week"]).select("model", F.col("asof").alias("date"), "score", "r", "y")
+    return known.join(pairs, ["model", "week"]).select("model", F.col("asof").alias("date"), "score", "r", "y")
 
 
 def auc_rolling(win: DataFrame, suffix: str) -> DataFrame:
@@ -160,10 +173,11 @@ def association_slope(win: DataFrame) -> DataFrame:
 def rolling_metrics(rows: DataFrame, prices: DataFrame, vol: DataFrame, cfg: ReviewConfig) -> DataFrame:
     """(date, model, metric, value) of all cross-sectional metrics; missing values have no row."""
     one, ripe = windowed(rows, lookback(rows, cfg), "r1", "y1"), windowed(rows, matured(rows, prices, cfg), "r13", "y13")
-    parts = [psi_score(rows, cfg), psi_input(rows, vol, cfg), auc_rolling(one, "1w"), ks_rolling(one, "1w"), auc_rolling(ripe, "13w"), ks_rolling(ripe, "13w"), association_slope(ripe)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    named = [(one, {"auc": "auc_1w", "ks": "ks_1w"}), (ripe, {"auc": "auc_13w", "ks": "ks_13w", "slope": "association_slope_13w"})]
+    out = psi_score(rows, cfg).unionByName(psi_input(rows, vol, cfg))
+    for win, names in named:  # each window's rows are fanned out and sorted once
+        found = auc_and_ks(win, "model", "date").withColumnsRenamed(names)
+        out = out.unionByName(found.unpivot(["model", "date"], list(names.values()), "metric", "value"))
     return out.filter("value is not null").select("date", "model", "metric", "value")
 
 

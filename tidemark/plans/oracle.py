@@ -7,11 +7,12 @@ import re
 
 from tidemark.config import FIXTURE as CFG
 from tidemark.functions.stats import max_of_normals, normal_cdf_sql, uniform_sql
-from tidemark.operators.calibration import TARGETS
+from tidemark.operators.calibration import INTERPRETATION, TARGETS
 from tidemark.operators.gate import CROSS, PORTFOLIO
-from tidemark.plans.review import DIGITS, EXACT, TRIALS
+from tidemark.plans.review import DIGITS, EXACT, TRAINING, TRIALS
 
 END, START, OOT = (f"DATE '{d}'" for d in (CFG.end, CFG.start, CFG.oot_start))
+WEEKS, BACK, AHEAD, SPLIT = TRAINING
 R52 = f"{math.sqrt(52)!r}::DOUBLE"
 W, DEV, N = CFG.monitor_window, CFG.dev_weeks, CFG.top_n
 FIRST = max(W + 1, DEV)  # as-of weeks come after this one
@@ -64,8 +65,9 @@ PARTS |= {
     "mus": f"""SELECT date, ticker, mu, sigma FROM (SELECT date, ticker, avg(lr) OVER w * 252 AS mu, stddev_samp(lr) OVER w * sqrt(252) AS sigma, count(lr) OVER w AS n FROM lr
         WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL {CFG.gbm_days - 1} DAYS PRECEDING AND CURRENT ROW)) JOIN dates USING (date) WHERE n >= {CFG.gbm_min_obs} AND sigma IS NOT NULL""",
     "gexp": f"SELECT date, ticker, 'gbm_expected' AS model, list_sum([exp(mu * (i * {CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE)) FOR i IN range(0, {CFG.gbm_steps + 1})]) / {CFG.gbm_steps + 1} - 1 AS score FROM mus",
-    "gsteps": f"""SELECT date, ticker, mu, sigma, i, sum(sqrt({CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) * sqrt(-2 * ln({uniform_sql(f"'g{CFG.seed}'", 'date', 'ticker', 'i')})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(f"'g{CFG.seed}'", 'date', 'ticker', 'i', at=9)}))
-        OVER (PARTITION BY date, ticker ORDER BY i) AS w FROM mus, range(1, {CFG.gbm_steps + 1}) r(i)""",
+    "gsteps": f"""SELECT date, ticker, mu, sigma, i, sum(sqrt({CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) * sqrt(-2 * ln(u1)) * CASE WHEN (i - 1) % 2 = 0 THEN cos({2 * math.pi!r}::DOUBLE * u2) ELSE sin({2 * math.pi!r}::DOUBLE * u2) END)
+        OVER (PARTITION BY date, ticker ORDER BY i) AS w FROM (SELECT *, {' , '.join(f"CASE WHEN (i - 1) % 4 < 2 THEN {uniform_sql(f'{chr(39)}g{CFG.seed}{chr(39)}', 'date', 'ticker', '(i - 1) // 4', at=a)} ELSE {uniform_sql(f'{chr(39)}g{CFG.seed}{chr(39)}', 'date', 'ticker', '(i - 1) // 4', at=a + 16)} END AS u{k}" for k, a in ((1, 1), (2, 9)))}
+        FROM mus, range(1, {CFG.gbm_steps + 1}) r(i))""",
     "gpath": f"""SELECT date, ticker, 'gbm' AS model, (1 + sum(exp((mu - 0.5::DOUBLE * sigma * sigma) * (i * {CFG.gbm_years / CFG.gbm_steps!r}::DOUBLE) + sigma * w))) / {CFG.gbm_steps + 1} - 1 AS score FROM gsteps GROUP BY date, ticker""",
 }
 _variants = []
@@ -193,7 +195,7 @@ def boot_idx(lengths: str, draws: int) -> str:
 PARTS["bidx"] = boot_idx("SELECT strategy, count(*) AS n FROM act GROUP BY strategy", CFG.bootstrap_n)
 PARTS["bsr"] = f"SELECT strategy, draw, avg(active) / nullif(stddev_samp(active), 0) * {R52} AS sr FROM bidx JOIN num USING (strategy, idx) GROUP BY strategy, draw"
 PARTS["bci"] = f"""SELECT s.strategy AS model, 'bootstrap_sharpe_ci' AS test, s.sr AS statistic, lo AS ci_low, hi AS ci_high, p AS p_value, CASE WHEN lo > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict,
-        'stationary block bootstrap, block={CFG.bootstrap_block}w, n={CFG.bootstrap_n}, T=' || s.n || 'w' AS detail
+        '{CFG.bootstrap_n} resamples of ' || s.n || ' weeks in blocks of {CFG.bootstrap_block} on average' AS detail
         FROM sharpes s JOIN (SELECT strategy, quantile_cont(sr, 0.025) AS lo, quantile_cont(sr, 0.975) AS hi, avg(coalesce((sr <= 0)::INT, 0)) AS p FROM bsr GROUP BY strategy) b USING (strategy)"""
 
 
@@ -202,7 +204,7 @@ def _dsr(name: str, trials: str, n: int) -> None:
     at = f"sqrt((SELECT CASE WHEN count(*) > 1 THEN var_samp(sr / {R52}) ELSE NULL END FROM ({trials}))) * {max_of_normals(n)!r}::DOUBLE"
     PARTS[f"{name}_z"] = f"SELECT *, (sr - sr0) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM (SELECT *, coalesce({at}, sqrt(1 / n) * {max_of_normals(n)!r}::DOUBLE) AS sr0 FROM mom4)"
     PARTS[name] = f"""SELECT strategy AS model, 'deflated_sharpe' AS test, v AS statistic, NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high, 1 - v AS p_value, CASE WHEN v >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict,
-        printf('N_trials={n}, SR0(ann)=%.2f, skew=%.2f, kurt=%.1f, T=%dw', sr0 * {R52}, skew, kurt, n) AS detail FROM (SELECT *, {normal_cdf_sql('z')} AS v FROM {name}_z)"""
+        printf('against the best of {n} trials (%.2f a year); %d weeks, skewness %.2f, kurtosis %.1f', sr0 * {R52}, n, skew, kurt) AS detail FROM (SELECT *, {normal_cdf_sql('z')} AS v FROM {name}_z)"""
 
 
 _dsr("dsr", "SELECT sr FROM sharpes", CFG.n_trials)
@@ -217,7 +219,7 @@ PARTS |= {
         SELECT strategy, -1, date, ret_gross FROM models WHERE date >= {OOT}) x JOIN bench b ON b.date = x.date AND b.strategy = 'universe_ew') GROUP BY ALL""",
     "pn": f"""SELECT n.strategy AS model, 'permutation_null' AS test, max(o.sr) AS statistic, quantile_cont(n.sr, 0.025) AS ci_low, quantile_cont(n.sr, 0.975) AS ci_high,
         (1 + count(*) FILTER (n.sr >= o.sr)) / {CFG.n_perm + 1} AS p_value, CASE WHEN (1 + count(*) FILTER (n.sr >= o.sr)) / {CFG.n_perm + 1} < 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict,
-        printf('cross-sectional permutation on gross active return, n={CFG.n_perm}; null mean=%.2f sd=%.2f', avg(n.sr), stddev_pop(n.sr)) AS detail
+        printf('{CFG.n_perm} random portfolios of as many names before costs: average %.2f, spread %.2f', avg(n.sr), stddev_pop(n.sr)) AS detail
         FROM psr n JOIN psr o ON o.strategy = n.strategy AND o.perm = -1 WHERE n.perm >= 0 GROUP BY n.strategy""",
     "pair": """SELECT a.strategy || ' - ' || b.strategy AS strategy, a.date, a.active - b.active AS active FROM act a JOIN act b ON a.date = b.date AND a.strategy <> b.strategy""",
     "pairidx": boot_idx("SELECT strategy, count(*) AS n FROM pair GROUP BY strategy", CFG.bootstrap_n),
@@ -239,6 +241,26 @@ PARTS |= {
     "ccrows": f"""SELECT *, sum(ln(1 + ret_net)) OVER (PARTITION BY strategy ORDER BY date) AS le FROM (SELECT * FROM rets WHERE strategy <> 'gbm_expected' UNION ALL SELECT * FROM challenger) WHERE date >= {OOT}""",
 }
 
+PARTS |= {
+    "adjq": "SELECT date, ticker, open * (adj_close / close) AS open, high * (adj_close / close) AS high, low * (adj_close / close) AS low, close * (adj_close / close) AS close, volume FROM avail WHERE close > 0 AND adj_close > 0",
+    "wbars": """SELECT (date_trunc('week', date + 2)::DATE - 2) AS week, ticker, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume,
+        max(date) AS last_date FROM adjq GROUP BY ALL""",
+    "wlogs": "SELECT week, datediff('day', DATE '1970-01-03', week) // 7 AS t, ticker, [ln(open), ln(high), ln(low), ln(close), ln(1 + volume)] AS l FROM wbars",
+    "wfeat": "SELECT week, t, ticker, CASE WHEN lag(t) OVER w = t - 1 THEN [l[k] - lag(l[k]) OVER w FOR k IN range(1, 6)] END AS f FROM wlogs WINDOW w AS (PARTITION BY ticker ORDER BY t)",
+    "wfeat5": "SELECT week, t, ticker, " + ", ".join(f"CASE WHEN lag(t) OVER w = t - 1 THEN l[{k}] - lag(l[{k}]) OVER w END AS f{k}" for k in range(1, 6)) + " FROM wlogs WINDOW w AS (PARTITION BY ticker ORDER BY t)",
+    "wz": "SELECT week, t, ticker, " + ", ".join(f"CASE WHEN f1 IS NOT NULL THEN greatest(-3.0::DOUBLE, least(3.0::DOUBLE, (f{k} - (SELECT avg(f{k}) FROM wfeat5 WHERE f1 IS NOT NULL)) / (SELECT stddev_pop(f{k}) FROM wfeat5 WHERE f1 IS NOT NULL))) END AS z{k}" for k in range(1, 6)) + " FROM wfeat5",
+    "wwin": f"""SELECT ticker, week, avg(z2) OVER w AS m, count(z2) OVER w AS n FROM wz WINDOW w AS (PARTITION BY ticker ORDER BY t RANGE BETWEEN {WEEKS - 1} PRECEDING AND CURRENT ROW)""",
+    "drow": "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM adjq",
+    "dfeat": "SELECT ticker, date, t, " + ", ".join(f"{x} - lag({x}) OVER w AS f{k}" for k, x in enumerate(("ln(open)", "ln(high)", "ln(low)", "ln(close)", "ln(1 + volume)"), 1)) + " FROM drow WINDOW w AS (PARTITION BY ticker ORDER BY t)",
+    "dz": "SELECT ticker, date, t, f4, f1 IS NOT NULL AS ok, " + ", ".join(f"CASE WHEN f1 IS NOT NULL THEN greatest(-3.0::DOUBLE, least(3.0::DOUBLE, (f{k} - (SELECT avg(f{k}) FROM dfeat WHERE f1 IS NOT NULL AND date < DATE '{SPLIT}')) / (SELECT stddev_pop(f{k}) FROM dfeat WHERE f1 IS NOT NULL AND date < DATE '{SPLIT}'))) END AS z{k}" for k in (2, 5)) + " FROM dfeat",
+    "dwin": f"""SELECT ticker, date AS "end", t, lead(date, {AHEAD}) OVER o AS target_end, avg(z2) OVER b AS mean_high, avg(z5) OVER b AS mean_volume, count(z2) OVER b AS nb, sum(f4) OVER a AS ret, count(f4) OVER a AS na
+        FROM dz WINDOW o AS (PARTITION BY ticker ORDER BY t), b AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN {BACK - 1} PRECEDING AND CURRENT ROW), a AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {AHEAD} FOLLOWING)""",
+    "dsamp": f"""SELECT *, (rank() OVER (PARTITION BY "end" ORDER BY ret) + (count(*) OVER (PARTITION BY "end", ret) - 1) / 2) / count(*) OVER (PARTITION BY "end") - 0.5::DOUBLE AS y0,
+        CASE WHEN target_end < DATE '{SPLIT}' THEN 'train' WHEN "end" >= DATE '{SPLIT}' THEN 'val' ELSE 'purged' END AS part
+        FROM dwin WHERE nb = {BACK} AND na = {AHEAD} AND (t - {BACK}) % {AHEAD} = 0 AND target_end IS NOT NULL""",
+}
+del PARTS["wfeat"]
+
 _METRIC = ["date", "model", "metric", "*value"]
 _RESULT = ["model", "test", "*statistic", "*ci_low", "*ci_high", "*p_value", "verdict", "detail"]
 _PR = ["date", "strategy", "*ret_gross", "*ret_net", "*turnover", "n_held"]
@@ -331,15 +353,15 @@ FINALS: dict[str, tuple[list[str], str]] = {
     "permutation_null": (_RESULT, "pn"),
     "validation_results": (
         _RESULT,
-        f"""(SELECT * REPLACE (detail || '; OOT >= {CFG.oot_start}; next-session-close execution' AS detail) FROM (SELECT * FROM bci UNION ALL SELECT * FROM pn)
-        UNION ALL SELECT * REPLACE ('PROVISIONAL' AS verdict, detail || '; OOT >= {CFG.oot_start}; next-session-close execution; historical search incomplete; variance from {len(TRIALS) - 1} available trials; missing=never_run; N={max(CFG.n_trials, len(TRIALS))} is a lower bound, not an approval test' AS detail) FROM dsrall)""",
+        f"""(SELECT * REPLACE (detail || '; weeks from {CFG.oot_start}, traded at the next close' AS detail) FROM (SELECT * FROM bci UNION ALL SELECT * FROM pn)
+        UNION ALL SELECT * REPLACE ('PROVISIONAL' AS verdict, detail || '; weeks from {CFG.oot_start}, traded at the next close; spread of {len(TRIALS) - 1} trials on record, none for never_run; at least {max(CFG.n_trials, len(TRIALS))} trials were made, so this does not approve' AS detail) FROM dsrall)""",
     ),
     "paired_bootstrap": (["strategy", "*statistic", "*ci_low", "*ci_high"], "(SELECT * FROM pairci WHERE strategy = 'momentum - gbm_expected')"),
     "contrast_verdict": (["strategy", "verdict"], "(SELECT strategy, CASE WHEN ci_low > 0 THEN 'better' WHEN ci_high < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM pairci)"),
     "matched_calibration": (
-        ["model", "horizon_sessions", "n", "*slope", "*intercept", "*mae", "target"],
+        ["model", "horizon_sessions", "n", "*slope", "*intercept", "*mae", "target", "interpretation"],
         f"""(SELECT model, horizon::BIGINT AS horizon_sessions, count(*) AS n, regr_slope(actual, score) AS slope, regr_intercept(actual, score) AS intercept, avg(abs(actual - score)) AS mae,
-        CASE model {' '.join(f"WHEN '{m}' THEN '{t[3]}'" for m, t in TARGETS.items())} END AS target FROM pairs WHERE actual IS NOT NULL GROUP BY ALL)""",
+        CASE model {' '.join(f"WHEN '{m}' THEN '{t[3]}'" for m, t in TARGETS.items())} END AS target, '{INTERPRETATION}' AS interpretation FROM pairs WHERE actual IS NOT NULL GROUP BY ALL)""",
     ),
     "direction_metric": (
         ["model", "n", "*legacy", "*corrected"],
@@ -357,7 +379,7 @@ FINALS: dict[str, tuple[list[str], str]] = {
         """(SELECT date, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS ic FROM (SELECT date, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2 AS rx,
         rank() OVER (PARTITION BY date ORDER BY ret_fwd_1w_lag1) + (count(*) OVER (PARTITION BY date, ret_fwd_1w_lag1) - 1) / 2 AS ry FROM panel JOIN momentum USING (date, ticker) WHERE tradable AND ret_fwd_1w_lag1 IS NOT NULL) GROUP BY date)""",
     ),
-    "window_features": (["date", "ticker", "*d_open", "*d_high", "*d_low", "*d_close", "*d_volume"], "(SELECT a.date, a.ticker, a.l[1] - b.l[1] AS d_open, a.l[2] - b.l[2] AS d_high, a.l[3] - b.l[3] AS d_low, a.l[4] - b.l[4] AS d_close, a.l[5] - b.l[5] AS d_volume FROM feat a LEFT JOIN feat b ON b.ticker = a.ticker AND b.t = a.t - 1)"),
+    "window_features": (["date", "ticker", "*d_open", "*d_high", "*d_low", "*d_close", "*d_volume"], "(SELECT date, ticker, " + ", ".join(f"CASE WHEN lag(t) OVER w = t - 1 THEN l[{k}] - lag(l[{k}]) OVER w END AS d_{c}" for k, c in enumerate(("open", "high", "low", "close", "volume"), 1)) + " FROM feat WINDOW w AS (PARTITION BY ticker ORDER BY t))"),
     "window_validity": (["ticker", "n", "whole"], "(SELECT ticker, count(*) AS n, (count(*) FILTER (k = 3))::BIGINT AS whole FROM (SELECT ticker, count(*) FILTER (ok) OVER (PARTITION BY ticker ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM spok) GROUP BY ticker)"),
     "window_model": (
         _SIG,
@@ -365,6 +387,10 @@ FINALS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT q.*, t FROM avail q JOIN sess USING (date)) a LEFT JOIN (SELECT q.*, t FROM avail q JOIN sess USING (date)) b ON b.ticker = a.ticker AND b.t = a.t - 1) x
         WINDOW w AS (PARTITION BY x.ticker ORDER BY x.t RANGE BETWEEN 251 PRECEDING AND CURRENT ROW)) JOIN dates USING (date) WHERE n = 252)""",
     ),
+    "weekly_bars": (["week", "ticker", "*open", "*high", "*low", "*close", "*volume", "last_date"], "wbars"),
+    "weekly_features": (["week", "ticker", *(f"*z_{c}" for c in ("open", "high", "low", "close", "volume"))], "(SELECT week, ticker, " + ", ".join(f"z{k} AS z_{c}" for k, c in enumerate(("open", "high", "low", "close", "volume"), 1)) + " FROM wz WHERE z1 IS NOT NULL)"),
+    "weekly_model": (_SIG, f"(SELECT p.date, p.ticker, 'weekly_stub' AS model, exp(m) - 1 AS score FROM panel p JOIN wwin w ON w.ticker = p.ticker AND w.week = date_trunc('week', p.date + 2)::DATE - 2 WHERE tradable AND n = {WEEKS})"),
+    "training_set": (["ticker", "end", "target_end", "part", "*y", "*mean_high", "*mean_volume"], """(SELECT *, y0 / (SELECT stddev_pop(y0) FROM dsamp WHERE part = 'train') AS y FROM dsamp)"""),
     "feature_scaler": ([f"*{c}_{s}" for c in ("ret_fwd_1w", "ret_fwd_13w") for s in ("mean", "sd")], "(SELECT avg(ret_fwd_1w) AS ret_fwd_1w_mean, stddev_pop(ret_fwd_1w) AS ret_fwd_1w_sd, avg(ret_fwd_13w) AS ret_fwd_13w_mean, stddev_pop(ret_fwd_13w) AS ret_fwd_13w_sd FROM panel WHERE tradable)"),
     "upsert_by_key": (["o_orderkey", "o_custkey", "*o_totalprice"], "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders)"),
     "resume_anti_join": (["k"], "(SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))"),
@@ -415,8 +441,9 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (cols, src) in FINALS.items():
         exact = {f"*{c}" for c in EXACT.get(name, ())}
-        picked = ", ".join(f"round({c[1:]}, {DIGITS.get(c[1:], 8)}) + 0.0::DOUBLE AS {c[1:]}" if c[0] == "*" and c not in exact else c.lstrip("*") for c in cols)
+        quoted = {"end": '"end"'}
+        picked = ", ".join(f"round({c[1:]}, {DIGITS.get(c[1:], 8)}) + 0.0::DOUBLE AS {c[1:]}" if c[0] == "*" and c not in exact else quoted.get(c, c.lstrip("*")) for c in cols)
         final = f"SELECT {picked} FROM {src}"
         parts = _ordered(_needed(final))
-        out[name] = ("WITH " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in parts) + "\n" if parts else "") + final
+        out[name] = ("WITH " + ",\n".join(f"{p} AS MATERIALIZED ({PARTS[p]})" for p in parts) + "\n" if parts else "") + final
     return out

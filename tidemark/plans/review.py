@@ -17,10 +17,13 @@ from tidemark.operators import gate as G
 from tidemark.operators import monitoring as M
 from tidemark.operators import overfit as O
 from tidemark.operators import panel as P
+from tidemark.operators import training as T
 from tidemark.sources import fixtures, warehouse
 
 VARIANT_TRIALS = tuple(f"gbm_w_{lb}_{m}" for lb in (63, 126, 252) for m in ("expected", "prob_up"))
 TRIALS = ("momentum", "gbm_expected", *VARIANT_TRIALS, "never_run")
+#: Of the training queries: weeks of a weekly window, sessions of a daily one, sessions to the target, first day after training.
+TRAINING = (13, 252, 65, "1999-12-31")
 
 
 class Review:
@@ -118,26 +121,39 @@ class Review:
     def gate(self) -> DataFrame:
         return self._keep(G.decide(self.wide, self.cfg.rules))
 
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """Weekly features, scaled over all weeks and clipped."""
+        features = T.weekly_features(self.prices, self.cfg)
+        return T.scaled(features, T.scaler(features))
+
     @cached_property
     def challenger(self) -> DataFrame:
         return G.challenger_returns(self.panel, self.momentum, self.gate, self.cfg)
 
 
-_REVIEWS: dict[tuple, Review] = {}
+_REVIEWS: dict[tuple, tuple[tuple, Review]] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what the folder holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
 
 
 def review(spark: SparkSession, sf_dir: str) -> Review:
-    """The review of a data folder, kept for the life of the session's application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _REVIEWS:
-        _REVIEWS[key] = Review(spark, sf_dir)
-    return _REVIEWS[key]
+    """The review of a data folder. The tables it has written serve later queries of the application, until the folder changes."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    if _REVIEWS.get(key, (None,))[0] != state:
+        _REVIEWS[key] = (state, Review(spark, sf_dir))
+    return _REVIEWS[key][1]
 
 
 #: Prices come out bit for bit alike in any engine, as their sums are decimal; they are not rounded.
 EXACT = {
     "panel": ("close", "adj_close"), "panel_sparse": ("close", "adj_close"), "price_matrix_long": ("value",), "stride_sample": ("value",), "dense_reindex": ("value",),
-    "universe_clean": ("market_cap",), "upsert_by_key": ("o_totalprice",),
+    "weekly_bars": ("open", "high", "low", "close", "volume"), "universe_clean": ("market_cap",), "upsert_by_key": ("o_totalprice",),
 }
 #: Digits where 8 are more than a double of that size holds.
 DIGITS = {"adv20_usd": 2}
@@ -244,6 +260,13 @@ QUERIES: dict[str, Q] = {
         K.window_features(r.sparse, P.sessions(r.sparse, r.cfg), r.cfg).withColumn("ok", F.forall("f", lambda x: x.isNotNull())), "ok", 3
     ).groupBy("ticker").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("whole"), F.lit(False)).cast("int")).alias("whole")),
     "window_model": lambda r: K.window_scores(K.feature_windows(K.window_features(r.prices, r.sess, r.cfg), r.dates, 252), "stub"),
+    "weekly_bars": lambda r: T.weekly_bars(r.prices, r.cfg),
+    "weekly_features": lambda r: r.weekly.filter("f[0] is not null").select(F.col("date").alias("week"), "ticker", *(F.col("f")[k].alias(f"z_{c}") for k, c in enumerate(K.OHLCV))),
+    "weekly_model": lambda r: K.window_scores(T.tradable_windows(r.weekly, r.panel, TRAINING[0], weekly=True), "weekly_stub", lambda w: w[:, :, 1].mean(axis=1)),
+    "training_set": lambda r: T.training_set(r.prices, r.cfg, TRAINING[3], TRAINING[1], TRAINING[2], TRAINING[2]).select(
+        "ticker", "end", "target_end", "part", "y",
+        _window_mean(1).alias("mean_high"), _window_mean(4).alias("mean_volume"),
+    ),
     "feature_scaler": lambda r: K.scaler(r.panel.filter("tradable"), ["ret_fwd_1w", "ret_fwd_13w"]),
     # table operations
     "upsert_by_key": lambda r: warehouse.upsert(
@@ -268,6 +291,11 @@ QUERIES: dict[str, Q] = {
 }
 
 
+def _window_mean(k: int):
+    """The mean of one feature over a window."""
+    return F.aggregate("window", F.lit(0.0), lambda acc, x: acc + x[k]) / F.size("window")
+
+
 def _event_scores(r: Review) -> DataFrame:
     """Events as scores of one model, with week numbers counted on the distinct weeks."""
     from pyspark.sql import Window

@@ -63,3 +63,50 @@ def batches(items: Sequence, size: int = 100) -> list[tuple]:
 def pages(wanted: int, size: int = 250, excess: float = 0.15) -> list[int]:
     """Page offsets that cover `wanted` rows and some more, as cleaning drops a few."""
     return list(range(0, int(wanted * (1 + excess)) + size - 1, size))
+
+
+# The fields that a screener and a price download name, in the order of the columns here.
+SCREENER_FIELDS = ("symbol", "shortName", "exchange", "marketCap", "quoteType", "sector", "industry")
+SCREENER_SCHEMA = "ticker string, name string, exchange string, market_cap double, quote_type string, sector string, industry string"
+QUOTE_FIELDS = ("Open", "High", "Low", "Close", "Adj Close", "Volume")
+QUOTE_SCHEMA = "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double"
+
+
+def _number(x) -> float | None:
+    return None if x is None or x != x else float(x)
+
+
+def read_screener(spark: SparkSession, fetch: Callable, wanted: int, size: int = 250, **retry) -> DataFrame:
+    """A listing from the pages of a screener: fetch(offset) gives records, whose missing fields are null.
+
+    Some 15 % more than wanted are asked for, as cleaning drops share classes and other instruments.
+    """
+
+    def rows(offset: int) -> Iterable[tuple]:
+        for r in fetch(offset) or ():
+            yield tuple(_number(r.get(c)) if c == "marketCap" else r.get(c) for c in SCREENER_FIELDS)
+
+    return read_parts(spark, rows, pages(wanted, size), SCREENER_SCHEMA, **retry)
+
+
+def long_quotes(wide: Iterable[tuple], tickers: Sequence[str]) -> Iterable[tuple]:
+    """One row a day and ticker from wide rows (time, {(field, ticker): value}); those without a close are left out."""
+    for time_, cells in wide:
+        day = time_.date() if hasattr(time_, "date") else time_
+        for t in tickers:
+            values = [_number(cells.get((f, t))) for f in QUOTE_FIELDS]
+            if values[3] is not None:
+                yield (day, t, *values)
+
+
+def read_quotes(spark: SparkSession, fetch: Callable, tickers: Sequence[str], size: int = 100, **retry) -> DataFrame:
+    """Daily bars of many tickers in batches: fetch(batch) gives wide rows as long_quotes() takes them, or a lone
+    ticker's cells by field alone."""
+
+    def rows(batch: tuple) -> Iterable[tuple]:
+        found = fetch(batch) or ()
+        if len(batch) == 1:
+            found = ((d, {k if isinstance(k, tuple) else (k, batch[0]): v for k, v in cells.items()}) for d, cells in found)
+        yield from long_quotes(found, batch)
+
+    return read_parts(spark, rows, batches(tickers, size), QUOTE_SCHEMA, **retry)
