@@ -12,7 +12,7 @@ from tidemark.llm import exact, mixing, packing, simhash, toxicity
 from tidemark.llm.common import materialize, read
 
 #: Chunks of text that a worker remembers in packing: workers hold memory of other stages too.
-CHUNKS = 150_000
+CHUNKS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

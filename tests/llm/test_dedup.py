@@ -241,6 +241,8 @@ def test_sketches_never_overstate():
         a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
         x, y = simhash.sketch(a), simhash.sketch(b)
         assert simhash.differ(x, y) == simhash.differ(y, x) <= len(np.setxor1d(a, b))
+        p, q = (simhash.short(simhash.sketch(s, 64 * simhash.SHORT)) for s in (a, b))
+        assert len(p) == simhash.SHORT and np.bitwise_count((p ^ q).view("<u8")).sum() <= len(np.setxor1d(a, b))
 
 
 def test_near_copies_under_shared_boilerplate(spark):
@@ -260,6 +262,28 @@ def test_near_copies_under_shared_boilerplate(spark):
     assert kept == list(range(0, 120, 2))
 
 
+def test_dense_groups_and_hubs(spark, monkeypatch):
+    """Many edited copies of one text, few of them alike to any one: buckets are large, and each text's pairs are dealt out."""
+    monkeypatch.setattr(simhash, "ASKED", 5)
+    monkeypatch.setattr(simhash, "HEADS", 3)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for k in range(150):
+        c = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            c[at] = f"e{k}x{at}"
+        texts.append(" ".join(c))
+    rows = list(enumerate(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = {(i, j) for i in range(150) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(r.u, r.v) for r in simhash.similar_links(docs_of(spark, rows)).collect()}
+    assert got <= alike and 100 < len(alike)
+    same = [plain_components(range(150), lambda a, b, x=x: (max(a, b), min(a, b)) in x) for x in (got, alike)]
+    assert same[0] == same[1] and len(set(same[0].values())) > 3
+
+
 def test_each_text_of_an_id_is_compared(spark):
     rng = random.Random(9)
     words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]

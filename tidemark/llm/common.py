@@ -92,11 +92,11 @@ def word_count(text):
 
 
 #: Bytes of text that a Python worker turns into strings at once, or one text if it is longer.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 #: Rows and bytes of an Arrow batch between the JVM and Python, which both hold it whole.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:
@@ -119,6 +119,7 @@ def pieces(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
             end += 1
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker serves many stages; what it keeps adds up
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], types: dict[str, pa.DataType], schema: str) -> DataFrame:

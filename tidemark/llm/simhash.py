@@ -17,7 +17,8 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,11 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "
 #: Slots of the table that estimates how common a shingle is, and slots of a row of it. They decide costs only.
 SLOTS = 1 << 18
 SLOT_ROW = 1 << 12
+#: Longs of the short sketch that hot buckets are sifted by, and texts of a hot bucket that all others are compared with.
+SHORT = 16
+HEADS = 24
+#: Comparisons a row of all buckets beyond which hot buckets are thinned by HEADS first; this decides costs only.
+DENSE = 16
 #: Pairs that fetch one text or sketch from one place; a text that more pairs ask for is copied.
 ASKED = 4096
 
@@ -207,9 +213,9 @@ def rare_first(own: np.ndarray, seen: np.ndarray, similarity: float) -> tuple[np
     return own[order[:probe]], index
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """The parity of how many of the distinct shingles fall into each bit, at two to four bits a shingle."""
-    width = 1 << max(6, (2 * len(own) - 1).bit_length())
+def sketch(own: np.ndarray, least: int = 64) -> bytes:
+    """The parity of how many of the distinct shingles fall into each bit, at two to four bits a shingle, or `least` bits."""
+    width = max(least, 1 << (2 * len(own) - 1).bit_length() if len(own) else 0)
     ones = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(ones, bitorder="little").tobytes()
 
@@ -220,27 +226,33 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+def short(bits: bytes) -> np.ndarray:
+    """A sketch of at least as many bits, folded to SHORT longs: it still differs in no more bits than the sets in elements."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, 8 * SHORT), axis=0).view("<i8")
+
+
 def _signed(rows: DataFrame, words: int, seen: np.ndarray, similarity: float) -> DataFrame:
-    """(id, doc_id, sha, fp, size, index, toks, bits) of rows (id, doc_id, sha, text): what the links are found by."""
+    """(id, doc_id, sha, fp, size, index, toks, bits, short) of rows (id, doc_id, sha, text): what the links are found by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 all_ = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
                 sets = [np.unique(x) for x in all_]
-                found = [rare_first(x, seen, similarity) for x in sets]
+                found, bits = [rare_first(x, seen, similarity) for x in sets], [sketch(x, 64 * SHORT) for x in sets]
                 own = {
                     "fp": pa.array(np.array([simhash(x) for x in all_], np.uint64).view(np.int64)),
                     "size": pa.array([len(x) for x in sets], pa.int32()),
                     "index": pa.array([n for _, n in found], pa.int32()),
                     "toks": pa.array([x.view(np.int64) for x, _ in found], pa.list_(pa.int64())),
-                    "bits": pa.array([sketch(x) for x in sets], pa.binary()),
+                    "bits": pa.array(bits, pa.binary()),
+                    "short": pa.array([short(x) for x in bits], pa.list_(pa.int64())),
                 }
                 kept = ["id", "doc_id", "sha"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.values()], names=[*kept, *own])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return bounded(rows).mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary")
+    return bounded(rows).mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary, short array<long>")
 
 
 def _with(pairs: DataFrame, facts: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
@@ -308,8 +320,9 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     buckets (in a group of edited copies the original, which shares most) and the one with the smallest id. That
     joins groups of copies without their pairs. Then all pairs of a bucket that these links have not joined are
     candidates, if their lengths allow the similarity, so no pair depends on the two. Buckets of up to `most`
-    texts with the same members, as near copies have many, count once; larger ones also need room behind the
-    shared shingle in both texts. Every link is verified on whole texts.
+    texts with the same members, as near copies have many, count once. Where larger ones would make most of the work,
+    all texts are first compared with HEADS of a bucket, which joins dense groups of copies; what is left there needs room behind the shared shingle in both
+    texts and short sketches that allow the similarity. Every link is verified on whole texts.
     """
     own = signed.dropDuplicates(["id"])
     tables = own.select("id", "size", "index", F.posexplode("toks").alias("at", "tok")).select("tok", "id", "size", "at", (F.col("at") < F.col("index")).alias("lead"))
@@ -331,11 +344,38 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & room(F.col("x"), F.col("y")))
     pairs = materialize(pairs.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct(), "pairs")
     first = materialize(_verified(pairs, signed, rows, words, similarity), "links")
-    joined = components(first).withColumnRenamed("node", "id")
-    placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("tok", "n")
-    placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0, how="inner")
-    placed = materialize(placed.withColumn("n", F.col("bucket.n")).drop("bucket"), "open")
+
+    def unjoined(found: DataFrame) -> DataFrame:
+        """met in the buckets that hold several components of the links found, with the component and the bucket's size."""
+        joined = components(found).withColumnRenamed("node", "id")
+        placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("tok", "n")
+        placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0, how="inner")
+        return materialize(placed.withColumn("n", F.col("bucket.n")).drop("bucket"), "open")
+
+    share = (1 - similarity) / (1 + similarity)
+    bits = lambda x, y: reduce(add, (F.bit_count(x["short"][k].bitwiseXOR(y["short"][k])) for k in range(SHORT)))
+    sifted = lambda x, y: (x["component"] != y["component"]) & room(x, y) & (bits(x, y) <= share * (x["size"] + y["size"]) + 1e-6)
+    facts = ("id", "size", "at", "lead", "component", "short")
+
+    def crowded(placed: DataFrame) -> DataFrame:
+        return placed.filter(F.col("n") > most).join(own.select("id", "short"), "id")
+
+    placed = unjoined(first)
+    work = placed.filter((F.col("n") > most) & F.col("lead")).agg(F.sum("n")).first()[0] or 0
+    if work > DENSE * total:
+        # In a large bucket's dense groups most texts are alike to some of a few texts taken by hash: no pairs are needed for these.
+        crowd = materialize(crowded(placed), "crowd")
+        ways = F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("way")
+        heads = crowd.groupBy("tok", ways).agg(F.min(F.struct(*facts)).alias("y"), F.count("*").alias("n"))  # one of each HEADS-th part
+        heads = materialize(heads.groupBy("tok").agg(F.collect_list("y").alias("heads"), F.sum("n").alias("n")), "heads")
+        led = look_up(crowd.drop("n"), heads, ["tok"], "led", total or 0, how="inner").withColumn("x", F.struct(*facts))
+        near = led.select("x", F.explode(F.filter("led.heads", lambda y: sifted(F.col("x"), y))).alias("y"))
+        tried = near.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
+        tried = materialize(tried.join(pairs, ["u", "v"], "left_anti"), "tried")
+        first = materialize(first.unionByName(_verified(tried, signed, rows, words, similarity)), "links")
+        pairs = pairs.unionByName(tried)
+        placed = unjoined(first)
 
     def apart(x, y):
         shorter = F.struct(x["size"], x["id"]) < F.struct(y["size"], y["id"])
@@ -346,8 +386,8 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     alike = placed.filter(F.col("n") <= most).groupBy("tok").agg(F.array_sort(F.collect_list(member)).alias("ms"))  # `most` rows at most
     alike = materialize(alike.select("ms").distinct(), "members")
     few = alike.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda y: apart(F.col("x"), y))).alias("y"))
-    x, y = (placed.filter(F.col("n") > most).select("tok", F.struct("id", "size", "at", "lead", "component").alias(side)) for side in "xy")
-    many = x.filter("x.lead").join(y, "tok").filter(apart(F.col("x"), F.col("y")) & room(F.col("x"), F.col("y")))
+    x, y = (crowded(placed).select("tok", F.struct(*facts).alias(side)) for side in "xy")
+    many = x.filter("x.lead").join(y, "tok").filter(apart(F.col("x"), F.col("y")) & sifted(F.col("x"), F.col("y")))
     more = few.select(*named(F.col("x"), F.col("y"))).unionByName(many.select(*named(F.col("x"), F.col("y"))))
     more = materialize(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
     return first.unionByName(_verified(more, signed, rows, words, similarity))
