@@ -327,8 +327,8 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
     own = signed.dropDuplicates(["id"])
     tables = own.select("id", "size", "index", F.posexplode("toks").alias("at", "tok")).select("tok", "id", "size", "at", (F.col("at") < F.col("index")).alias("lead"))
     shared = materialize(tables.groupBy("tok").agg(F.count("*").alias("n"), F.bool_or("lead").alias("led")).filter("led and n > 1").drop("led"), "shared")
-    total = shared.agg(F.sum("n")).first()[0]
-    met = look_up(tables, shared, ["tok"], "bucket", total or 0, how="inner")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    met = look_up(tables, shared, ["tok"], "bucket", total, how="inner")
     met = materialize(met.select("tok", "id", "size", "at", "lead", F.col("bucket.n").alias("n")), "met")
 
     def room(a, b):  # enough of both texts from this shingle on, which rules out unlike lengths too
@@ -340,7 +340,7 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
         F.max(F.struct("company", "id", "size", "at")).alias("x"), F.min(F.struct("id", "size", "at")).alias("y"), F.count("*").alias("n")
     )
     heads = F.array(*(F.struct(h["id"].alias("id"), h["size"].alias("size"), h["at"].alias("at")) for h in (F.col("led.x"), F.col("led.y"))))
-    pairs = look_up(met.drop("n"), materialize(leaders, "leaders"), ["tok"], "led", total or 0).select(F.struct("id", "size", "at").alias("x"), F.explode(heads).alias("y"))
+    pairs = look_up(met.drop("n"), materialize(leaders, "leaders"), ["tok"], "led", total).select(F.struct("id", "size", "at").alias("x"), F.explode(heads).alias("y"))
     pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & room(F.col("x"), F.col("y")))
     pairs = materialize(pairs.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct(), "pairs")
     first = materialize(_verified(pairs, signed, rows, words, similarity), "links")
@@ -350,7 +350,7 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
         joined = components(found).withColumnRenamed("node", "id")
         placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = placed.groupBy("tok").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a < b").select("tok", "n")
-        placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total or 0, how="inner")
+        placed = look_up(placed.drop("n"), materialize(open_, "unjoined"), ["tok"], "bucket", total, how="inner")
         return materialize(placed.withColumn("n", F.col("bucket.n")).drop("bucket"), "open")
 
     share = (1 - similarity) / (1 + similarity)
@@ -369,7 +369,7 @@ def _similar(signed: DataFrame, rows: DataFrame, words: int, similarity: float,
         ways = F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("way")
         heads = crowd.groupBy("tok", ways).agg(F.min(F.struct(*facts)).alias("y"), F.count("*").alias("n"))  # one of each HEADS-th part
         heads = materialize(heads.groupBy("tok").agg(F.collect_list("y").alias("heads"), F.sum("n").alias("n")), "heads")
-        led = look_up(crowd.drop("n"), heads, ["tok"], "led", total or 0, how="inner").withColumn("x", F.struct(*facts))
+        led = look_up(crowd.drop("n"), heads, ["tok"], "led", total, how="inner").withColumn("x", F.struct(*facts))
         near = led.select("x", F.explode(F.filter("led.heads", lambda y: sifted(F.col("x"), y))).alias("y"))
         tried = near.select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
         tried = materialize(tried.join(pairs, ["u", "v"], "left_anti"), "tried")
