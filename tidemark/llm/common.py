@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 from operator import and_
 
 import pyarrow as pa
@@ -122,6 +123,29 @@ def pieces(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()  # a worker serves many stages; what it keeps adds up
 
 
+#: Cached functions whose memory a worker keeps from task to task, by the operator that has it.
+MEMORIES: dict[str, Callable] = {}
+
+
+@cache
+def _trim() -> Callable:
+    """glibc's call that gives freed memory back to the system; elsewhere a function that does nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def begin(own: str = "") -> None:
+    """At the start of a task: what operators other than `own` keep in this worker goes."""
+    for name, kept in MEMORIES.items():
+        if name != own:
+            kept.cache_clear()
+
+
+def end() -> None:
+    """At the end of a task: memory that this worker no longer uses goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], types: dict[str, pa.DataType], schema: str) -> DataFrame:
     """doc_id and what a function of a batch of texts returns: one row per row of docs.
 
@@ -131,12 +155,15 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         of = make()
         for whole in batches:
             for batch in pieces(whole):
                 out = of(batch.column("text").to_pylist())
                 arrays = [pa.array(out[name], kind) for name, kind in types.items()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *types])
+        del of
+        end()
 
     rows = bounded(docs).select(docs["doc_id"], text_of(docs).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, pieces, text_of
+from tidemark.llm.common import MEMORIES, begin, bounded, end, pieces, text_of
 
 LENGTH = 4096
 END_ID = 2
@@ -41,7 +41,7 @@ def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
     punctuation after a word set apart first, as the tokenizer would; new words are then encoded many at a
     time and the marks tell their ids apart. Any other new chunk is encoded alone. Tests compare with whole
     texts. Special tokens inside texts count as the tokenizer counts them.
-    A worker keeps the function and its memory from task to task.
+    A worker keeps the function and its memory from task to task, until a task of another operator begins.
     """
     from tokenizers import Tokenizer
 
@@ -121,6 +121,9 @@ def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
     return encode, kind
 
 
+MEMORIES["packing"] = chunk_encoder
+
+
 class Tournament:
     """Bins in order of opening; finds the first with enough room in logarithmic time."""
 
@@ -211,6 +214,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         encode, kind = chunk_encoder(tokenizer, end_id, remember)
         width = np.dtype(kind).itemsize
         seen: Counter = Counter()  # of this task's rows
@@ -223,6 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                     seen[mark] += 1
                 cols = {"ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // width for x in ids], pa.int64()), "crc": pa.array(crcs, pa.int64()), "nth": pa.array(nth, pa.int64())}
                 yield pa.RecordBatch.from_arrays([own, *cols.values()], names=["doc_id", *cols])
+        end()
 
     coded = bounded(docs).select(docs["doc_id"], text_of(docs).alias("text")).mapInArrow(coding, f"doc_id {kind}, ids binary, n long, crc long, nth long")
     # Equal rows are interchangeable, so a task that runs again in another order deals the same rows to the same groups.

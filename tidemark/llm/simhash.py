@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, fresh, look_up, map_texts, materialize, pieces, text_of
+from tidemark.llm.common import begin, bounded, end, fresh, look_up, map_texts, materialize, pieces, text_of
 from tidemark.llm.components import components
 
 BITS = 64
@@ -166,6 +166,8 @@ HEADS = 24
 DENSE = 16
 #: Pairs that fetch one text or sketch from one place; a text that more pairs ask for is copied.
 ASKED = 4096
+#: Characters from which a text's shingles are remembered only for the next few pairs.
+LONG = 1 << 16
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -176,6 +178,7 @@ def common(texts: DataFrame, words: int) -> np.ndarray:
     """Texts with a shingle that falls into each slot: common shingles have high counts, rare ones the average."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         seen = np.zeros(SLOTS, np.int64)
         for whole in batches:
             for batch in pieces(whole):
@@ -183,6 +186,7 @@ def common(texts: DataFrame, words: int) -> np.ndarray:
                     np.add.at(seen, slots(np.unique(shingle_hashes(t, words))), 1)
         rows = [r.tobytes() for r in seen.astype("<u4").reshape(-1, SLOT_ROW)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["part", "seen"])
+        end()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SLOT_ROW, np.int64)
@@ -235,6 +239,7 @@ def _signed(rows: DataFrame, words: int, seen: np.ndarray, similarity: float) ->
     """(id, doc_id, sha, fp, size, index, toks, bits, short) of rows (id, doc_id, sha, text): what the links are found by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for whole in batches:
             for batch in pieces(whole):
                 all_ = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
@@ -250,6 +255,7 @@ def _signed(rows: DataFrame, words: int, seen: np.ndarray, similarity: float) ->
                 }
                 kept = ["id", "doc_id", "sha"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *own.values()], names=[*kept, *own])
+        end()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return bounded(rows).mapInArrow(run, f"id long, doc_id {kind}, sha string, fp long, size int, index int, toks array<long>, bits binary, short array<long>")
@@ -296,7 +302,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int,
     both = _with(left, texts, {"text": ("tu", "tv")})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
+        begin()
+        few, more = (lru_cache(n)(lambda t: np.unique(shingle_hashes(t, words))) for n in (2, 64))
+        of = lambda t: (few if len(t) >= LONG else more)(t)
         for whole in batches:
             for batch in pieces(whole, "tu", "tv"):
                 fits = []
@@ -305,6 +313,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int,
                     shared = len(np.intersect1d(p, q, assume_unique=True))
                     fits.append(shared > 0 and shared >= similarity * (len(p) + len(q) - shared))
                 yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+        few.cache_clear()
+        more.cache_clear()
+        end()
 
     return both.select("u", "v", "tu", "tv").mapInArrow(verify, "u long, v long")
 

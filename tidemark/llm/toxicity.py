@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, map_texts, pieces, text_of
+from tidemark.llm.common import begin, bounded, map_texts, pieces, text_of
 from tidemark.llm.quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -218,6 +218,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Da
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         if not known:
+            begin()
             known.append(weighed(model.value))
         out: list[bool] = []
         for batch in pieces(pa.RecordBatch.from_arrays([texts], names=["text"])):
