@@ -673,3 +673,15 @@ def test_shared_folder_is_the_sessions(spark):
     from tidemark.llm.common import shared_dir
 
     assert os.path.basename(shared_dir(spark))
+
+
+def test_worker_drops_other_memories():
+    """A worker's memory of chunks outlives tasks of packing only."""
+    from tidemark.llm import common
+
+    packing.chunk_encoder(tokenizer_path(), 2)
+    common.begin("packing")
+    common.end()
+    assert packing.chunk_encoder.cache_info().currsize
+    common.begin()
+    assert not packing.chunk_encoder.cache_info().currsize
