@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import ReviewConfig
+from tidemark.operators import weekly
+
 
 def observed_prices(lineitem: DataFrame, market: str = "SPY", span: int = 20) -> DataFrame:
     """Bars on days with shipments: price is a 20-observation volume-weighted mean, the adjustment the mean discount.
@@ -65,6 +73,103 @@ def dense_prices(lineitem: DataFrame, market: str = "SPY") -> DataFrame:
     return _bars(filled.filter("close is not null"))
 
 
+def _cents(x: np.ndarray) -> np.ndarray:
+    """x as a decimal of two digits, times 100, halves rounded away from zero as written."""
+    x = np.nan_to_num(x)
+    y = x * 100.0
+    out = np.rint(y).astype("int64")
+    for i in np.flatnonzero(np.abs(np.abs(y - out) - 0.5) < 0.01):
+        out[i] = int(Decimal(repr(float(x[i]))).quantize(Decimal("0.01"), ROUND_HALF_UP) * 100)
+    return out
+
+
+def _shipped(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
+        F.col("l_suppkey").cast("long").alias("key"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day"),
+        F.col("l_extendedprice").alias("ext"), F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"),
+    ).filter("day is not null")
+
+
+def _summed(key: np.ndarray, day: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Integer sums of values by key and day, in that order."""
+    order = np.lexsort((day, key))
+    key, day = key[order], day[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (day[1:] != day[:-1]))) if len(key) else np.zeros(0, "int64")
+    return key[first], day[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
+
+
+def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    key, day, *doubles = (batch.column(c).to_numpy() if isinstance(batch, pa.Table) else batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "day", "ext", "qty", "disc"))
+    return key, day.astype("int64"), [*map(_cents, doubles), np.ones(len(day), "int64")]
+
+
+def market_days(lineitem: DataFrame) -> np.ndarray:
+    """A row for each session: day, sums of price, quantity and discount in hundredths, shipments. A few thousand rows."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, day, values = _columns(b)
+            _, day, values = _summed(np.zeros(len(day), "int64"), day, values)
+            yield pa.RecordBatch.from_arrays([pa.array(day), *map(pa.array, values)], ["day", "ext", "qty", "disc", "n"])
+
+    sums = _shipped(lineitem).select(F.lit(0).alias("key"), "day", "ext", "qty", "disc").mapInArrow(part, "day long, ext long, qty long, disc long, n long")
+    rows = sums.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("ext", "qty", "disc", "n"))).orderBy("day").collect()
+    return np.array([tuple(r) for r in rows], dtype="int64").reshape(-1, 5)
+
+
+def _series(key: np.ndarray, day: np.ndarray, sums: list[np.ndarray], days: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of dense_prices: keys, and close, adj_close and volume by session; key and day are sorted."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, "int64")
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+    low = np.maximum(np.arange(len(key)) - span, starts[group] - 1) + 1
+    grown = [np.concatenate([[0], np.cumsum(s)]) for s in sums]
+    ext, qty, disc, n = ((g[1:] - g[low]).astype(float) for g in grown)
+    with np.errstate(all="ignore"):
+        close = (ext / 100.0) / (qty / 100.0)
+        adj = close * (1.0 - (disc / 100.0) / n)
+    at = np.searchsorted(days, day)
+    for lo in range(0, len(starts), weekly.BLOCK):
+        a, b = starts[lo], starts[lo + weekly.BLOCK] if lo + weekly.BLOCK < len(starts) else len(key)
+        k = group[a:b] - lo
+        last = np.full((k[-1] + 1, len(days)), -1)
+        last[k, at[a:b]] = np.arange(a, b)
+        shipped = last >= 0
+        last = np.maximum.accumulate(last, axis=1)
+        seen = last >= 0
+        yield key[starts[lo : lo + weekly.BLOCK]], np.where(seen, close[last], np.nan), np.where(seen, adj[last], np.nan), np.where(shipped, sums[1][last] / 100.0, np.where(seen, 0.0, np.nan))
+
+
+def weekly_facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...], market: np.ndarray, span: int = 20) -> DataFrame:
+    """weekly.facts of dense_prices, a row a ticker. Shipments are dealt out by supplier once; nothing else is shuffled.
+
+    market: market_days of lineitem.
+    """
+    days, name = market[:, 0], cfg.benchmark
+    weeks = weekly.Weeks.of(days, cfg)
+    known = len(weeks.days)
+
+    def found(key, day, sums, named) -> Iterator[pa.RecordBatch]:
+        for keys, close, adj, volume in _series(key, day, sums, days, span):
+            yield weekly.as_rows([*map(named, keys)], weekly.facts(close[:, :known], adj[:, :known], volume[:, :known], weeks, cfg, want), weeks)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_columns(b) for b in batches if b.num_rows]
+        if held:
+            key, day = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            values = [np.concatenate([h[2][i] for h in held]) for i in range(4)]
+            held.clear()
+            yield from found(*_summed(key, day, values), lambda k: f"S{k}")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        if len(market):
+            yield from found(np.zeros(len(days), "int64"), days, [market[:, i] for i in range(1, 5)], lambda _: name)
+
+    own = _shipped(lineitem).filter("key is not null").repartition("key").mapInArrow(part, weekly.schema(want))
+    return own.unionByName(lineitem.sparkSession.range(0, 1, 1, 1).mapInArrow(whole, weekly.schema(want)))
+
+
 def listing(part: DataFrame) -> DataFrame:
     """A screener snapshot: one row for each part."""
     return part.select(
