@@ -62,7 +62,7 @@ def test_digests_are_md5(spark):
 
 
 #: Queries that must not store daily prices or the long weekly panel.
-LEAN = ("gbm_path", "permutation_null", "latest_monitoring",)
+LEAN = ("gbm_path", "permutation_null", "latest_monitoring", "melt_metrics",)
 
 
 @pytest.mark.parametrize("name", LEAN)
