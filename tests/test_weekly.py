@@ -48,6 +48,43 @@ def test_cents_round_halves_as_decimals_do():
     assert fixtures._cents(x).tolist() == [5, 101, 268, 13, 1234567, 0]
 
 
+def _ranks(spark, rows, spans):
+    """window_ranks and auc_and_ks of the same windows: (span, auc, ks)."""
+    from tidemark.operators import monitoring as M
+
+    df = spark.createDataFrame(rows, "model string, week int, score double, r1 double, y1 int, r13 double, y13 int")
+    got = {r["span"]: (r["auc"], r["ks"]) for r in M.window_ranks(df, spans, M.weekly_sums(df).toPandas()).collect()}
+    want = {}
+    for s, model, kind, lo, hi in spans:
+        win = df.filter((F.col("model") == model) & F.col("week").between(lo, hi) & F.col(f"r{kind}").isNotNull())
+        for r in M.auc_and_ks(win.select("model", "score", F.col(f"r{kind}").alias("r"), F.col(f"y{kind}").alias("y")), "model").collect():
+            if r["auc"] is not None:
+                want[s] = (r["auc"], r["ks"])
+    return got, want
+
+
+def test_window_ranks_are_those_of_each_window_alone(spark):
+    rng, rows = np.random.default_rng(1), []
+    for week in range(1, 13):
+        for i in range(40):
+            score = float(rng.integers(0, 30)) / 7.0 if i % 2 else float(rng.normal())  # ties within and between weeks
+            r13 = None if i % 5 == 0 else float(rng.normal())
+            rows.append(("a" if i % 3 else "b", week, score, float(rng.normal()), int(rng.integers(0, 2)), r13, int(rng.integers(0, 2))))
+    rows += [("b", 13, 0.5, 0.1, 1, None, None), ("b", 13, 0.7, 0.1, 1, None, None)]  # one class only
+    spans = [(i, m, k, lo, lo + 4) for i, (m, k, lo) in enumerate((m, k, lo) for m in "ab" for k in ("1", "13") for lo in range(1, 9))]
+    spans.append((len(spans), "b", "1", 13, 13))
+    got, want = _ranks(spark, rows, spans)
+    assert set(got) == set(want) == set(range(len(spans) - 1))
+    for s, pair in want.items():
+        assert got[s] == pytest.approx(pair, rel=1e-12)
+
+
+def test_window_ranks_of_one_common_score(spark):
+    rows = [("a", w, 1.0, 0.1, i % 2, 0.1, i % 2) for w in (1, 2) for i in range(20)] + [("a", 1, 2.0, 0.1, 1, 0.1, 1), ("a", 2, 0.0, 0.1, 0, 0.1, 0)]
+    got, want = _ranks(spark, rows, [(0, "a", "1", 1, 2), (1, "a", "13", 2, 2)])
+    assert set(got) == {0, 1} and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in got)
+
+
 def test_digests_are_md5(spark):
     import hashlib
 
@@ -62,7 +99,7 @@ def test_digests_are_md5(spark):
 
 
 #: Queries that must not store daily prices or the long weekly panel.
-LEAN = ("gbm_path", "permutation_null", "latest_monitoring", "melt_metrics",)
+LEAN = ("gbm_path", "permutation_null", "latest_monitoring", "melt_metrics", "metrics_wide",)
 
 
 @pytest.mark.parametrize("name", LEAN)
