@@ -116,3 +116,58 @@ def test_daily_rows_are_not_stored(name, spark, sf_dir, lean):
 @pytest.fixture(scope="module")
 def lean(spark, sf_dir):
     return Review(spark, sf_dir)
+
+
+def test_grid_has_what_the_long_operators_find(review):
+    from tidemark.operators import backtest as B
+    from tidemark.operators import monitoring as M
+    from tidemark.operators import panel as P
+
+    grid, cfg = review.reviewed, review.cfg
+    cols = ("strategy", "date", "ticker", "w", "ret_fwd_1w_lag1")
+    by_name = lambda df: [((*r[1:3],), *r[3:]) for r in map(tuple, df.select(*cols).collect())]
+    got, want = (dict((r[0], r[1:]) for r in by_name(df)) for df in (grid.held(), B.top_n_weights(B.scored_panel(review.panel, review.momentum, cfg), cfg.top_n)))
+    assert got.keys() == want.keys() and all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-11) for k in got for a, b in zip(got[k], want[k], strict=True))
+    cols = ("strategy", "date", "ret_gross", "ret_net", "turnover", "n_held")
+    _near(grid.equal_weight().unionByName(grid.benchmark()).select(*cols).collect(), review.bench.select(*cols).collect())
+    key = F.concat_ws("|", "model", "metric").alias("key")
+    metrics = (grid.rolling_metrics(P.calendar(review.prices, cfg)), M.rolling_metrics(review.scored, review.prices, review.vol, cfg))
+    _near(*(df.select(key, "date", "value").collect() for df in metrics))
+
+
+def test_weights_refuse_a_name_without_a_return(review, spark):
+    from dataclasses import replace
+
+    from tidemark.operators import grid as Gr
+
+    g = review.reviewed
+    weeks = weekly.Weeks.of(review.market[:, 0], FIXTURE)
+    w = len(weeks.at)
+    bare = {"tradable": np.ones((1, w), bool)} | {k: np.full((1, w), np.nan) for k in ("ret_fwd_1w_lag1", "ret_fwd_13w", "momentum", "vol252")}
+    one = Gr.as_grid(["S1"], bare, weeks)
+    table = spark.createDataFrame([tuple(one.column(i)[0].as_py() for i in range(one.num_columns))], Gr.SCHEMA)
+    with pytest.raises(ValueError, match="missing return"):
+        Gr.Grid(table, weeks, g.market, replace(FIXTURE), "momentum").equal_weight()
+
+
+def test_packing_keeps_every_number():
+    rng = np.random.default_rng(0)
+    for x in (rng.normal(size=(3, 7)), rng.integers(-(2**62), 2**62, (2, 5)), np.array([[np.nan, -0.0, np.inf]]), np.zeros((2, 0))):
+        import pyarrow as pa
+
+        assert weekly.unpack(pa.py_buffer(weekly.pack(x)), len(x), x.dtype.name).tobytes() == x.tobytes()
+
+
+def test_melt_metrics_moves_few_bytes_a_shipment(spark, review):
+    """Shipments are dealt out packed, and what is stored has a row a block of tickers."""
+    li = review.table("lineitem")
+    moved = fixtures._dealt(li).select(F.sum(F.length("blob"))).first()[0]
+    assert moved < 10 * li.count()
+    tickers = li.select("l_suppkey").distinct().count() + 1
+    assert review.reviewed.table.count() <= tickers / 2
+
+
+def test_market_sums_round_halves_as_decimals_do(spark):
+    x = [0.05, 1.005, 2.675, 0.125, 12345.67, None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    assert [r[0] for r in df.select(fixtures._cents_of("x")).collect()] == [5, 101, 268, 13, 1234567, 0, 0]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ReviewConfig
-from tidemark.operators import weekly
+from tidemark.operators import grid, weekly
 
 
 def observed_prices(lineitem: DataFrame, market: str = "SPY", span: int = 20) -> DataFrame:
@@ -90,6 +90,14 @@ def _shipped(lineitem: DataFrame) -> DataFrame:
     ).filter("day is not null")
 
 
+def _cents_of(c: str) -> Column:
+    """_cents as a column."""
+    x = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    y = x * 100.0
+    half = F.abs(F.abs(y - F.rint(y)) - 0.5) < 0.01
+    return F.when(half, (x.cast("decimal(18,2)") * 100).cast("long")).otherwise(F.rint(y).cast("long"))
+
+
 def _summed(key: np.ndarray, day: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Integer sums of values by key and day, in that order."""
     order = np.lexsort((day, key))
@@ -98,23 +106,64 @@ def _summed(key: np.ndarray, day: np.ndarray, values: list[np.ndarray]) -> tuple
     return key[first], day[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
 
 
-def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    key, day, *doubles = (batch.column(c).to_numpy() if isinstance(batch, pa.Table) else batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "day", "ext", "qty", "disc"))
-    return key, day.astype("int64"), [*map(_cents, doubles), np.ones(len(day), "int64")]
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    key, day, *doubles = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "day", "ext", "qty", "disc"))
+    return key, day.astype("int64"), [*map(_cents, doubles)]
 
 
 def market_days(lineitem: DataFrame) -> np.ndarray:
     """A row for each session: day, sums of price, quantity and discount in hundredths, shipments. A few thousand rows."""
+    sums = [F.sum(_cents_of(c)).alias(c) for c in ("ext", "qty", "disc")]
+    rows = _shipped(lineitem).groupBy("day").agg(*sums, F.count("*").alias("n")).orderBy("day").collect()
+    return np.array([tuple(r) for r in rows], dtype="int64").reshape(-1, 5)
+
+
+#: Shipments packed at once by a task.
+PACKED = 400_000
+
+
+def _dealt(lineitem: DataFrame) -> DataFrame:
+    """(id, blob): shipments packed by the partition that their supplier goes to, dealt out."""
+    n = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(held: list) -> pa.RecordBatch:
+        rows = np.stack([np.concatenate([h[i] for h in held]) for i in range(5)])
+        ids = ((rows[0].astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
+        order = np.lexsort((rows[1], rows[0], ids))
+        rows, ids = rows[:, order], ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        blobs = []
+        for a, b in zip(first, np.append(first[1:], len(ids)), strict=True):
+            part = rows[:, a:b].copy()
+            part[:2, 1:] = np.diff(rows[:2, a:b], axis=1)
+            blobs.append(weekly.pack(part))
+        return pa.RecordBatch.from_arrays([pa.array(ids[first].astype("int32")), pa.array(blobs, pa.binary())], ["id", "blob"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            _, day, values = _columns(b)
-            _, day, values = _summed(np.zeros(len(day), "int64"), day, values)
-            yield pa.RecordBatch.from_arrays([pa.array(day), *map(pa.array, values)], ["day", "ext", "qty", "disc", "n"])
+            if b.num_rows:
+                key, day, values = _columns(b)
+                held.append((key, day, *values))
+                size += b.num_rows
+            if size >= PACKED:
+                yield deal(held)
+                held, size = [], 0
+        if held:
+            yield deal(held)
 
-    sums = _shipped(lineitem).select(F.lit(0).alias("key"), "day", "ext", "qty", "disc").mapInArrow(part, "day long, ext long, qty long, disc long, n long")
-    rows = sums.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("ext", "qty", "disc", "n"))).orderBy("day").collect()
-    return np.array([tuple(r) for r in rows], dtype="int64").reshape(-1, 5)
+    return _shipped(lineitem).filter("key is not null").mapInArrow(part, "id int, blob binary").repartitionById(n, "id")
+
+
+def _undealt(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """Rows of key, day, price, quantity and discount in hundredths."""
+    found = []
+    for b in batches:
+        for blob in b.column("blob"):
+            rows = weekly.unpack(blob.as_buffer(), 5, "int64")
+            rows[:2] = np.cumsum(rows[:2], axis=1)
+            found.append(rows)
+    return found
 
 
 def _series(key: np.ndarray, day: np.ndarray, sums: list[np.ndarray], days: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,21 +193,39 @@ def weekly_facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...],
 
     market: market_days of lineitem.
     """
+    return _facts(lineitem, cfg, want, market, span, weekly.as_rows, weekly.schema(want))
+
+
+def weekly_grid(lineitem: DataFrame, cfg: ReviewConfig, score: str, market: np.ndarray, span: int = 20) -> DataFrame:
+    """weekly_facts of one score as grid.as_grid has them, a row a block of tickers."""
+    return _facts(lineitem, cfg, grid.wanted(score), market, span, grid.as_grid, grid.SCHEMA)
+
+
+def market_facts(market: np.ndarray, cfg: ReviewConfig, want: tuple[str, ...], span: int = 20) -> tuple[weekly.Weeks, dict[str, np.ndarray]]:
+    """The weeks, and facts of the market alone by week."""
+    days = market[:, 0]
+    weeks = weekly.Weeks.of(days, cfg)
+    known = len(weeks.days)
+    for _, *series in _series(np.zeros(len(days), "int64"), days, [market[:, i] for i in range(1, 5)], days, span):
+        return weeks, {k: x[0] for k, x in weekly.facts(*(x[:, :known] for x in series), weeks, cfg, want).items()}
+    return weeks, {k: np.zeros(0) for k in want}
+
+
+def _facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...], market: np.ndarray, span: int, rows: Callable, schema: str) -> DataFrame:
     days, name = market[:, 0], cfg.benchmark
     weeks = weekly.Weeks.of(days, cfg)
     known = len(weeks.days)
 
     def found(key, day, sums, named) -> Iterator[pa.RecordBatch]:
         for keys, close, adj, volume in _series(key, day, sums, days, span):
-            yield weekly.as_rows([*map(named, keys)], weekly.facts(close[:, :known], adj[:, :known], volume[:, :known], weeks, cfg, want), weeks)
+            yield rows([*map(named, keys)], weekly.facts(close[:, :known], adj[:, :known], volume[:, :known], weeks, cfg, want), weeks)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_columns(b) for b in batches if b.num_rows]
+        held = _undealt(batches)
         if held:
-            key, day = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            values = [np.concatenate([h[2][i] for h in held]) for i in range(4)]
+            key, day, *values = np.concatenate(held, axis=1)
             held.clear()
-            yield from found(*_summed(key, day, values), lambda k: f"S{k}")
+            yield from found(*_summed(key, day, [*values, np.ones(len(key), "int64")]), lambda k: f"S{k}")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
@@ -166,8 +233,7 @@ def weekly_facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...],
         if len(market):
             yield from found(np.zeros(len(days), "int64"), days, [market[:, i] for i in range(1, 5)], lambda _: name)
 
-    own = _shipped(lineitem).filter("key is not null").repartition("key").mapInArrow(part, weekly.schema(want))
-    return own.unionByName(lineitem.sparkSession.range(0, 1, 1, 1).mapInArrow(whole, weekly.schema(want)))
+    return _dealt(lineitem).mapInArrow(part, schema).unionByName(lineitem.sparkSession.range(0, 1, 1, 1).mapInArrow(whole, schema))
 
 
 def listing(part: DataFrame) -> DataFrame:
