@@ -171,3 +171,38 @@ def test_market_sums_round_halves_as_decimals_do(spark):
     x = [0.05, 1.005, 2.675, 0.125, 12345.67, None, float("nan")]
     df = spark.createDataFrame([(v,) for v in x], "x double")
     assert [r[0] for r in df.select(fixtures._cents_of("x")).collect()] == [5, 101, 268, 13, 1234567, 0, 0]
+
+
+def _grid_of(spark, values):
+    """A grid of one score; values: tickers by weeks, one frame a block."""
+    from tidemark.operators import grid as Gr
+
+    w = values[0].shape[1]
+    weeks = weekly.Weeks(np.arange(w) * 7, np.arange(w))
+    rows = []
+    for k, x in enumerate(values):
+        found = {"tradable": np.ones(x.shape, bool)} | {c: x * s for c, s in (("ret_fwd_1w_lag1", 1.0), ("ret_fwd_13w", -2.0), ("momentum", 1.0), ("vol252", 3.0))}
+        one = Gr.as_grid([f"S{k}_{i}" for i in range(len(x))], found, weeks)
+        rows.append(tuple(one.column(i)[0].as_py() for i in range(one.num_columns)))
+    table = spark.createDataFrame(rows, Gr.SCHEMA).repartition(3)
+    return Gr.Grid(table, weeks, {"quoted": np.ones(w), "ret_fwd_1w_lag1": np.zeros(w), "tradable": np.ones(w)}, FIXTURE, "momentum")
+
+
+def test_metrics_wide_finds_exact_deciles_and_medians(spark, monkeypatch):
+    """Deciles and medians without a sort of all values in one task, from few values of each task."""
+    from tidemark.operators import grid as Gr
+
+    rng = np.random.default_rng(3)
+    ties = rng.integers(0, 4, (40, 30)) / 4.0
+    for values in ([rng.normal(size=(50, 30)) ** 3 for _ in range(7)], [ties, ties, ties[:3]], [np.full((9, 30), 0.5)], [np.arange(30.0)[None, :]]):
+        grid, every = _grid_of(spark, values), np.concatenate(values)
+        for sent in (7, 1024):
+            monkeypatch.setattr(Gr, "SENT", sent)
+            dev = np.arange(20)
+            got = grid._psi_edges(dev)
+            for c, s in (("score", 1.0), ("vol", 3.0)):
+                df = spark.createDataFrame([(float(v) * s,) for v in every[:, dev].ravel()], "x double")
+                want = df.agg(F.array_distinct(F.percentile("x", F.array(*(F.lit(k / 10) for k in range(11)))))).first()[0][1:-1]
+                assert got[c].tolist() == want
+        medians = grid._medians()
+        assert medians["m1"].tolist() == np.median(every, axis=0).tolist() and medians["m13"].tolist() == np.median(-2.0 * every, axis=0).tolist()

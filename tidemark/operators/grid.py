@@ -2,7 +2,7 @@
 
 What the long operators (scored, top_n_weights, equal weights, weekly_sums, psi_rolling) find in rows of tickers and weeks is found
 block by block; what tasks send on is small, but for returns on their way to medians and scores on their way to ranks.
-The driver holds rows of weeks.
+The driver holds rows of weeks, and values in order where deciles and pieces of the axis are looked for.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemark.operators.weekly import Weeks, pack, unpack
 SCHEMA = "tickers array<string>, tradable binary, r1 binary, r13 binary, score binary, vol binary"
 RETURN = B.RETURNS[0]
 #: Of the scores of a block, each so-manieth in order stands for as many where the axis is cut; a task sends so many at most.
-STRIDE, SENT = 64, 2048
+STRIDE, SENT = 64, 1024
 
 
 def wanted(score: str) -> tuple[str, ...]:
@@ -135,32 +135,98 @@ class Grid:
         return B.portfolio_returns(self.spark.createDataFrame(rows, f"strategy string, date date, ticker string, w double, {RETURN} double"), self.cfg)
 
     def _medians(self) -> pd.DataFrame:
-        """Medians of both returns over scored rows, by week; weeks without a scored row have none."""
+        """Medians of both returns over scored rows, by week; weeks without a scored row have none. A task sends a week's returns as one."""
         n = self.n
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
             for b in _blocks(batches, n):
                 at, week = np.nonzero(~np.isnan(b["score"]))
-                r = [b[c][at, week] for c in ("r1", "r13")]
-                yield pa.RecordBatch.from_arrays([pa.array(week, pa.int32()), *(pa.array(x, mask=np.isnan(x)) for x in r)], ["w", "r1", "r13"])
+                held.append((week, b["r1"][at, week], b["r13"][at, week]))
+                if sum(len(h[0]) for h in held) >= M.PIECE * 4:
+                    yield sent(held)
+                    held = []
+            if held:
+                yield sent(held)
 
-        long = self.table.select("tickers", "r1", "r13", "score").mapInArrow(rows, "w int, r1 double, r13 double")
-        return long.groupBy("w").agg(F.median("r1").alias("m1"), F.median("r13").alias("m13")).toPandas().sort_values("w")
+        def sent(held: list[tuple]) -> pa.RecordBatch:
+            week, r1, r13 = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(week, kind="stable")
+            week, r = week[order], np.stack([r1[order], r13[order]])
+            first = np.flatnonzero(np.append(True, week[1:] != week[:-1])) if len(week) else np.zeros(0, "int64")
+            blobs = [pack(r[:, a:e]) for a, e in zip(first, np.append(first[1:], len(week)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(week[first], pa.int32()), pa.array(blobs, pa.binary())], ["w", "r"])
+
+        def median(rows: pd.DataFrame) -> pd.DataFrame:
+            both = np.concatenate([unpack(pa.py_buffer(x), 2, "float64") for x in rows["r"]], axis=1)
+            known = (x[~np.isnan(x)] for x in both)
+            return pd.DataFrame([(rows["w"].iloc[0], *(np.median(x) if len(x) else None for x in known))], columns=["w", "m1", "m13"])
+
+        packed = self.table.select("tickers", "r1", "r13", "score").mapInArrow(rows, "w int, r binary")
+        return packed.groupBy("w").applyInPandas(median, "w int, m1 double, m13 double").toPandas().sort_values("w")
 
     def _psi_edges(self, dev: np.ndarray) -> dict[str, np.ndarray]:
-        """Inner deciles of score and volatility over the development weeks; none where there are no values."""
-        n, b = self.n, self.cfg.psi_buckets
+        """Inner deciles of score and volatility over the development weeks; none where there are no values.
 
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Exact, in two passes: so-manieth values of each task bound where a decile can lie, then what lies there is looked at. The driver
+        holds these: a few thousandths of all values for each decile.
+        """
+        n, b, kinds = self.n, self.cfg.psi_buckets, ("score", "vol")
+
+        def dev_values(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+            found: dict[str, list] = {c: [] for c in kinds}
             for block in _blocks(batches, n):
-                for c in ("score", "vol"):
+                for c in kinds:
                     x = block[c][:, dev]
-                    x = x[~np.isnan(x)]
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(x), pa.string()), pa.array(x)], ["c", "x"])
+                    found[c].append(x[~np.isnan(x)])
+            return {c: np.sort(np.concatenate(x)) for c, x in found.items() if x}
 
-        probs = F.array(*(F.lit(k / b) for k in range(b + 1)))
-        found = self.table.select("tickers", "score", "vol").mapInArrow(rows, "c string, x double").groupBy("c").agg(F.array_distinct(F.percentile("x", probs)).alias("es"))
-        return {r["c"]: np.array(r["es"][1:-1], float) for r in found.collect()}
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, x in dev_values(batches).items():
+                if len(x):
+                    step = -(-len(x) // SENT)
+                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([len(x)]), pa.array([step]), pa.array([x[::step]], pa.list_(pa.float64()))], ["c", "n", "step", "x"])
+
+        table, targets, bounds = self.table.select("tickers", *kinds), {}, {}
+        for c, own in table.mapInArrow(some, "c string, n long, step long, x array<double>").toPandas().groupby("c"):
+            size, points = int(own["n"].sum()), np.concatenate(own["x"].to_list())
+            weight = np.repeat(own["step"].to_numpy(), [len(x) for x in own["x"]])
+            order = np.argsort(points, kind="stable")
+            points, upto = points[order], np.cumsum(weight[order])
+            below, least = np.append(0, upto)[np.searchsorted(points, points, "left")], upto[np.searchsorted(points, points, "right") - 1] - own["step"].sum()
+            place = [(size - 1) * (k / b) for k in range(b + 1)]
+            targets[c] = [(p, int(np.floor(p)), int(np.ceil(p))) for p in place]
+            # below: no more values are smaller than the point; least: no fewer are at most the point.
+            ks = sorted({k for _, *pair in targets[c] for k in pair})
+            low = points[np.maximum(np.searchsorted(below, ks, "right") - 1, 0)]
+            high = np.append(points, np.inf)[np.searchsorted(least, np.array(ks) + 1, "left")]
+            bounds[c] = (ks, low, high)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for c, x in dev_values(batches).items():
+                if c in bounds:
+                    _, low, high = bounds[c]
+                    before = np.searchsorted(x, low, "left")
+                    on = np.zeros(len(x) + 1, "int64")
+                    np.add.at(on, before, 1)
+                    np.add.at(on, np.searchsorted(x, high, "right"), -1)
+                    v, count = np.unique(x[np.cumsum(on)[:-1] > 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c]), pa.array([before], pa.list_(pa.int64())), pa.array([v], pa.list_(pa.float64())), pa.array([count], pa.list_(pa.int64()))], ["c", "before", "v", "n"]
+                    )
+
+        edges = {}
+        for c, own in table.mapInArrow(near, "c string, before array<long>, v array<double>, n array<long>").toPandas().groupby("c"):
+            ks, low, _ = bounds[c]
+            v, count, before = np.concatenate(own["v"].to_list()), np.concatenate(own["n"].to_list()), np.sum(own["before"].to_list(), axis=0)
+            order = np.argsort(v, kind="stable")
+            v, upto = v[order], np.cumsum(count[order])
+            # Of the values looked at, those below a bound; all from there to the decile are among them.
+            skipped = np.append(0, upto)[np.searchsorted(v, low, "left")]
+            at = {k: v[np.searchsorted(upto, k - b0 + s0, "right")] for k, b0, s0 in zip(ks, before, skipped, strict=True)}
+            es = [at[lo] if lo == hi or at[lo] == at[hi] else (hi - p) * at[lo] + (p - lo) * at[hi] for p, lo, hi in targets[c]]
+            edges[c] = np.unique(np.array(es, float))[1:-1]
+        return edges
 
     def _cuts(self, pieces: int) -> np.ndarray:
         """Scores that cut the axis into about so many even pieces; they bear on the tasks' sizes only."""
