@@ -206,3 +206,20 @@ def test_metrics_wide_finds_exact_deciles_and_medians(spark, monkeypatch):
                 assert got[c].tolist() == want
         medians = grid._medians()
         assert medians["m1"].tolist() == np.median(every, axis=0).tolist() and medians["m13"].tolist() == np.median(-2.0 * every, axis=0).tolist()
+
+
+def _shuffles(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.length()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_gate_decisions_leaves_no_shuffle_of_what_is_stored(spark):
+    from tidemark.sources import warehouse
+
+    before = _shuffles(spark)
+    out = warehouse.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    medians = _grid_of(spark, [np.arange(60.0).reshape(6, 10)])._medians()
+    assert out.count() == 7 and len(medians) == 10
+    kept = {name.split("_")[1] for name in _shuffles(spark) - before}
+    assert len(kept) <= 1  # of the count above
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -20,6 +20,7 @@ from tidemark.config import ReviewConfig
 from tidemark.operators import backtest as B
 from tidemark.operators import monitoring as M
 from tidemark.operators.weekly import Weeks, pack, unpack
+from tidemark.sources.warehouse import used_once
 
 SCHEMA = "tickers array<string>, tradable binary, r1 binary, r13 binary, score binary, vol binary"
 RETURN = B.RETURNS[0]
@@ -76,7 +77,8 @@ class Grid:
         n, order = self.n, list(names)
         part = self.table.select("tickers", *cols).mapInArrow(lambda b: _summed(b, n, order, of), "w int, " + ", ".join(f"{k} {t}" for k, t in names.items()))
         how = {"lo": F.min, "hi": F.max}
-        found = part.groupBy("w").agg(*(how.get(k, F.sum)(k).alias(k) for k in names)).toPandas().set_index("w")
+        with used_once(self.spark):
+            found = part.groupBy("w").agg(*(how.get(k, F.sum)(k).alias(k) for k in names)).toPandas().set_index("w")
         return found.reindex(range(n))
 
     def held(self) -> DataFrame:
@@ -163,7 +165,8 @@ class Grid:
             return pd.DataFrame([(rows["w"].iloc[0], *(np.median(x) if len(x) else None for x in known))], columns=["w", "m1", "m13"])
 
         packed = self.table.select("tickers", "r1", "r13", "score").mapInArrow(rows, "w int, r binary")
-        return packed.groupBy("w").applyInPandas(median, "w int, m1 double, m13 double").toPandas().sort_values("w")
+        with used_once(self.spark):
+            return packed.groupBy("w").applyInPandas(median, "w int, m1 double, m13 double").toPandas().sort_values("w")
 
     def _psi_edges(self, dev: np.ndarray) -> dict[str, np.ndarray]:
         """Inner deciles of score and volatility over the development weeks; none where there are no values.
