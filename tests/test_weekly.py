@@ -223,3 +223,12 @@ def test_gate_decisions_leaves_no_shuffle_of_what_is_stored(spark):
     kept = {name.split("_")[1] for name in _shuffles(spark) - before}
     assert len(kept) <= 1  # of the count above
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_gate_reasons_stores_scores_packed_alone(spark, sf_dir, monkeypatch):
+    from tidemark.plans.review import QUERIES
+
+    stored, keep = [], Review._keep
+    monkeypatch.setattr(Review, "_keep", lambda self, df: stored.append(dict(df.dtypes)) or keep(self, df))
+    QUERIES["gate_reasons"](Review(spark, sf_dir))
+    assert [t["score"] for t in stored if "score" in t] == ["binary"]
