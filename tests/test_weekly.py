@@ -232,3 +232,28 @@ def test_gate_reasons_stores_scores_packed_alone(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Review, "_keep", lambda self, df: stored.append(dict(df.dtypes)) or keep(self, df))
     QUERIES["gate_reasons"](Review(spark, sf_dir))
     assert [t["score"] for t in stored if "score" in t] == ["binary"]
+
+
+def test_gate_reasons_keeps_shipping_days_instead_of_facts(spark, sf_dir):
+    """Facts of a block are found from its shipping days bit for bit; a block with a day without a price keeps its facts."""
+    from tidemark.operators import grid as Gr
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    odd = li.withColumn("l_discount", F.when(F.col("l_suppkey") == 3, F.lit(1.0)).otherwise(F.col("l_discount")))
+    late = li.limit(40).withColumn("l_suppkey", F.lit(77_777)).withColumn("l_shipdate", F.to_timestamp(F.lit("2004-02-01")))
+    wanted = Gr.wanted("momentum")
+    for df, least in ((li, 1.0), (odd, 0.0), (li.unionByName(late), 1.0)):
+        market = fixtures.market_days(df)
+        weeks = weekly.Weeks.of(market[:, 0], FIXTURE)
+        stored = fixtures.weekly_grid(df, FIXTURE, "momentum", market).toArrow().to_batches()
+        dense = fixtures._facts(df, FIXTURE, market, weekly.SPAN, lambda names, _, facts, weeks=weeks: Gr.as_grid(names, facts(wanted), weeks), Gr.SCHEMA).toArrow().to_batches()
+        with_cells = sum(x.column("cells").null_count == 0 for x in stored) / len(stored)
+        assert with_cells >= least and (least == 1.0 or any(x.column("r1").null_count == 0 for x in stored))
+        got, want = ({b["tickers"][0].as_py(): b for b in Gr._blocks(side, weeks, FIXTURE)} for side in (stored, dense))
+        assert got.keys() == want.keys() and len(got) > 1
+        for first, b in got.items():
+            assert b["tickers"].to_pylist() == want[first]["tickers"].to_pylist()
+            for c in ("tradable", "r1", "r13", "score", "vol"):
+                assert b[c].tobytes() == want[first][c].tobytes(), (first, c)
+        size = [sum(len(v) for x in side for c in x.schema.names[1:] for v in x.column(c).to_pylist() if v) for side in (stored, dense)]
+        assert least < 1.0 or size[0] < 0.6 * size[1]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from tidemark.config import ReviewConfig
 from tidemark.operators import backtest as B
 from tidemark.operators import monitoring as M
-from tidemark.operators.weekly import Weeks, pack, unpack
+from tidemark.operators.weekly import Weeks, from_cells, pack, unpack
 from tidemark.sources.warehouse import used_once
 
-SCHEMA = "tickers array<string>, tradable binary, r1 binary, r13 binary, score binary, vol binary"
+#: cells: shipping days, packed; where a block has them, its facts are null and worked out as they are read, as they take three times the room.
+SCHEMA = "tickers array<string>, tradable binary, r1 binary, r13 binary, score binary, vol binary, cells binary"
 RETURN = B.RETURNS[0]
 #: Of the scores of a block, each so-manieth in order stands for as many where the axis is cut; a task sends so many at most.
 STRIDE, SENT = 64, 1024
@@ -32,29 +34,28 @@ def wanted(score: str) -> tuple[str, ...]:
     return ("tradable", RETURN, "ret_fwd_13w", score, "vol252")
 
 
-def as_grid(tickers: list[str], found: dict[str, np.ndarray], weeks: Weeks) -> pa.RecordBatch:
-    """One row for a block of tickers; values of rows that are not tradable, and what is not finite, are NaN."""
+def as_grid(tickers: list[str], found: dict[str, np.ndarray], weeks: Weeks, cells: bytes | None = None) -> pa.RecordBatch:
+    """One row for a block of tickers; values of rows that are not tradable, and what is not finite, are NaN. With cells, tradable alone is found."""
     on, *facts = found.values()
     blobs = [np.packbits(on, axis=1).tobytes(), *(pack(np.where(on & np.isfinite(x), x, np.nan)) for x in facts)]
-    cols = [pa.array([tickers], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in blobs)]
-    return pa.RecordBatch.from_arrays(cols, ["tickers", "tradable", "r1", "r13", "score", "vol"])
+    cols = [pa.array([tickers], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in (*blobs, *[None] * (5 - len(blobs)), cells))]
+    return pa.RecordBatch.from_arrays(cols, ["tickers", "tradable", "r1", "r13", "score", "vol", "cells"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], weeks: int) -> Iterator[dict]:
+def _blocks(batches: Iterator[pa.RecordBatch], weeks: Weeks, cfg: ReviewConfig) -> Iterator[dict]:
     for b in batches:
+        want = tuple(c for c in b.schema.names if c not in ("tickers", "tradable", "cells"))
         for i in range(b.num_rows):
-            names = b.column("tickers")[i].values
-            out: dict = {"tickers": names}
-            for c in b.schema.names[1:]:
-                blob = b.column(c)[i].as_buffer()
-                out[c] = np.unpackbits(np.frombuffer(blob, "uint8").reshape(len(names), -1), axis=1, count=weeks).astype(bool) if c == "tradable" else unpack(blob, len(names), "float64")
-            yield out
+            names, (on, cells) = b.column("tickers")[i].values, (b.column(c)[i].as_buffer() for c in ("tradable", "cells"))
+            on = np.unpackbits(np.frombuffer(on, "uint8").reshape(len(names), -1), axis=1, count=len(weeks.at)).astype(bool)
+            out: dict = {"tickers": names, "tradable": on}
+            yield out | (from_cells(cells, len(names), on, weeks, cfg, want) if cells else {c: unpack(b.column(c)[i].as_buffer(), len(names), "float64") for c in want})
 
 
-def _summed(batches: Iterator[pa.RecordBatch], weeks: int, names: list[str], of: Callable[[dict], dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], blocks: Callable, weeks: int, names: list[str], of: Callable[[dict], dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Sums of what is found in each block, by week; lo and hi are least and greatest."""
     total: dict[str, np.ndarray] = {}
-    for block in _blocks(batches, weeks):
+    for block in blocks(batches):
         for k, x in of(block).items():
             join = {"lo": np.fmin, "hi": np.fmax}.get(k, np.add)
             total[k] = join(total[k], x) if k in total else x
@@ -67,15 +68,19 @@ class Grid:
 
     def __init__(self, table: DataFrame, weeks: Weeks, market: dict[str, np.ndarray], cfg: ReviewConfig, model: str):
         self.table, self.cfg, self.model, self.market = table, cfg, model, market
-        self.spark, self.n = table.sparkSession, len(weeks.at)
+        self.spark, self.n, self.blocks = table.sparkSession, len(weeks.at), partial(_blocks, weeks=weeks, cfg=cfg)
         self.dates = [date(1970, 1, 1) + timedelta(int(d)) for d in weeks.days[weeks.at]]
         #: completed_weeks.
         self.done = market["quoted"].astype(bool) & np.isfinite(market[RETURN])
 
+    def _of(self, *cols: str) -> DataFrame:
+        """What _blocks reads these facts from."""
+        return self.table.select("tickers", "tradable", "cells", *cols)
+
     def _sums(self, cols: list[str], names: dict[str, str], of: Callable[[dict], dict[str, np.ndarray]]) -> pd.DataFrame:
         """Sums by week over all blocks."""
-        n, order = self.n, list(names)
-        part = self.table.select("tickers", *cols).mapInArrow(lambda b: _summed(b, n, order, of), "w int, " + ", ".join(f"{k} {t}" for k, t in names.items()))
+        n, order, blocks = self.n, list(names), self.blocks
+        part = self._of(*cols).mapInArrow(lambda b: _summed(b, blocks, n, order, of), "w int, " + ", ".join(f"{k} {t}" for k, t in names.items()))
         how = {"lo": F.min, "hi": F.max}
         with used_once(self.spark):
             found = part.groupBy("w").agg(*(how.get(k, F.sum)(k).alias(k) for k in names)).toPandas().set_index("w")
@@ -83,10 +88,10 @@ class Grid:
 
     def held(self) -> DataFrame:
         """top_n_weights of the score."""
-        n, top, done, days = self.n, self.cfg.top_n, self.done, np.array(self.dates, "datetime64[D]")
+        blocks, top, done, days = self.blocks, self.cfg.top_n, self.done, np.array(self.dates, "datetime64[D]")
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _blocks(batches, n):
+            for b in blocks(batches):
                 names = np.array(b["tickers"].to_pylist(), object)
                 order = np.argsort(names, kind="stable")
                 score = np.where(b["tradable"] & done, b["score"], np.nan)[order]
@@ -99,7 +104,7 @@ class Grid:
                     [pa.array(days[week]), pa.array(names[at], pa.string()), pa.array(score[row, week]), pa.array(r, mask=np.isnan(r))], ["date", "ticker", "score", RETURN]
                 )
 
-        rows = self.table.select("tickers", "tradable", "r1", "score").mapInArrow(best, f"date date, ticker string, score double, {RETURN} double")
+        rows = self._of("r1", "score").mapInArrow(best, f"date date, ticker string, score double, {RETURN} double")
         return B.top_n_weights(rows.withColumn("strategy", F.lit(self.model)), top, (RETURN,))
 
     def equal_weight(self, strategy: str = "universe_ew") -> DataFrame:
@@ -109,7 +114,7 @@ class Grid:
             known = np.isfinite(b["r1"])
             return {"n": b["tradable"].sum(axis=0), "bare": (b["tradable"] & ~known).sum(axis=0), "s": np.where(known, b["r1"], 0.0).sum(axis=0)}
 
-        found = self._sums(["tradable", "r1"], {"n": "long", "bare": "long", "s": "double"}, count)
+        found = self._sums(["r1"], {"n": "long", "bare": "long", "s": "double"}, count)
         n, bare, s = (np.nan_to_num(found[c].to_numpy(float)) for c in ("n", "bare", "s"))
         at = np.flatnonzero(self.done & (n > 0))
         if bare[at].any():
@@ -126,7 +131,7 @@ class Grid:
             out[at] = np.abs(leg).sum(axis=0)
             return {"moved": out}
 
-        moved = self._sums(["tradable", "r1"], {"moved": "double"}, legs)["moved"].to_numpy(float)[at]
+        moved = self._sums(["r1"], {"moved": "double"}, legs)["moved"].to_numpy(float)[at]
         rows = [(self.dates[w], strategy, float(x), float(x - m * self.cfg.cost_bps / 1e4), float(m / 2.0), int(k)) for w, x, m, k in zip(at, g, moved, n, strict=True)]
         return self.spark.createDataFrame(rows, "date date, strategy string, ret_gross double, ret_net double, turnover double, n_held int")
 
@@ -138,11 +143,11 @@ class Grid:
 
     def _medians(self) -> pd.DataFrame:
         """Medians of both returns over scored rows, by week; weeks without a scored row have none. A task sends a week's returns as one."""
-        n = self.n
+        blocks = self.blocks
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
-            for b in _blocks(batches, n):
+            for b in blocks(batches):
                 at, week = np.nonzero(~np.isnan(b["score"]))
                 held.append((week, b["r1"][at, week], b["r13"][at, week]))
                 if sum(len(h[0]) for h in held) >= M.PIECE * 4:
@@ -164,7 +169,7 @@ class Grid:
             known = (x[~np.isnan(x)] for x in both)
             return pd.DataFrame([(rows["w"].iloc[0], *(np.median(x) if len(x) else None for x in known))], columns=["w", "m1", "m13"])
 
-        packed = self.table.select("tickers", "r1", "r13", "score").mapInArrow(rows, "w int, r binary")
+        packed = self._of("r1", "r13", "score").mapInArrow(rows, "w int, r binary")
         with used_once(self.spark):
             return packed.groupBy("w").applyInPandas(median, "w int, m1 double, m13 double").toPandas().sort_values("w")
 
@@ -174,11 +179,11 @@ class Grid:
         Exact, in two passes: so-manieth values of each task bound where a decile can lie, then what lies there is looked at. The driver
         holds these: a few thousandths of all values for each decile.
         """
-        n, b, kinds = self.n, self.cfg.psi_buckets, ("score", "vol")
+        blocks, b, kinds = self.blocks, self.cfg.psi_buckets, ("score", "vol")
 
         def dev_values(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
             found: dict[str, list] = {c: [] for c in kinds}
-            for block in _blocks(batches, n):
+            for block in blocks(batches):
                 for c in kinds:
                     x = block[c][:, dev]
                     found[c].append(x[~np.isnan(x)])
@@ -190,7 +195,7 @@ class Grid:
                     step = -(-len(x) // SENT)
                     yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([len(x)]), pa.array([step]), pa.array([x[::step]], pa.list_(pa.float64()))], ["c", "n", "step", "x"])
 
-        table, targets, bounds = self.table.select("tickers", *kinds), {}, {}
+        table, targets, bounds = self._of(*kinds), {}, {}
         for c, own in table.mapInArrow(some, "c string, n long, step long, x array<double>").toPandas().groupby("c"):
             size, points = int(own["n"].sum()), np.concatenate(own["x"].to_list())
             weight = np.repeat(own["step"].to_numpy(), [len(x) for x in own["x"]])
@@ -233,16 +238,16 @@ class Grid:
 
     def _cuts(self, pieces: int) -> np.ndarray:
         """Scores that cut the axis into about so many even pieces; they bear on the tasks' sizes only."""
-        n = self.n
+        blocks = self.blocks
 
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = [np.sort(s[~np.isnan(s)])[STRIDE // 2 :: STRIDE] for s in (b["score"].ravel() for b in _blocks(batches, n))]
+            x = [np.sort(s[~np.isnan(s)])[STRIDE // 2 :: STRIDE] for s in (b["score"].ravel() for b in blocks(batches))]
             if x:
                 x = np.sort(np.concatenate(x))
                 step = -(-len(x) // SENT) or 1
                 yield pa.RecordBatch.from_arrays([pa.array([float(step)]), pa.array([x[step // 2 :: step]], pa.list_(pa.float64()))], ["weight", "x"])
 
-        got = self.table.select("tickers", "score").mapInArrow(some, "weight double, x array<double>").collect()
+        got = self._of("score").mapInArrow(some, "weight double, x array<double>").collect()
         x = np.concatenate([np.array(r["x"], float) for r in got] or [np.zeros(0)])
         weight = np.concatenate([np.full(len(r["x"]), r["weight"]) for r in got] or [np.zeros(0)])
         order = np.argsort(x)
@@ -297,11 +302,11 @@ class Grid:
 
     def _window_ranks(self, spans: list[tuple], sums: pd.DataFrame, number: np.ndarray, m1: np.ndarray, m13: np.ndarray) -> DataFrame:
         """window_ranks; a task sends the rows of a piece as one."""
-        n, cuts, plan = self.n, self._cuts(max(int(sums["rows"].sum()) // M.PIECE, 7)), M.spans_by_model(spans, sums, [self.model])
+        blocks, cuts, plan = self.blocks, self._cuts(max(int(sums["rows"].sum()) // M.PIECE, 7)), M.spans_by_model(spans, sums, [self.model])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = []
-            for b in _blocks(batches, n):
+            for b in blocks(batches):
                 at, week = np.nonzero(~np.isnan(b["score"]))
                 code = number[week]
                 for r, m in ((b["r1"][at, week], m1), (b["r13"][at, week], m13)):
@@ -326,5 +331,5 @@ class Grid:
             parts = [np.concatenate([unpack(pa.py_buffer(x), 1, t)[0] for x in rows[c]]) for c, t in (("score", "float64"), ("code", "int64"), ("n", "int64"))]
             return M.ranked_piece(int(rows["id"].iloc[0]), *M.together(*parts), plan[0])
 
-        cells = self.table.select("tickers", "r1", "r13", "score").mapInArrow(cut, "id int, score binary, code binary, n binary")
+        cells = self._of("r1", "r13", "score").mapInArrow(cut, "id int, score binary, code binary, n binary")
         return M.joined(cells.groupBy("id").applyInPandas(ranked, M.RANKED), plan)

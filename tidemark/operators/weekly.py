@@ -19,6 +19,8 @@ from tidemark.functions.stats import ERF_A, ERF_P
 
 #: Tickers worked on at once.
 BLOCK = 64
+#: Shipping days of a ticker that a price is a mean over.
+SPAN = 20
 
 
 @dataclass(frozen=True)
@@ -156,6 +158,78 @@ def unpack(blob: pa.Buffer, rows: int, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype).reshape(rows, n)
 
 
+def pack_whole(rows: np.ndarray) -> bytes:
+    """pack of integers; a row of whole hundreds is kept as hundreds."""
+    unit = np.where((rows % 100).any(axis=1), 1, 100)[:, None]
+    return pack(np.concatenate([unit, rows // unit], axis=1))
+
+
+def unpack_whole(blob: pa.Buffer, rows: int) -> np.ndarray:
+    """What pack_whole got."""
+    found = unpack(blob, rows, "int64")
+    return found[:, 1:] * found[:, :1]
+
+
+def trailing_prices(group: np.ndarray, starts: np.ndarray, sums: list[np.ndarray], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """close and adj_close by shipping day. Sums of price, quantity and discount in hundredths and of shipments by (ticker, day), in that order;
+    group: a ticker's number, starts: where each begins."""
+    low = np.maximum(np.arange(len(group)) - span, starts[group] - 1) + 1
+    grown = [np.concatenate([[0], np.cumsum(s)]) for s in sums]
+    ext, qty, disc, n = ((g[1:] - g[low]).astype(float) for g in grown)
+    with np.errstate(all="ignore"):
+        close = (ext / 100.0) / (qty / 100.0)
+        return close, close * (1.0 - (disc / 100.0) / n)
+
+
+def as_cells(group: np.ndarray, session: np.ndarray, sums: list[np.ndarray], close: np.ndarray, adj: np.ndarray, weeks: Weeks) -> bytes | None:
+    """A block's shipping days, packed, from which from_cells finds facts; None where a day has no price of its own."""
+    if not (np.isfinite(adj) & (adj > 0) & np.isfinite(close) & (close > 0)).all():
+        return None
+    on = session < len(weeks.days)
+    code = (group * len(weeks.days) + session)[on]
+    return pack_whole(np.stack([np.diff(code, prepend=0), *(s[on] for s in sums)]))
+
+
+def from_cells(blob: pa.Buffer, tickers: int, tradable: np.ndarray, weeks: Weeks, cfg: ReviewConfig, want: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """facts of tradable rows by their names in a grid (r1, r13, score: momentum, vol), bit for bit; NaN elsewhere. Prices change on shipping days only,
+    so days between are looked up and not worked out."""
+    known, at = len(weeks.days), weeks.at
+    code, *sums = unpack_whole(blob, 5)
+    group, session = np.divmod(np.cumsum(code), max(known, 1))
+    starts = np.searchsorted(group, np.arange(tickers))
+    _, p = trailing_prices(group, starts, sums)
+    last = np.full((tickers, known), -1)
+    last[group, session] = np.arange(len(group))
+    last = np.maximum.accumulate(last, axis=1)
+    cell = lambda x: np.where((x >= 0) & (x < known), last[:, np.clip(x, 0, known - 1)], -1)
+    p = np.append(p, np.nan)  # at -1: no price
+    price, out = (lambda x: p[cell(x)]), {}
+    with np.errstate(all="ignore"):
+        for c in want:
+            if c == "r1":
+                day = price(at + 1)
+                out[c] = np.full(day.shape, np.nan)
+                out[c][:, :-1] = day[:, 1:] / day[:, :-1] - 1.0
+            elif c == "r13":
+                out[c] = price(at + cfg.mature_sessions) / price(at) - 1.0
+            elif c == "score":
+                out[c] = price(at - cfg.mom_skip) / price(at - cfg.mom_lookback) - 1.0
+            elif c == "vol":
+                place = np.arange(len(group)) - starts[group]
+                r = np.zeros((tickers, int(place.max(initial=-1)) + 2))  # at 0: before the first day
+                r[group, place + 1] = np.where(place > 0, np.log(p[:-1] / np.append(np.nan, p[:-2])[: len(group)]), 0.0)
+                first = np.full(tickers, known)
+                first[group[place == 0]] = session[place == 0]
+                i = at - first[:, None]  # a session's place in its ticker's own
+                place = np.append(place + 1, 0)
+                n = (np.maximum(i, 0) - np.maximum(i - cfg.sessions_per_year, 0)).astype(float)  # of returns: the first session has none
+                to, by = place[cell(at)], np.where(i - cfg.sessions_per_year >= 0, place[cell(at - cfg.sessions_per_year)], 0)
+                s1, s2 = (np.take_along_axis(g, to, 1) - np.take_along_axis(g, by, 1) for g in (np.cumsum(x, axis=1) for x in (r, r * r)))
+                sd = np.sqrt(np.where(n > 1, np.maximum(s2 - s1 * s1 / n, 0.0) / (n - 1), np.nan))
+                out[c] = np.where(n >= 200, sd * np.sqrt(cfg.sessions_per_year * (n - 1) / n), np.nan)
+    return {k: np.where(tradable & np.isfinite(x), x, np.nan) for k, x in out.items()}
+
+
 def by_week(facts: DataFrame, *names: str) -> DataFrame:
     """(ticker, date, names): a row for each ticker and week."""
     return facts.select("ticker", F.inline(F.arrays_zip("date", *names)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def _dealt(lineitem: DataFrame) -> DataFrame:
         for a, b in zip(first, np.append(first[1:], len(ids)), strict=True):
             part = rows[:, a:b].copy()
             part[:2, 1:] = np.diff(rows[:2, a:b], axis=1)
-            blobs.append(weekly.pack(part))
+            blobs.append(weekly.pack_whole(part))
         return pa.RecordBatch.from_arrays([pa.array(ids[first].astype("int32")), pa.array(blobs, pa.binary())], ["id", "blob"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +161,18 @@ def _undealt(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     found = []
     for b in batches:
         for blob in b.column("blob"):
-            rows = weekly.unpack(blob.as_buffer(), 5, "int64")
+            rows = weekly.unpack_whole(blob.as_buffer(), 5)
             rows[:2] = np.cumsum(rows[:2], axis=1)
             found.append(rows)
     return found
 
 
-def _series(key: np.ndarray, day: np.ndarray, sums: list[np.ndarray], days: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of dense_prices: keys, and close, adj_close and volume by session; key and day are sorted."""
+def _series(key: np.ndarray, day: np.ndarray, sums: list[np.ndarray], days: np.ndarray, span: int) -> Iterator[tuple]:
+    """Blocks of dense_prices: keys, cells (ticker's number, session, sums, close and adj_close by shipping day), and close, adj_close and volume by session;
+    key and day are sorted."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, "int64")
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-    low = np.maximum(np.arange(len(key)) - span, starts[group] - 1) + 1
-    grown = [np.concatenate([[0], np.cumsum(s)]) for s in sums]
-    ext, qty, disc, n = ((g[1:] - g[low]).astype(float) for g in grown)
-    with np.errstate(all="ignore"):
-        close = (ext / 100.0) / (qty / 100.0)
-        adj = close * (1.0 - (disc / 100.0) / n)
+    close, adj = weekly.trailing_prices(group, starts, sums, span)
     at = np.searchsorted(days, day)
     for lo in range(0, len(starts), weekly.BLOCK):
         a, b = starts[lo], starts[lo + weekly.BLOCK] if lo + weekly.BLOCK < len(starts) else len(key)
@@ -185,7 +182,8 @@ def _series(key: np.ndarray, day: np.ndarray, sums: list[np.ndarray], days: np.n
         shipped = last >= 0
         last = np.maximum.accumulate(last, axis=1)
         seen = last >= 0
-        yield key[starts[lo : lo + weekly.BLOCK]], np.where(seen, close[last], np.nan), np.where(seen, adj[last], np.nan), np.where(shipped, sums[1][last] / 100.0, np.where(seen, 0.0, np.nan))
+        cells = (k, at[a:b], [s[a:b] for s in sums], close[a:b], adj[a:b])
+        yield key[starts[lo : lo + weekly.BLOCK]], cells, np.where(seen, close[last], np.nan), np.where(seen, adj[last], np.nan), np.where(shipped, sums[1][last] / 100.0, np.where(seen, 0.0, np.nan))
 
 
 def weekly_facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...], market: np.ndarray, span: int = 20) -> DataFrame:
@@ -193,12 +191,19 @@ def weekly_facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...],
 
     market: market_days of lineitem.
     """
-    return _facts(lineitem, cfg, want, market, span, weekly.as_rows, weekly.schema(want))
+    weeks = weekly.Weeks.of(market[:, 0], cfg)
+    return _facts(lineitem, cfg, market, span, lambda names, cells, facts: weekly.as_rows(names, facts(want), weeks), weekly.schema(want))
 
 
-def weekly_grid(lineitem: DataFrame, cfg: ReviewConfig, score: str, market: np.ndarray, span: int = 20) -> DataFrame:
-    """weekly_facts of one score as grid.as_grid has them, a row a block of tickers."""
-    return _facts(lineitem, cfg, grid.wanted(score), market, span, grid.as_grid, grid.SCHEMA)
+def weekly_grid(lineitem: DataFrame, cfg: ReviewConfig, score: str, market: np.ndarray, span: int = weekly.SPAN) -> DataFrame:
+    """weekly_facts of one score as grid.as_grid has them, a row a block of tickers. Of momentum, shipping days are kept instead of facts where prices allow."""
+    weeks = weekly.Weeks.of(market[:, 0], cfg)
+
+    def rows(names: list[str], cells: tuple, facts: Callable) -> pa.RecordBatch:
+        blob = weekly.as_cells(*cells, weeks) if score == "momentum" and span == weekly.SPAN else None
+        return grid.as_grid(names, facts(grid.wanted(score)[:1] if blob else grid.wanted(score)), weeks, blob)
+
+    return _facts(lineitem, cfg, market, span, rows, grid.SCHEMA)
 
 
 def market_facts(market: np.ndarray, cfg: ReviewConfig, want: tuple[str, ...], span: int = 20) -> tuple[weekly.Weeks, dict[str, np.ndarray]]:
@@ -206,19 +211,21 @@ def market_facts(market: np.ndarray, cfg: ReviewConfig, want: tuple[str, ...], s
     days = market[:, 0]
     weeks = weekly.Weeks.of(days, cfg)
     known = len(weeks.days)
-    for _, *series in _series(np.zeros(len(days), "int64"), days, [market[:, i] for i in range(1, 5)], days, span):
+    for _, _, *series in _series(np.zeros(len(days), "int64"), days, [market[:, i] for i in range(1, 5)], days, span):
         return weeks, {k: x[0] for k, x in weekly.facts(*(x[:, :known] for x in series), weeks, cfg, want).items()}
     return weeks, {k: np.zeros(0) for k in want}
 
 
-def _facts(lineitem: DataFrame, cfg: ReviewConfig, want: tuple[str, ...], market: np.ndarray, span: int, rows: Callable, schema: str) -> DataFrame:
+def _facts(lineitem: DataFrame, cfg: ReviewConfig, market: np.ndarray, span: int, rows: Callable, schema: str) -> DataFrame:
+    """rows: from names, cells and a function that finds wanted facts to a batch."""
     days, name = market[:, 0], cfg.benchmark
     weeks = weekly.Weeks.of(days, cfg)
     known = len(weeks.days)
 
     def found(key, day, sums, named) -> Iterator[pa.RecordBatch]:
-        for keys, close, adj, volume in _series(key, day, sums, days, span):
-            yield rows([*map(named, keys)], weekly.facts(close[:, :known], adj[:, :known], volume[:, :known], weeks, cfg, want), weeks)
+        for keys, cells, *series in _series(key, day, sums, days, span):
+            own = [x[:, :known] for x in series]
+            yield rows([*map(named, keys)], cells, partial(weekly.facts, *own, weeks, cfg))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _undealt(batches)
