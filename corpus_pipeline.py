@@ -6,10 +6,13 @@ written as Parquet and read again. All but the last return the columns of docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact, mixing, packing, simhash, toxicity
-from tidemark.llm.common import materialize, read
+from tidemark.llm.common import give_back, materialize, read
 
 #: Chunks of text that a worker remembers in packing: workers hold memory of other stages too.
 CHUNKS = 100_000
@@ -35,12 +38,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.op7(docs, remember=CHUNKS)
 
 
+def _alone(stage: Callable) -> Callable:
+    """The stage, begun when executors have given back what stages before it left in their heaps: those serve one stage after the other and never shrink."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("near dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", _alone(drop_toxic)),
+    ("exact dedup", _alone(drop_copies)),
+    ("near dedup", _alone(drop_near_copies)),
+    ("mixing", _alone(mix_sources)),
+    ("packing", _alone(pack_sequences)),
 ]
 
 #: SQL cannot express the regression or the packing; tests compare with a brute-force version.

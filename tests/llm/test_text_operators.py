@@ -669,6 +669,18 @@ def test_pipeline_needs_no_rows(spark, sf_dir):
         docs = docs if out.columns != docs.columns else out
 
 
+def test_pipeline_stages_begin_with_heaps_given_back(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = table(spark, sf_dir, "documents").limit(0)
+    for name, stage in pipeline.STAGES:
+        if name in ("exact dedup", "mixing"):
+            before = full()
+            stage(spark, docs, sf_dir)
+            assert full() > before
+
+
 def test_shared_folder_is_the_sessions(spark):
     from tidemark.llm.common import shared_dir
 

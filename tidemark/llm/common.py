@@ -146,6 +146,17 @@ def end() -> None:
     _trim()(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage in full, so their heaps shrink to what lives and direct buffers that nothing holds go.
+
+    A task does it for its own executor; tasks of equal rank are dealt out evenly. Results do not depend on it. The workers that
+    Python tasks use give memory back on their own (end).
+    """
+    sc = spark.sparkContext
+    n = max(1, sc.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], types: dict[str, pa.DataType], schema: str) -> DataFrame:
     """doc_id and what a function of a batch of texts returns: one row per row of docs.
 
