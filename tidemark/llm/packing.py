@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +23,41 @@ END_ID = 2
 GROUP_DOCS = 2048
 #: Gaps of fewer tokens are padded, not filled by cutting another document.
 LEAST_CUT = 16
-#: End punctuation after a letter or digit: one word of its own to the tokenizer.
-MARKS = re.compile(r"(?<=[^\W_])([.,!?;:|*$%&#]+)(?=[ \n]|\Z)")
+#: Bytes of a text: gaps between chunks (3), letters and digits (1), marks (2), which are never in a token with letters or digits, any other (0).
+KINDS = bytes(3 if c in b" \n" else 0 if c in b"'\x7f" or c < 32 else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256))
+GAPS = b" \n"
+LOWER = bytes(range(256)).lower()
 #: Chunks of text whose ids a worker remembers; then it starts anew.
 REMEMBER = 500_000
-#: Characters that are taken apart at once, or one text if it is longer.
-CHARS = 1 << 20
+#: Bytes of text that are taken apart at once, or one text if it is longer.
+BYTES = 4 << 20
+
+
+def slices(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
+    """Slices of at most `most` bytes each, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 @cache
 def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
-    """A function from texts to the bytes of their ids, end_id appended, and the ids' numpy kind.
+    """A function from texts (a list or an Arrow column) to the bytes of their ids, end_id appended, and the ids' numpy kind.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks
     between spaces and line feeds, one after the other. Chunks repeat, so a bounded memory of their ids
-    saves most of the work. Where the vocabulary lower-cases and marks word ends, texts are lower-cased and
-    punctuation after a word set apart first, as the tokenizer would; new words are then encoded many at a
-    time and the marks tell their ids apart. Any other new chunk is encoded alone. Tests compare with whole
-    texts. Special tokens inside texts count as the tokenizer counts them.
+    saves most of the work. Chunks are found in the bytes of many texts at once and told apart by Arrow's dictionary, so
+    Python sees each chunk once in BYTES of text. Where the vocabulary lower-cases and marks word ends, texts
+    of letters below U+0100 are lower-cased and marks next to letters or digits set apart first, as the tokenizer would; new words are
+    then encoded many at a time and the marks tell their ids apart. Any other new chunk is encoded alone. Tests compare with whole
+    texts. Special tokens inside texts count as the tokenizer counts them: a text that has one in any case is left as it is.
     A worker keeps the function and its memory from task to task, until a task of another operator begins.
     """
     from tokenizers import Tokenizer
+    from tokenizers.normalizers import Sequence
 
     tokenizer = Tokenizer.from_file(path)
     size = tokenizer.get_vocab_size(with_added_tokens=True)
@@ -52,6 +66,10 @@ def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
     ends[[i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
     lower = [x["type"] for x in (json.loads(tokenizer.to_str())["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
     by_word = lower and bool(ends.any())
+    special = [t.content.encode().translate(LOWER) for t in tokenizer.get_added_tokens_decoder().values()]
+    if by_word:  # for letters below U+0100, whose normal form is their lower case
+        plain = Tokenizer.from_str(tokenizer.to_str())
+        plain.normalizer = Sequence([])
     known: dict[str, bytes] = {}
     last = kind(end_id).tobytes()
     width = np.dtype(kind).itemsize
@@ -65,7 +83,7 @@ def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
     def together(words: list[str]) -> None:
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+            ids = np.array(plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids)
             stops = np.flatnonzero(ends[ids]) + 1
             if len(stops) != len(some):
                 alone(some)
@@ -92,30 +110,72 @@ def chunk_encoder(path: str, end_id: int, remember: int = REMEMBER):
             return False
         return True
 
-    def chunks_of(text: str) -> list[str]:
-        if by_word and latin(text):  # lower case, and end punctuation apart: fewer kinds of chunks
-            text = MARKS.sub(r" \1", text.lower())
-        return text.replace("\n", " ").split(" ")
+    def left(raw: bytes, at: np.ndarray) -> np.ndarray:
+        """Which of the texts raw[at[k]:at[k + 1]] stay as they are: those with letters from U+0100 on or a special token."""
+        found = [np.flatnonzero(np.frombuffer(raw, np.uint8) >= 0xC4)]
+        low = raw.translate(LOWER)
+        for token in special:
+            some, k = [], low.find(token)
+            while k >= 0:
+                some.append(k)
+                k = low.find(token, k + 1)
+            found.append(np.array(some, np.int64))
+        out = np.zeros(len(at) - 1, bool)
+        out[np.searchsorted(at, np.concatenate(found), "right") - 1] = True
+        return out
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def chunks_of(raw: bytes, at: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """The chunks of the texts raw[at[k]:at[k + 1]] without gaps, and how many come before each text's start and the end."""
+        kinds = np.frombuffer(bytearray(raw.translate(KINDS)), np.uint8)
+        data = np.frombuffer(bytearray(raw.translate(LOWER if by_word else None, GAPS)), np.uint8)
+        keep = kinds != 3
+        if by_word:
+            as_is = left(raw, at)
+            two = np.flatnonzero(np.frombuffer(raw, np.uint8) >> 1 == 0xC2 >> 1)  # 0xC2 or 0xC3: letters below U+0100 have two bytes
+            if len(two):
+                lead, next_ = (np.frombuffer(raw, np.uint8)[two + k] for k in (0, 1))
+                other = two[(lead == 0xC2) | (next_ == 0x97) | (next_ == 0xB7)]  # signs, and a few letters: never set apart
+                kinds[other] = kinds[other + 1] = 0
+                upper = np.zeros(len(raw), bool)
+                upper[two[(lead == 0xC3) & (next_ <= 0x9E) & (next_ != 0x97)] + 1] = True
+                data[upper[keep]] += 0x20
+            if as_is.any():
+                whole = np.repeat(as_is, np.diff(at))
+                kinds[whole & keep] = 0
+                data = np.where(whole[keep], np.frombuffer(raw.translate(None, GAPS), np.uint8), data)
+        else:
+            kinds[keep] = 0
+        first = np.empty(len(raw), bool)
+        first[1:] = kinds[:-1] == 3
+        first[1:] |= kinds[:-1] ^ kinds[1:] == 3  # a letter or digit and a mark, or a gap
+        own = at[:-1][np.diff(at) > 0]
+        first[own] = True
+        first &= keep
+        offsets = np.append(np.flatnonzero(first[keep]), len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        return chunks, np.searchsorted(np.flatnonzero(first), at)
+
+    def some(texts: pa.StringArray) -> list[bytes]:
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        chunks, bounds = chunks_of(data[at[0] : at[-1]].to_pybytes() if data else b"", at - at[0])
+        coded = chunks.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(known) > remember:
+            known.clear()
+        learn([w for w in words if w not in known])
+        ids = pa.array([*map(known.__getitem__, words), last], pa.binary())
+        order = np.insert(coded.indices.to_numpy(), bounds[1:], len(words))  # end_id after each text's chunks
+        flat = ids.take(pa.array(order))
+        stops = np.frombuffer(flat.buffers()[1], np.int32)[bounds + np.arange(len(bounds))].tolist()
+        flat = memoryview(flat.buffers()[2])
+        return [bytes(flat[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # few texts at a time, as their chunks take many times their room
-            end, room = at + 1, CHARS - len(texts[at])
-            while end < len(texts) and room >= len(texts[end]):
-                room -= len(texts[end])
-                end += 1
-            split = [chunks_of(t) for t in texts[at:end]]
-            if len(known) > remember:
-                known.clear()
-            known[""] = b""
-            new: set[str] = set()
-            for chunks in split:
-                new.update(chunks)
-            learn(new - known.keys())
-            get = known.__getitem__
-            out += [b"".join(map(get, chunks)) + last for chunks in split]
-            at = end
+        for part in slices(texts, BYTES):
+            out += some(part)
         return out
 
     return encode, kind
@@ -220,7 +280,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
         seen: Counter = Counter()  # of this task's rows
         for whole in batches:
             for batch in pieces(whole):
-                ids, own = encode(batch.column("text").to_pylist()), batch.column("doc_id")
+                ids, own = encode(batch.column("text")), batch.column("doc_id")
                 crcs, nth = [zlib.crc32(x) for x in ids], []
                 for row in zip(own.to_pylist(), crcs, strict=True):
                     nth.append(seen[mark := hash(row)])
